@@ -6,16 +6,77 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import token_output
+from pyspark.sql import functions as F
+
+from gleaner.llm import decontaminate, line_dedup, token_output
 from gleaner.llm.common import table
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(spark, token_output.write(table(spark, sf_dir, "documents")))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_line_dedup": op5_line_dedup,
     "op8_token_output": op8_token_output,
+    "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP5 = r"""
+WITH lines AS (
+  SELECT doc_id, rowid AS r, i, string_split(coalesce(text, ''), chr(10))[i] AS line
+  FROM (SELECT doc_id, text, row_number() OVER () AS rowid FROM documents) d,
+       LATERAL (SELECT unnest(range(1, len(string_split(coalesce(d.text, ''), chr(10))) + 1)) AS i)
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines
+), often AS (
+  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT r) >= 3
+), marked AS (
+  SELECT keyed.*, o.k IS NOT NULL AND keyed.doc_id IS DISTINCT FROM o.keeper AS gone
+  FROM keyed LEFT JOIN often o ON o.k = keyed.k
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r
+"""
+
+_OP10 = r"""
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS p
+  FROM items, LATERAL (SELECT unnest(range(1, greatest(1, len(items.w) - 12) + 1)) AS i) WHERE len(w) > 0
+), places AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS p
+  FROM words, (SELECT DISTINCT n FROM windows) s, LATERAL (SELECT unnest(range(1, len(words.w) - s.n + 2)) AS i)
+), found AS (
+  SELECT r, i, n, item_id FROM places JOIN windows USING (n, p)
+), hits AS (
+  SELECT r, count(DISTINCT j) AS n_hit
+  FROM (SELECT DISTINCT r, i, n FROM found) f, LATERAL (SELECT unnest(range(f.i, f.i + f.n)) AS j) GROUP BY r
+), listed AS (
+  SELECT r, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256
+  FROM found GROUP BY r
+)
+SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN hits USING (r) LEFT JOIN listed USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": _OP5, "op10_decontaminate": _OP10}
