@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, line_dedup, token_output
+from gleaner.llm import decontaminate, line_dedup, mixing, token_output
 from gleaner.llm.common import table
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = F.col("size") * F.size("shards")
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -26,6 +31,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mixing": op3_mixing,
     "op5_line_dedup": op5_line_dedup,
     "op8_token_output": op8_token_output,
     "op10_decontaminate": op10_decontaminate,

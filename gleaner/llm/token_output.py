@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import rans
 from gleaner.llm.common import chunks, new_path, written
-from gleaner.llm.tokens import ChunkTokenizer
+from gleaner.llm.tokens import coder as coder_of
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 BLOCK_TOKENS = 1 << 19
@@ -48,7 +48,7 @@ def _read_index(data: bytes, n: int) -> tuple[list, np.ndarray]:
 
 def _raw_blocks(tokenizer: str, end_id: int, block_tokens: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = ChunkTokenizer(tokenizer)
+        coder = coder_of(tokenizer)
         shard, block, first = 0, 0, 0
         ids, docs, null, lens, held = [], [], [], [], 0
 

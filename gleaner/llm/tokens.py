@@ -1,10 +1,14 @@
-"""Token ids of a public tokenizer file, with a bounded memo of white-space-parted chunks."""
+"""Token ids of a public tokenizer file, with bounded memos of white-space-parted chunks and their pieces."""
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from itertools import chain, repeat
 
 import numpy as np
+import regex
 
 
 def tokenizer_file(name: str) -> str:
@@ -16,39 +20,72 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Chunks of these characters are the same under NFC, have one-to-one lower cases, no white space and no "<", with
+#: which special tokens begin.
+_PLAIN = re.compile("[\x21-;=-\x7e¡-įı-ɏ]*")
+
+
+def byte_characters() -> list[str]:
+    """The printable character that byte-level tokenizers write for each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 class ChunkTokenizer:
     """Encodes whole texts with a tokenizer that drops white space.
 
     No token, merge or normalisation of such a tokenizer reaches across an ASCII space, tab, line feed or
-    carriage return, so a text's ids are those of its chunks in order.  Each distinct chunk is encoded once
-    and kept; when ``most`` chunks are held the memo starts anew, so memory is bounded.
+    carriage return, so a text's ids are those of its chunks in order, and a chunk's those of its pre-token
+    pieces.  Chunks of plain Latin characters are cut into pieces here and each distinct piece is merged once by
+    the library's model; other chunks, and those with a special token's string, are left to the library whole.
+    Memos start anew once they hold ``most`` entries, so memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(tokenizer_file(path))
-        if not self._drops_space():
-            raise ValueError("the tokenizer keeps white space: chunks can't be encoded apart")
+        path = tokenizer_file(path)
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        steps = own["pre_tokenizer"]["pretokenizers"] if own["pre_tokenizer"]["type"] == "Sequence" else []
+        forms = [n["type"] for n in (own.get("normalizer") or {}).get("normalizers", [])]
+        if [s["type"] for s in steps] != ["Split", "ByteLevel"] or not steps[0]["invert"] or steps[0]["behavior"] != "Removed" or forms != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError("chunks can be encoded apart only for a lower-casing tokenizer that drops white space")
+        self._tokenizer = Tokenizer.from_file(path)
+        self._merge = self._tokenizer.model.tokenize
+        self._pieces = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        if not all(t["content"].startswith("<") for t in own["added_tokens"]):
+            raise ValueError("a special token doesn't begin with '<'")
+        self._bytes = byte_characters()
         self._most = most
         self._clear()
 
-    def _drops_space(self) -> bool:
-        whole = self._tokenizer.encode("ab  cd\n\te", add_special_tokens=False).ids
-        return whole == [i for w in ("ab", "cd", "e") for i in self._tokenizer.encode(w, add_special_tokens=False).ids]
-
     def _clear(self) -> None:
-        self._index = {"": 0}
-        self._start, self._len, self._used = np.zeros(1, np.int64), np.zeros(1, np.int64), 1
+        self._index, self._memo = {"": 0}, {}
+        self._start, self._len, self._used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 1
         self._pool, self._filled = np.zeros(1 << 16, np.uint32), 0
 
+    def _plain_ids(self, chunk: str) -> list[int]:
+        out = []
+        chunk = chunk.lower()
+        for piece in (chunk,) if chunk.isalpha() else self._pieces(chunk):
+            ids = self._memo.get(piece)
+            if ids is None:
+                coded = piece if piece.isascii() else "".join(map(self._bytes.__getitem__, piece.encode()))
+                ids = self._memo[piece] = [t.id for t in self._merge(coded)]
+            out += ids
+        return out
+
     def _learn(self, missing: list[str]) -> None:
-        if len(self._index) > 1 and len(self._index) + len(missing) > self._most:
-            self._clear()
-        got = [e.ids for e in self._tokenizer.encode_batch_fast(missing, add_special_tokens=False)]
+        plain = _PLAIN.fullmatch
+        got = [self._plain_ids(w) if plain(w) else None for w in missing]
+        hard = [k for k, ids in enumerate(got) if ids is None]
+        for k, e in zip(hard, self._tokenizer.encode_batch([missing[k] for k in hard], add_special_tokens=False), strict=True):
+            got[k] = e.ids
         lens = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(lens.sum()))
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum()))
         while self._filled + len(flat) > len(self._pool):
             self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
         self._pool[self._filled : self._filled + len(flat)] = flat
@@ -62,27 +99,29 @@ class ChunkTokenizer:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids after one another, and how many each text has."""
+        if len(self._index) + len(self._memo) > self._most:
+            self._clear()
         parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = [w for p in parts for w in p]
+        flat = list(chain.from_iterable(parts))
         get = self._index.get
-        found = [get(w, -1) for w in flat]
-        if -1 in found:
-            self._learn(list(dict.fromkeys(w for w, k in zip(flat, found, strict=True) if k < 0)))
-            missing = [w for w in dict.fromkeys(flat) if w not in self._index]  # after a fresh start, those known before
-            if missing:
-                self._learn_all(missing)
-            get = self._index.__getitem__
-            found = [get(w) for w in flat]
-        idx = np.fromiter(found, np.int64, len(found))
+        idx = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(idx < 0).tolist()
+        if new:
+            self._learn(list(dict.fromkeys([flat[k] for k in new])))
+            idx[new] = [get(flat[k]) for k in new]
         lens = self._len[idx]
-        total = int(lens.sum())
-        at = np.repeat(self._start[idx] - (np.cumsum(lens) - lens), lens) + np.arange(total)
         ends = np.concatenate([[0], np.cumsum(lens)])
+        at = np.repeat(self._start[idx] - ends[:-1], lens) + np.arange(ends[-1])
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         return self._pool[at], ends[bounds[1:]] - ends[bounds[:-1]]
 
-    def _learn_all(self, missing: list[str]) -> None:
-        keep, self._most = self._most, 1 << 62
-        self._learn(missing)
-        self._most = keep
+
+_coders: dict[str, ChunkTokenizer] = {}
+
+
+def coder(path: str) -> ChunkTokenizer:
+    """This process's tokenizer, with what it has learnt in earlier tasks."""
+    if path not in _coders:
+        _coders[path] = ChunkTokenizer(path)
+    return _coders[path]
