@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, line_dedup, mixing, token_output
+from gleaner.llm import decontaminate, line_dedup, mixing, quality, token_output
 from gleaner.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    seen = labels.filter(~quality.held_out(F.col("doc_id")))
+    scored = quality.classify(docs.select("doc_id", "text"), seen.select("doc_id", "quality"))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = F.col("size") * F.size("shards")
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
@@ -31,6 +38,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op3_mixing": op3_mixing,
     "op5_line_dedup": op5_line_dedup,
     "op8_token_output": op8_token_output,
