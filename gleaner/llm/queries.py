@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, line_dedup, mixing, quality, token_output
+from gleaner.llm import decontaminate, jaccard, line_dedup, mixing, quality, token_output
 from gleaner.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"), jaccard.Similarity(width=4, percent=85))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(spark, token_output.write(table(spark, sf_dir, "documents")))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_mixing": op3_mixing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_jaccard": op6_jaccard,
     "op8_token_output": op8_token_output,
     "op10_decontaminate": op10_decontaminate,
 }
