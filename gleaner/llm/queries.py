@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, jaccard, line_dedup, mixing, quality, token_output
+from gleaner.llm import ann, decontaminate, jaccard, line_dedup, mixing, quality, token_output
 from gleaner.llm.common import table
 
 
@@ -37,6 +37,11 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(spark, token_output.write(table(spark, sf_dir, "documents")))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_jaccard": op6_jaccard,
     "op8_token_output": op8_token_output,
+    "op9_nearest": op9_nearest,
     "op10_decontaminate": op10_decontaminate,
 }
 
