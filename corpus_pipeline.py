@@ -3,21 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm import token_output
+from gleaner.llm import decontaminate, jaccard, mixing, quality, token_output
 from gleaner.llm.common import table, written
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels outside the held-out fold, predicts to be good."""
+    labels = table(spark, sf_dir, "labels").filter(~quality.held_out(F.col("doc_id"))).select("doc_id", "quality")
+    return quality.classify(docs, labels).filter("predicted = 1").select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked by five-word shingles at 0.8 or more."""
+    return jaccard.keep_one(docs, jaccard.Similarity(width=5, percent=80))
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark passages cover by less than a twentieth."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of the mix, a document once for each time that it is taken."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every kept row as coded token ids, read back: its place, length and checksum."""
+    """Every row of the mix as coded token ids, read back: its place, length and checksum."""
     return token_output.read(spark, token_output.write(docs))
 
 
 STAGES = [
+    ("quality", keep_quality),
+    ("near copies", keep_one_of_near_copies),
+    ("decontamination", keep_uncontaminated),
+    ("mixing", mix_sources),
     ("tokens", encode_tokens),
 ]
 
-#: Learned models, similarity groups and coded blocks have no SQL form.
+#: A learned model, similarity groups and coded blocks have no SQL form.
 ORACLE_SQL = None
 
 
@@ -25,5 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

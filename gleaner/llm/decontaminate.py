@@ -27,10 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import chunks, written
+from gleaner.llm.common import chunks, small, written
 
 WINDOW, SHARE = 13, 20
 SHARD_WORDS, SHARD_CHARS, BLOCK_WORDS = 1_000_000, 6_000_000, 1_000_000
+#: Up to this many contaminated rows are dropped by a broadcast; more by a shuffle.
+SMALL_BAD = 300_000
 
 _SEPARATORS = bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80))
 _PARTED = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
@@ -231,6 +233,14 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: i
     return index.mapInPandas(_report(names, share), _RESULT)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
+    """``docs`` without contaminated rows.  Rows are told apart by a hash of id and text, so null and repeated ids are right."""
+    key = F.xxhash64("doc_id", "text")
+    found = search(docs.select(key.alias("doc_id"), "text"), benchmark, window, share)
+    bad = small(written(found.filter("contaminated").select(F.col("doc_id").alias("bad_row")).distinct(), "contaminated"), SMALL_BAD)
+    return docs.join(bad, key == F.col("bad_row"), "left_anti")
+
+
 def near(docs: DataFrame, benchmark: DataFrame, span: int, window: int = WINDOW) -> DataFrame:
     """Proximity matches: doc_id, item_id and how many places hold all terms of a window within ``span`` words."""
     names, items, vocabulary = _items(benchmark)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from gleaner.llm import ann, chat, decontaminate, edit_counts, jaccard, line_dedup, mixing, quality, token_output
+from gleaner.llm import ann, chat, decontaminate, edit_counts, jaccard, line_dedup, lm_score, mixing, quality, token_output
 from gleaner.llm.common import table, written
 
 
@@ -53,6 +53,12 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"), jaccard.Similarity(width=4, percent=85))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents scored by their cross-entropy difference to those labelled good and not toxic."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0")
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(spark, token_output.write(table(spark, sf_dir, "documents")))
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_edit_counts": op4_edit_counts,
     "op5_line_dedup": op5_line_dedup,
     "op6_jaccard": op6_jaccard,
+    "op7_lm_score": op7_lm_score,
     "op8_token_output": op8_token_output,
     "op9_nearest": op9_nearest,
     "op10_decontaminate": op10_decontaminate,
