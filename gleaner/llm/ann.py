@@ -24,14 +24,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleaner.llm.common import written
 
 
+#: Queries whose products with a bucket are held at once, and pairs that are scored exactly at once.
+QUERIES, PAIRS = 256, 200_000
+
+
 @dataclass(frozen=True)
 class Params:
     k: int = 20
-    recall: float = 0.98
+    recall: float = 0.96
     #: Vectors that the tree is fitted on.
     sample: int = 20_000
     #: Queries that calibrate the number of visits.
@@ -40,8 +45,10 @@ class Params:
     #: Vectors a leaf should hold, from which the tree's size follows, up to what the sample can tell apart.
     leaf: int = 256
     most_leaves: int = 2048
-    #: Vectors in a part of a leaf at most, about.
-    part: int = 4096
+    #: Vectors in a bucket at most, about: neighbouring leaves are scored together, larger leaves are split.
+    bucket: int = 8192
+    #: Queries that are scored in one group, about.
+    together: int = 20_000
     rounds: int = 8
     seed: int = 5
 
@@ -130,29 +137,34 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & good & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def exact_best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """The best k of one block of vectors for each query, scored exactly; ties to the smaller id."""
-    out = []
-    rough = q @ x.T
+def exact_best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, rough: np.ndarray | None = None) -> pd.DataFrame:
+    """The best k vectors of each query, scored exactly; ties to the smaller id.
+
+    ``rough`` holds approximate products, minus infinity for vectors that aren't searched; it is made if not given.
+    All vectors within rounding of the k-th product are scored anew, so that equal vectors tie exactly.
+    """
+    rough = q @ x.T if rough is None else rough
     rough[q_ids[:, None] == ids[None, :]] = -np.inf
     slack = 1e-9 * (1 + np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1])
     cut = np.partition(rough, -k, axis=1)[:, -k] - slack if rough.shape[1] > k else np.full(len(q), -np.inf)
-    for r in range(len(q)):
-        own = np.flatnonzero((rough[r] >= cut[r]) & (rough[r] > -np.inf))
-        score = (x[own] * q[r]).sum(axis=1)
-        best = np.lexsort((ids[own], -score))[:k]
-        out.append(pd.DataFrame({"query_id": q_ids[r], "vec_id": ids[own][best], "score": score[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    row, col = np.nonzero((rough >= cut[:, None]) & (rough > -np.inf))
+    score = np.empty(len(row))
+    for a in range(0, len(row), PAIRS):
+        score[a : a + PAIRS] = (x[col[a : a + PAIRS]] * q[row[a : a + PAIRS]]).sum(axis=1)
+    order = np.lexsort((ids[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    first = np.searchsorted(row, np.arange(len(q)))
+    best = np.arange(len(row)) - first[row] < k
+    return pd.DataFrame({"query_id": q_ids[row[best]], "vec_id": ids[col[best]], "score": score[best]})
 
 
 _BEST = "query_id long, vec_id long, score double"
 
 
 def _merge(best: DataFrame, k: int) -> DataFrame:
-    """The best k of each query's candidates: an array of k at most from each part, sorted and cut."""
-    key = F.struct((-F.col("score")).alias("s"), "vec_id", "score")
-    top = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(key)), 1, k).alias("top"))
-    return top.select("query_id", F.posexplode("top").alias("rank", "t")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "t.vec_id", "t.score")
+    """The best k of each query's candidates; each task keeps k of a query before the shuffle."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _scan(queries, k: int):
@@ -160,10 +172,14 @@ def _scan(queries, k: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_ids, q = queries.value
+        best = None
         for pdf in batches:
             for a in range(0, len(pdf), 4096):
                 part = pdf.iloc[a : a + 4096]
-                yield exact_best(q_ids, q, part["vec_id"].to_numpy(np.int64), _matrix(part["embedding"]), k)
+                own = exact_best(q_ids, q, part["vec_id"].to_numpy(np.int64), _matrix(part["embedding"]), k)
+                best = pd.concat([best, own]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+        if best is not None:
+            yield best
 
     return run
 
@@ -178,28 +194,42 @@ def _file(tree, most: float):
     return run
 
 
-def _visits(tree, parts: dict[int, int], visits: int):
+def _visits(tree, buckets: dict[int, tuple[int, int]], visits: int):
+    """A row for each query and bucket, with the leaves of the bucket that the query visits."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = tree.value
         for pdf in batches:
             rows = []
             for i, v in zip(pdf["vec_id"], pdf["embedding"], strict=True):
+                by_bucket: dict[int, list[int]] = {}
                 for leaf in own.walk(np.append(np.asarray(v, np.float64), 0.0), visits):
-                    rows += [(leaf, part, i, v) for part in range(parts.get(leaf, 0))]
-            yield pd.DataFrame(rows, columns=["leaf", "part", "query_id", "query"])
+                    first, n = buckets.get(leaf, (0, 0))
+                    for bucket in range(first, first + n):
+                        by_bucket.setdefault(bucket, []).append(leaf)
+                rows += [(bucket, i, v, leaves) for bucket, leaves in by_bucket.items()]
+            yield pd.DataFrame(rows, columns=["bucket", "query_id", "query", "leaves"])
 
     return run
 
 
 def _score(k: int):
     def run(key, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        x, ids = _matrix(vectors["embedding"]), vectors["vec_id"].to_numpy(np.int64)
-        out = [pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})]
-        if len(x):
-            for a in range(0, len(queries), 1024):
-                part = queries.iloc[a : a + 1024]
-                out.append(exact_best(part["query_id"].to_numpy(np.int64), _matrix(part["query"]), ids, x, k))
-        return pd.concat(out[1:] or out)
+        vectors = vectors.sort_values("leaf", kind="stable")
+        x, ids, leaf = _matrix(vectors["embedding"]), vectors["vec_id"].to_numpy(np.int64), vectors["leaf"].to_numpy()
+        out = []
+        for a in range(0, len(queries) if len(x) else 0, QUERIES):
+            part = queries.iloc[a : a + QUERIES]
+            q = _matrix(part["query"])
+            asked = np.concatenate([np.asarray(v) for v in part["leaves"]])
+            asker = np.repeat(np.arange(len(part)), part["leaves"].map(len))
+            rough = np.full((len(q), len(x)), -np.inf)
+            for own in np.unique(asked):
+                who = asker[asked == own]
+                span = slice(*np.searchsorted(leaf, [own, own + 1]))
+                rough[who, span] = q[who] @ x[span].T
+            out.append(exact_best(part["query_id"].to_numpy(np.int64), q, ids, x, k, rough))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
 
     return run
 
@@ -214,7 +244,7 @@ class Index:
         size = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").head()
         self.empty = size is None
         if self.empty:
-            self.files = good.withColumns({"leaf": F.lit(0), "part": F.lit(0)})
+            self.files = good
             return
         good = good.filter(F.size("embedding") == size["d"])
         n = size["count"]
@@ -227,9 +257,18 @@ class Index:
         self.tree = spark.sparkContext.broadcast(tree)
         filed = written(good.mapInPandas(_file(self.tree, self.most), "vec_id long, embedding array<float>, leaf int"), "filed")
         sizes = {r.leaf: r["count"] for r in filed.groupBy("leaf").count().collect()}  # a row per leaf
-        self.parts = {leaf: -(-c // p.part) for leaf, c in sizes.items()}
-        part = F.element_at(F.create_map(*[F.lit(v) for kv in self.parts.items() for v in kv]), F.col("leaf"))
-        self.files = filed.withColumn("part", F.pmod(F.xxhash64(F.lit(p.seed), "vec_id"), part).cast("int"))
+        #: The first bucket of each leaf, and over how many its vectors are spread.
+        self.buckets: dict[int, tuple[int, int]] = {}
+        bucket, held = 0, 0
+        for leaf, c in sorted(sizes.items()):
+            if held and held + c > p.bucket:
+                bucket, held = bucket + 1, 0
+            n = max(1, -(-c // p.bucket))
+            self.buckets[leaf] = (bucket, n)
+            bucket, held = (bucket + n, 0) if n > 1 else (bucket, held + c)
+        pairs = [F.lit(v) for leaf, (first, n) in self.buckets.items() for v in (leaf, F.struct(F.lit(first).alias("first"), F.lit(n).alias("n")))]
+        place = F.element_at(F.create_map(*pairs), F.col("leaf"))
+        self.files = filed.withColumn("bucket", (place["first"] + F.pmod(F.xxhash64(F.lit(p.seed), "vec_id"), place["n"])).cast("int"))
         self.calibrate()
 
     def calibrate(self) -> None:
@@ -253,9 +292,13 @@ class Index:
         if self.empty:
             return self.files.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
         queries = queries.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-        asked = queries.mapInPandas(_visits(self.tree, self.parts, self.visits), "leaf int, part int, query_id long, query array<float>")
-        # Groups are one part's vectors, which are bounded, with the queries that visit it.
-        pairs = self.files.select("leaf", "part", "vec_id", "embedding").groupBy("leaf", "part").cogroup(asked.groupBy("leaf", "part"))
+        asked = queries.mapInPandas(_visits(self.tree, self.buckets, self.visits), "bucket int, query_id long, query array<float>, leaves array<int>")
+        # Queries are spread over parts of a number that follows theirs, so a group is a bucket's bounded vectors with a
+        # bounded share of the queries that visit it.
+        parts = max(1, -(-queries.count() // self.p.together))
+        part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")
+        copies = self.files.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "leaf", "vec_id", "embedding")
+        pairs = copies.groupBy("bucket", "part").cogroup(asked.withColumn("part", part).groupBy("bucket", "part"))
         return _merge(pairs.applyInPandas(_score(self.p.k), _BEST), self.p.k)
 
 
