@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 
 MAGIC, VERSION = b"GRNS", 1
-SCALE_BITS, CHECKPOINT_ROWS = 20, 512
+SCALE_BITS, CHECKPOINT_ROWS = 20, 256
 _LOW, _WORD = np.uint64(1 << 31), np.uint64(32)
 _HEAD = struct.Struct("<4s7I")
 
@@ -62,8 +62,8 @@ class Table:
 
 
 def lanes_for(n: int) -> int:
-    """A power of two up to 1024, with at least 64 rows unless the block is tiny."""
-    return 1 << max(0, min(10, (n // 64).bit_length()))
+    """A power of two up to 4096, with at least 32 rows unless the block is tiny."""
+    return 1 << max(0, min(12, (n // 64).bit_length()))
 
 
 def encode(ids: np.ndarray, table: Table) -> bytes:

@@ -28,7 +28,7 @@ from gleaner.llm.common import chunks, new_path, written
 from gleaner.llm.tokens import coder as coder_of
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 20
 #: Characters that are tokenized at once.
 TEXT_CHARS = 2_000_000
 
@@ -51,11 +51,15 @@ def _raw_blocks(tokenizer: str, end_id: int, block_tokens: int):
         coder = coder_of(tokenizer)
         shard, block, first = 0, 0, 0
         ids, docs, null, lens, held = [], [], [], [], 0
+        counts = np.zeros(0, np.int64)
 
         def flush():
-            nonlocal ids, docs, null, lens, held, block, first
+            nonlocal ids, docs, null, lens, held, block, first, counts
             flat, n = np.concatenate(ids), np.concatenate(lens)
-            row = (shard, block, first, len(docs), held, _doc_index(docs, null, n), zlib.compress(flat.astype("<u4" if flat.max(initial=0) > 65535 else "<u2").tobytes(), 1))
+            own = np.bincount(flat, minlength=len(counts))
+            own[: len(counts)] += counts
+            counts = own
+            row = (shard, block, first, len(docs), held, _doc_index(docs, null, n), flat.astype("<u4" if flat.max(initial=0) > 65535 else "<u2").tobytes())
             block, first = block + 1, first + held
             ids, docs, null, lens, held = [], [], [], [], 0
             return pd.DataFrame([row], columns=["shard", "block", "first_token", "n_docs", "n_tokens", "docs", "ids"])
@@ -77,22 +81,24 @@ def _raw_blocks(tokenizer: str, end_id: int, block_tokens: int):
                     yield flush()
         if docs:
             yield flush()
+        if len(counts):  # the task's token counts, as a block of number -1
+            yield pd.DataFrame([(shard, -1, 0, 0, 0, b"", zlib.compress(counts.tobytes(), 1))], columns=["shard", "block", "first_token", "n_docs", "n_tokens", "docs", "ids"])
 
     return run
 
 
 def _ids(data: bytes, n: int) -> np.ndarray:
-    raw = zlib.decompress(data)
-    return np.frombuffer(raw, "<u4" if len(raw) == 4 * n else "<u2")
+    return np.frombuffer(data, "<u4" if len(data) == 4 * n else "<u2")
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(0, np.int64)
     for pdf in batches:
-        for data, n in zip(pdf["ids"], pdf["n_tokens"], strict=True):
-            c = np.bincount(_ids(data, n), minlength=len(total))
-            c[: len(total)] += total
-            total = c
+        for data in pdf["ids"]:
+            c = np.frombuffer(zlib.decompress(data), "<i8").copy()
+            short, long = sorted((c, total), key=len)
+            long[: len(short)] += short
+            total = long
     seen = np.flatnonzero(total)
     yield pd.DataFrame({"token": seen, "n": total[seen]})
 
@@ -117,13 +123,13 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str = TOKENIZER,
     # Equal ids are parted by the text's hash, so that one id can't fill a task.
     dealt = dealt.repartitionByRange("doc_id", "tie").sortWithinPartitions(*order).select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text", F.spark_partition_id().alias("shard"))
     raw = written(dealt.mapInPandas(_raw_blocks(tokenizer, end_id, block_tokens), _RAW), "token-ids")
-    counted = raw.select("ids", "n_tokens").mapInPandas(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = raw.filter("block < 0").select("ids").mapInPandas(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     seen = counted.toPandas()  # at most the tokenizer's vocabulary
     counts = np.zeros(int(seen["token"].max()) + 1 if len(seen) else 1, np.int64)
     counts[seen["token"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
     freq = rans.Table.of_counts(counts).freq.astype("<u8").tobytes()
     spark.createDataFrame([(end_id, rans.SCALE_BITS, bytearray(freq))], "end_id long, scale_bits int, freq binary").coalesce(1).write.parquet(f"{path}/table")
-    raw.mapInPandas(_coder(freq), _CODED).write.option("compression", "none").parquet(f"{path}/blocks")
+    raw.filter("block >= 0").mapInPandas(_coder(freq), _CODED).write.option("compression", "none").parquet(f"{path}/blocks")
     return path
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain, repeat
+from itertools import chain, groupby, repeat
 
 import numpy as np
 import regex
@@ -23,6 +23,8 @@ def tokenizer_file(name: str) -> str:
 #: Chunks of these characters are the same under NFC, have one-to-one lower cases, no white space and no "<", with
 #: which special tokens begin.
 _PLAIN = re.compile("[\x21-;=-\x7e¡-įı-ɏ]*")
+#: Texts of such chunks and ASCII spaces: they are lower-cased at once.
+_PLAIN_TEXT = re.compile("[ \t\n\r\x21-;=-\x7e¡-įı-ɏ]*")
 
 
 def byte_characters() -> list[str]:
@@ -39,10 +41,10 @@ class ChunkTokenizer:
     carriage return, so a text's ids are those of its chunks in order, and a chunk's those of its pre-token
     pieces.  Chunks of plain Latin characters are cut into pieces here and each distinct piece is merged once by
     the library's model; other chunks, and those with a special token's string, are left to the library whole.
-    Memos start anew once they hold ``most`` entries, so memory is bounded.
+    Chunks and pieces are kept in one memo, which starts anew once it holds ``most`` entries, so memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,39 +55,23 @@ class ChunkTokenizer:
         forms = [n["type"] for n in (own.get("normalizer") or {}).get("normalizers", [])]
         if [s["type"] for s in steps] != ["Split", "ByteLevel"] or not steps[0]["invert"] or steps[0]["behavior"] != "Removed" or forms != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("chunks can be encoded apart only for a lower-casing tokenizer that drops white space")
+        if not all(t["content"].startswith("<") for t in own["added_tokens"]):
+            raise ValueError("a special token doesn't begin with '<'")
         self._tokenizer = Tokenizer.from_file(path)
         self._merge = self._tokenizer.model.tokenize
         self._pieces = regex.compile(steps[0]["pattern"]["Regex"]).findall
-        if not all(t["content"].startswith("<") for t in own["added_tokens"]):
-            raise ValueError("a special token doesn't begin with '<'")
-        self._bytes = byte_characters()
+        self._bytes = dict(enumerate(byte_characters()))
         self._most = most
         self._clear()
 
     def _clear(self) -> None:
-        self._index, self._memo = {"": 0}, {}
-        self._start, self._len, self._used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 1
+        self._index = {"": 0}
+        self._start, self._len, self._used = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), 1
         self._pool, self._filled = np.zeros(1 << 16, np.uint32), 0
 
-    def _plain_ids(self, chunk: str) -> list[int]:
-        out = []
-        chunk = chunk.lower()
-        for piece in (chunk,) if chunk.isalpha() else self._pieces(chunk):
-            ids = self._memo.get(piece)
-            if ids is None:
-                coded = piece if piece.isascii() else "".join(map(self._bytes.__getitem__, piece.encode()))
-                ids = self._memo[piece] = [t.id for t in self._merge(coded)]
-            out += ids
-        return out
-
-    def _learn(self, missing: list[str]) -> None:
-        plain = _PLAIN.fullmatch
-        got = [self._plain_ids(w) if plain(w) else None for w in missing]
-        hard = [k for k, ids in enumerate(got) if ids is None]
-        for k, e in zip(hard, self._tokenizer.encode_batch([missing[k] for k in hard], add_special_tokens=False), strict=True):
-            got[k] = e.ids
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum()))
+    def _store(self, keys: list[str], ids: list[list[int]]) -> None:
+        lens = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum()))
         while self._filled + len(flat) > len(self._pool):
             self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
         self._pool[self._filled : self._filled + len(flat)] = flat
@@ -93,29 +79,71 @@ class ChunkTokenizer:
             self._len, self._start = (np.concatenate([a, np.zeros_like(a)]) for a in (self._len, self._start))
         at = slice(self._used, self._used + len(lens))
         self._len[at], self._start[at] = lens, self._filled + np.cumsum(lens) - lens
-        self._index.update(zip(missing, range(self._used, self._used + len(missing)), strict=True))
+        self._index.update(zip(keys, range(self._used, self._used + len(keys)), strict=True))
         self._used += len(lens)
         self._filled += len(flat)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids after one another, and how many each text has."""
-        if len(self._index) + len(self._memo) > self._most:
-            self._clear()
-        parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    def _coded(self, piece: str) -> str:
+        return piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._bytes)
+
+    def _learn(self, missing: list[str], lowered: bool) -> None:
+        """Adds chunks to the memo; ``lowered`` ones are plain and in lower case."""
+        index, merge, coded, split = self._index, self._merge, self._coded, self._pieces
+        if not lowered:
+            plain = _PLAIN.fullmatch
+            hard = [w for w in missing if not plain(w)]
+            if hard:
+                self._store(hard, [e.ids for e in self._tokenizer.encode_batch(hard, add_special_tokens=False)])
+                missing = [w for w in missing if w not in index]
+        whole = [w for w in missing if w.isalpha() and (lowered or w.islower())]
+        mixed = {w: split(w.lower()) for w in missing if not (w.isalpha() and (lowered or w.islower()))}
+        new = whole + list(dict.fromkeys(p for pieces in mixed.values() for p in pieces if p not in index).keys() - set(whole))
+        self._store(new, [[t.id for t in merge(coded(p))] for p in new])
+        rest = [w for w in mixed if w not in index]
+        start, size, pool = self._start, self._len, self._pool
+        ids = []
+        for w in rest:
+            own = []
+            for p in mixed[w]:
+                k = index[p]
+                own += pool[start[k] : start[k] + size[k]].tolist()
+            ids.append(own)
+        self._store(rest, ids)
+
+    def _places(self, texts: list[str], lowered: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The memo's place of every chunk, and how many chunks each text has."""
+        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         flat = list(chain.from_iterable(parts))
         get = self._index.get
-        idx = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
+        idx = np.fromiter(map(get, flat, repeat(-1)), np.int32, len(flat))
         new = np.flatnonzero(idx < 0).tolist()
         if new:
-            self._learn(list(dict.fromkeys([flat[k] for k in new])))
+            self._learn(list(dict.fromkeys([flat[k] for k in new])), lowered)
             idx[new] = [get(flat[k]) for k in new]
+        return idx, np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def _ids(self, texts: list[str], lowered: bool) -> tuple[np.ndarray, np.ndarray]:
+        idx, sizes = self._places(texts, lowered)
         lens = self._len[idx]
-        ends = np.concatenate([[0], np.cumsum(lens)])
-        at = np.repeat(self._start[idx] - ends[:-1], lens) + np.arange(ends[-1])
+        ends = np.zeros(len(lens) + 1, np.int64)
+        np.cumsum(lens, out=ends[1:])
+        at = np.repeat(self._start[idx] - ends[:-1].astype(np.int32), lens)
+        at += np.arange(len(at), dtype=np.int32)
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         return self._pool[at], ends[bounds[1:]] - ends[bounds[:-1]]
 
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids after one another, and how many each text has."""
+        if len(self._index) > self._most:
+            self._clear()
+        plain = [bool(t is None or _PLAIN_TEXT.fullmatch(t)) for t in texts]
+        if all(plain):
+            return self._ids([(t or "").lower() for t in texts], True)
+        out = []  # runs of texts of one kind
+        for kind, run in groupby(zip(plain, texts, strict=True), key=lambda x: x[0]):
+            out.append(self._ids([(t or "").lower() if kind else t for _, t in run], kind))
+        return np.concatenate([ids for ids, _ in out]), np.concatenate([n for _, n in out])
+
 
 _coders: dict[str, ChunkTokenizer] = {}
 
