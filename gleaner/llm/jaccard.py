@@ -8,9 +8,9 @@
 3.  Candidates that share a prefix shingle pass the length filter, the positional filter (what is left after the shared
     shingle bounds the overlap) and the suffix filter (the sets' counts per hash cell differ by at least the size of
     their difference), then each pair is verified once on whole sets.
-4.  Two rounds keep large groups of near copies from making all pairs, and lose no link that matters to a component:
-    first each member of a prefix bucket is paired with the bucket's first and with its neighbour by size; after
-    components are found, the second round pairs all members of a bucket that are still in different components.
+4.  Rounds keep large groups of near copies from making all pairs, and lose no link that matters to a component: in the
+    first ones each member of a prefix bucket is paired with its neighbour in a random order (``ORDERS`` different ones, by
+    bucket; later ones, with more neighbours, where components differ), and components are found; the last round pairs all members of a bucket that are still in different components.
 
 Edge cases: null and empty texts have the empty set and link with nothing; so do rows with a null doc_id (their
 component is null); texts shorter than a shingle have one shingle, the whole; rows of one doc_id and other texts are
@@ -37,6 +37,10 @@ from gleaner.llm.components import components
 SKETCH, SLICES, CELLS = 1 << 20, 64, 32
 #: Up to this many candidates' ids go to all executors to pick their texts; more are joined by shuffle.
 SMALL_CANDIDATES = 300_000
+#: Random orders of buckets' members, and rounds of neighbours before all remaining pairs are tried.
+ORDERS, ROUNDS = 16, 3
+#: Neighbours that are tried in a round, the first round having most to try and needing least.
+NEIGHBOURS = (1, 12, 12)
 
 
 @dataclass(frozen=True)
@@ -113,8 +117,9 @@ def _prefixes(sim: Similarity, sketch):
                 own = _set_of(text, sim)
                 if len(own):
                     rare = np.lexsort((own, counts[(own & np.uint64(SKETCH - 1)).astype(np.int64)]))[: sim.prefix(len(own))]
-                    cells = np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=CELLS)
-                    rows.append((d, len(own), _digest(own, d)[0], own[rare].view(np.int64), cells.astype(np.int32)))
+                    # Cut at 127: cut counts differ by no more than whole ones.
+                    cells = np.minimum(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=CELLS), 127)
+                    rows.append((d, len(own), _digest(own, d)[0], own[rare].view(np.int64), cells.astype(np.int8)))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "d1", "prefix", "cells"])
 
     return run
@@ -156,13 +161,16 @@ class _Join:
         left = F.least(x["n"] - x["pos"], y["n"] - y["pos"])
         return self.sim.lengths_agree(x["n"], y["n"]) & (left >= self.sim.least_overlap(x["n"] + y["n"]))
 
+    def near(self, n_x: Column, n_y: Column, x: Column, y: Column) -> Column:
+        """The suffix filter: sets of these sizes and cells may be near enough."""
+        apart = F.aggregate(F.zip_with(x, y, lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda a, d: a + d)
+        return apart <= n_x + n_y - 2 * self.sim.least_overlap(n_x + n_y)
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that reach the threshold: suffix filter, then whole sets."""
         sides = [self.reps.select(F.col("d1").alias(s), F.col("n").alias(f"n_{s}"), F.col("cells").alias(f"cells_{s}")) for s in "uv"]
-        apart = F.aggregate(F.zip_with("cells_u", "cells_v", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, x: a + x)
-        both = F.col("n_u") + F.col("n_v")
-        close = pairs.join(sides[0], "u").join(sides[1], "v").filter(apart <= both - 2 * self.sim.least_overlap(both)).select("u", "v")
-        close = written(close, "close-pairs")
+        near = self.near(F.col("n_u"), F.col("n_v"), F.col("cells_u"), F.col("cells_v"))
+        close = written(pairs.join(sides[0], "u").join(sides[1], "v").filter(near).select("u", "v"), "close-pairs")
         wanted = close.select(F.col("u").alias("d1")).unionByName(close.select(F.col("v").alias("d1"))).distinct()
         picked = small(written(wanted.join(self.reps, "d1").select("d1", "doc_id"), "picked"), SMALL_CANDIDATES)
         texts = self.docs.join(picked, "doc_id").select("d1", "text")
@@ -170,24 +178,53 @@ class _Join:
         sets = [own.select(F.col("d1").alias(s), F.col("own").alias(f"own_{s}")) for s in "uv"]
         return written(close.join(sets[0], "u").join(sets[1], "v").mapInPandas(_verify(self.sim), "u long, v long").distinct(), "links")
 
-    def first_pairs(self, buckets: DataFrame) -> DataFrame:
-        """Each member of a bucket with the bucket's first and with the one before it."""
-        me = F.struct("n", "pos")
-        partners = F.filter(F.array("first", "before"), lambda p: p.isNotNull() & (p["d1"] != F.col("d1")) & self.possible(p, me))
-        rows = buckets.filter("before IS NOT NULL").select("d1", F.explode(partners).alias("p"))
-        return rows.select(F.least("d1", "p.d1").alias("u"), F.greatest("d1", "p.d1").alias("v")).distinct()
-
-    def other_pairs(self, buckets: DataFrame, component: DataFrame) -> DataFrame:
-        """All pairs of a bucket whose members are in different components."""
+    def neighbours(self, buckets: DataFrame, round_: int) -> DataFrame:
+        """The rows of buckets with the members ``before`` each in the round's order, nearest first, and one after it."""
+        order = Window.partitionBy("g").orderBy(F.xxhash64("d1", F.pmod("g", F.lit(ORDERS)), F.lit(round_)), "d1")
+        member = F.struct("d1", "n", "pos", "c")
+        before = F.array_compact(F.array(*[F.lag(member, k).over(order) for k in range(1, NEIGHBOURS[round_] + 1)]))
+        return buckets.withColumns({"before": before, "after": F.lead("d1").over(order)})
+
+    def neighbour_pairs(self, rows: DataFrame) -> DataFrame:
+        """Neighbours of different components that pass the filters."""
+        fits = F.filter("before", lambda p: (p["c"] != F.col("c")) & (p["d1"] != F.col("d1")) & self.possible(p, F.struct("n", "pos")))
+        pairs = rows.select("d1", F.explode(F.transform(fits, lambda p: p["d1"])).alias("other"))
+        return pairs.select(F.least("d1", "other").alias("u"), F.greatest("d1", "other").alias("v")).distinct()
+
+    def mixed(self, buckets: DataFrame, component: DataFrame) -> DataFrame:
+        """The rows, with their components ``c``, of buckets that hold more than one component."""
         known = component.select(F.col("node").alias("d1"), "component")
         rows = buckets.select("g", "d1", "n", "pos").join(known, "d1", "left").withColumn("c", F.coalesce("component", "d1")).drop("component")
-        mixed = rows.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("g")
-        rows = written(rows.join(mixed, "g", "left_semi"), "mixed-buckets")
+        several = rows.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("g")
+        return written(rows.join(several, "g", "left_semi"), "mixed-buckets")
+
+    def other_pairs(self, mixed: DataFrame) -> DataFrame:
+        """All pairs of a bucket whose members are in different components and pass the filters."""
+        rows = mixed.join(self.reps.select("d1", "cells"), "d1")
         x, y = rows.alias("x"), rows.alias("y")
         apart = (F.col("x.d1") < F.col("y.d1")) & (F.col("x.c") != F.col("y.c"))
-        fits = self.possible(F.struct("x.n", "x.pos"), F.struct("y.n", "y.pos"))
+        fits = self.possible(F.struct("x.n", "x.pos"), F.struct("y.n", "y.pos")) & self.near(F.col("x.n"), F.col("y.n"), F.col("x.cells"), F.col("y.cells"))
         return x.join(y, (F.col("x.g") == F.col("y.g")) & apart & fits).select(F.col("x.d1").alias("u"), F.col("y.d1").alias("v")).distinct()
 
+    def components(self, postings: DataFrame) -> DataFrame:
+        """node, component over all links that matter, from postings (g, d1, n, pos)."""
+        rows = self.neighbours(postings.withColumn("c", F.col("d1")), 0)
+        buckets = written(rows.filter("size(before) > 0 OR after IS NOT NULL").drop("after"), "buckets")
+        tried = written(self.neighbour_pairs(buckets), "pairs")
+        links = self.linked(tried)
+        component = components(links)
+        for round_ in range(1, ROUNDS + 1):
+            buckets = self.mixed(buckets, component)
+            found = self.neighbour_pairs(self.neighbours(buckets, round_)) if round_ < ROUNDS else self.other_pairs(buckets)
+            fresh = written(found.join(tried, ["u", "v"], "left_anti"), "pairs")
+            more = self.linked(fresh)
+            if not more.isEmpty():
+                links, tried = links.unionByName(more), tried.unionByName(fresh)
+                component = components(links)
+            elif round_ < ROUNDS:
+                tried = tried.unionByName(fresh)
+        return component
+
 
 def groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of ``docs``."""
@@ -203,21 +240,12 @@ def groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
         if classes.filter("low <> high").isEmpty():  # else two sets share 64 bits: hash anew
             break
     sketch = spark.sparkContext.broadcast(_sketch(signatures))
-    shape = "doc_id long, n long, d1 long, prefix array<long>, cells array<int>"
+    shape = "doc_id long, n long, d1 long, prefix array<long>, cells array<tinyint>"
     chosen = named.mapInPandas(_prefixes(sim, sketch), shape).join(classes.select("d1", F.col("rep").alias("doc_id")), ["d1", "doc_id"], "left_semi")
     chosen = written(chosen, "prefixes")
     join = _Join(named, chosen.select("d1", "n", "doc_id", "cells"), sim)
     postings = chosen.select(F.posexplode("prefix").alias("pos", "g"), "d1", "n")
-    by_size = Window.partitionBy("g").orderBy("n", "d1")
-    member = F.struct("d1", "n", "pos")
-    buckets = postings.select("g", "d1", "n", "pos", F.lag(member).over(by_size).alias("before"), F.lead("d1").over(by_size).alias("after"), F.first(member).over(by_size).alias("first"))
-    buckets = written(buckets.filter("before IS NOT NULL OR after IS NOT NULL").drop("after"), "buckets")
-    first = written(join.first_pairs(buckets), "first-pairs")
-    links = join.linked(first)
-    component = components(links)
-    more = join.linked(join.other_pairs(buckets, component).join(first, ["u", "v"], "left_anti"))
-    if not more.isEmpty():
-        component = components(links.unionByName(more))
+    component = join.components(postings.select("g", "d1", "n", "pos"))
     named_by = classes.join(component, F.col("d1") == F.col("node"), "left").select("d1", "rep", F.coalesce("component", "d1").alias("c"))
     least = named_by.groupBy("c").agg(F.min("rep").alias("component_id"))
     final = written(named_by.join(least, "c").select("d1", "component_id"), "class-components")
