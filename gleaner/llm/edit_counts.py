@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.tokens import byte_characters, tokenizer_file
 
 TOKENIZER = "byte_bpe_50k.json"
-LEAF, CONTEXT, MEMO = 64, 2, 400_000
+LEAF, CONTEXT, MEMO = 64, 2, 250_000
 #: The pre-token pattern of byte-level tokenizers: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -161,6 +161,11 @@ class TokenTree:
                     tree[i] = tree[2 * i] + tree[2 * i + 1]
 
 
+def _whole(x) -> int:
+    """A number in a pandas row; null, however it is written there, is 0."""
+    return 0 if x is None or x != x else int(x)
+
+
 _counters: dict[str, PieceCounter] = {}
 
 
@@ -176,7 +181,7 @@ def _run(tokenizer: str, columns: list[str]):
                 before, planted = tree.tokens, tree.encoded
                 for e in edits if edits is not None else ():
                     if e is not None:
-                        tree.edit(e["pos"] or 0, e["n_delete"] or 0, e["insert"] or "")
+                        tree.edit(_whole(e["pos"]), _whole(e["n_delete"]), e["insert"] or "")
                 rows.append((before, tree.tokens, planted, tree.encoded - planted))
             done = pd.DataFrame(rows, columns=["n_tokens", "n_tokens_edited", "n_pretokens", "n_reencoded"])
             yield pd.concat([pdf[columns].reset_index(drop=True), done], axis=1)

@@ -209,7 +209,7 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
     keyed = _keyed(docs).withColumn("tie", F.xxhash64("text"))
     lines = written(keyed.mapInPandas(_probe_rows(shards, 1 << 20, min_chars), "shard int, salt int, h1 long, h2 long, doc_id long, tie long"), "line-probes")
     salts = max(1, -(-lines.count() // (shards * PROBES_A_TASK)))
-    blank = [F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "doc_id", "tie")]
+    blank = [F.lit(0).cast("long").alias(c) for c in ("h1", "h2", "doc_id", "tie")]
     copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), *blank, "data")
     probes = lines.withColumn("salt", F.pmod("salt", F.lit(salts)).cast("int")).withColumn("data", F.lit(None).cast("binary"))
     placed = probes.unionByName(copies).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("data").isNull())

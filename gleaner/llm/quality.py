@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from operator import eq
 
 import numpy as np
@@ -27,7 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MEMO_WORDS = 400_000
+#: Words whose sums are kept, and how many of the first, which are common, stay when there are more.
+MEMO_WORDS, MEMO_KEPT = 200_000, 80_000
 #: Features of a word that repeats the one before.
 REPEAT_FEATURES = 8
 
@@ -151,7 +153,8 @@ def scorer(model: tuple[np.ndarray, float], p: Params = Params()):
             out = []
             for t in part:
                 if len(memo) > MEMO_WORDS:
-                    memo.clear()
+                    for w in list(islice(memo, MEMO_KEPT, None)):
+                        del memo[w]
                 out.append(score(t))
             yield pd.Series(out, dtype="float64")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain, groupby, repeat
+from itertools import chain, groupby, islice, repeat
 
 import numpy as np
 import regex
@@ -41,10 +41,11 @@ class ChunkTokenizer:
     carriage return, so a text's ids are those of its chunks in order, and a chunk's those of its pre-token
     pieces.  Chunks of plain Latin characters are cut into pieces here and each distinct piece is merged once by
     the library's model; other chunks, and those with a special token's string, are left to the library whole.
-    Chunks and pieces are kept in one memo, which starts anew once it holds ``most`` entries, so memory is bounded.
+    Chunks and pieces are kept in one memo of bounded size: once it holds ``most`` entries it is cut back to its first
+    ones, which came early because they are common.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -69,6 +70,11 @@ class ChunkTokenizer:
         self._start, self._len, self._used = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), 1
         self._pool, self._filled = np.zeros(1 << 16, np.uint32), 0
 
+    def _cut(self, keep: int) -> None:
+        self._index = dict(islice(self._index.items(), keep))
+        self._used = len(self._index)
+        self._filled = int(self._start[self._used - 1] + self._len[self._used - 1])
+
     def _store(self, keys: list[str], ids: list[list[int]]) -> None:
         lens = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum()))
@@ -135,7 +141,7 @@ class ChunkTokenizer:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids after one another, and how many each text has."""
         if len(self._index) > self._most:
-            self._clear()
+            self._cut(self._most * 2 // 5)
         plain = [bool(t is None or _PLAIN_TEXT.fullmatch(t)) for t in texts]
         if all(plain):
             return self._ids([(t or "").lower() for t in texts], True)
