@@ -214,7 +214,7 @@ def human_size(n: Column) -> Column:
     """Bytes in the first unit of which there are fewer than 1024."""
     value, out = n.cast("double"), None
     for power, unit in enumerate(("B", "KB", "MB", "GB")):
-        text = F.concat(F.format_number(F.bround(value / 1024**power, 1), "0.0"), F.lit(f" {unit}"))
+        text = F.concat(F.format_string("%.1f", F.bround(value / 1024**power, 1)), F.lit(f" {unit}"))
         fits = value < 1024 ** (power + 1)
         out = F.when(fits, text) if out is None else out.when(fits, text)
-    return out.otherwise(F.concat(F.format_number(F.bround(value / 1024**4, 1), "0.0"), F.lit(" TB")))
+    return out.otherwise(F.concat(F.format_string("%.1f", F.bround(value / 1024**4, 1)), F.lit(" TB")))

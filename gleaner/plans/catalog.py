@@ -186,10 +186,10 @@ def top_tags(spark, sf):
     return rollups.tag_counts(tables(spark, sf, "benchmark")["benchmark"].withColumn("tags", F.split("text", " ", -1)), "tags", 30)
 
 
-@query("SELECT n_name, count(*) AS n, round(avg(c_acctbal), 2) AS avg_balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+@query("SELECT n_name, count(*) AS n, round(avg(c_acctbal), 6) AS avg_balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def sql_report(spark, sf):
     t = tables(spark, sf, "customer", "nation")
-    return spark.sql("SELECT n_name, count(*) AS n, round(avg(c_acctbal), 2) AS avg_balance FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name", **t)
+    return spark.sql("SELECT n_name, count(*) AS n, round(avg(c_acctbal), 6) AS avg_balance FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name", **t)
 
 
 # ---- dedupe, state ----
