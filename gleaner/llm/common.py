@@ -46,15 +46,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows and bytes of an Arrow batch: texts can be long, and a worker holds a batch several times over.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("268435456", str(8 << 20))}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches, where the session still has Spark's own sizes."""
+    for key, (default, own) in BATCH.items():
+        if spark.conf.get(key, default) in (default, "256MB", "256m"):
+            spark.conf.set(key, own)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -60,6 +60,7 @@ def _count(tokenizer: str):
                 parts = [_merge([*parts, (codes, np.ones(len(codes)), wanted.astype(np.float64))])]
                 if len(parts[0][0]) > FLUSH:
                     yield pd.DataFrame(dict(zip(("code", "background", "target"), parts.pop(), strict=True)))
+        coder(tokenizer).rest()
         if parts:
             yield pd.DataFrame(dict(zip(("code", "background", "target"), parts.pop(), strict=True)))
 
@@ -103,6 +104,7 @@ def _sums(table, tokenizer: str, low: int, high: int):
                 starts = np.cumsum(n) - n
                 t, b = (np.add.reduceat(np.where(hit, x[at], 0.0)[inv], starts) for x in (target, background))
                 yield pd.DataFrame({"doc_id": [r[0] for r in rows], "tie": [r[1] for r in rows], "n_tokens": n, "t": t, "b": b})
+        coder(tokenizer).rest()
 
     return run
 

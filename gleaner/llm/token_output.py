@@ -81,6 +81,7 @@ def _raw_blocks(tokenizer: str, end_id: int, block_tokens: int):
                     yield flush()
         if docs:
             yield flush()
+        coder.rest()
         if len(counts):  # the task's token counts, as a block of number -1
             yield pd.DataFrame([(shard, -1, 0, 0, 0, b"", zlib.compress(counts.tobytes(), 1))], columns=["shard", "block", "first_token", "n_docs", "n_tokens", "docs", "ids"])
 

@@ -70,10 +70,17 @@ class ChunkTokenizer:
         self._start, self._len, self._used = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), 1
         self._pool, self._filled = np.zeros(1 << 16, np.uint32), 0
 
+    def rest(self, keep: int = 120_000) -> None:
+        """Cuts the memo back between tasks: workers are kept, and other work needs their memory."""
+        if len(self._index) > keep:
+            self._cut(keep)
+
     def _cut(self, keep: int) -> None:
         self._index = dict(islice(self._index.items(), keep))
         self._used = len(self._index)
         self._filled = int(self._start[self._used - 1] + self._len[self._used - 1])
+        self._pool = self._pool[: max(1 << 16, 2 * self._filled)].copy()
+        self._start, self._len = self._start[: self._used + 1].copy(), self._len[: self._used + 1].copy()
 
     def _store(self, keys: list[str], ids: list[list[int]]) -> None:
         lens = np.fromiter(map(len, ids), np.int32, len(ids))
@@ -92,29 +99,45 @@ class ChunkTokenizer:
     def _coded(self, piece: str) -> str:
         return piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._bytes)
 
+    def _known(self, piece: str) -> list[int]:
+        k = self._index[piece]
+        first = int(self._start[k])
+        return self._pool[first : first + int(self._len[k])].tolist()
+
     def _learn(self, missing: list[str], lowered: bool) -> None:
         """Adds chunks to the memo; ``lowered`` ones are plain and in lower case."""
-        index, merge, coded, split = self._index, self._merge, self._coded, self._pieces
+        index = self._index
         if not lowered:
             plain = _PLAIN.fullmatch
             hard = [w for w in missing if not plain(w)]
             if hard:
                 self._store(hard, [e.ids for e in self._tokenizer.encode_batch(hard, add_special_tokens=False)])
                 missing = [w for w in missing if w not in index]
-        whole = [w for w in missing if w.isalpha() and (lowered or w.islower())]
-        mixed = {w: split(w.lower()) for w in missing if not (w.isalpha() and (lowered or w.islower()))}
-        new = whole + list(dict.fromkeys(p for pieces in mixed.values() for p in pieces if p not in index).keys() - set(whole))
-        self._store(new, [[t.id for t in merge(coded(p))] for p in new])
-        rest = [w for w in mixed if w not in index]
-        start, size, pool = self._start, self._len, self._pool
-        ids = []
-        for w in rest:
-            own = []
-            for p in mixed[w]:
-                k = index[p]
-                own += pool[start[k] : start[k] + size[k]].tolist()
-            ids.append(own)
-        self._store(rest, ids)
+        merge, table, split = self._merge, self._bytes, self._pieces
+        fresh: dict[str, list[int]] = {}
+        joined: dict[str, list[int]] = {}
+
+        def ids_of(piece: str) -> list[int]:
+            ids = fresh.get(piece)
+            if ids is None:
+                if piece in index:
+                    return self._known(piece)
+                coded = piece if piece.isascii() else piece.encode().decode("latin-1").translate(table)
+                ids = fresh[piece] = [t.id for t in merge(coded)]
+            return ids
+
+        for w in missing:
+            low = w if lowered else w.lower()
+            if low.isalpha():
+                ids = ids_of(low)
+                if low is not w and low != w:
+                    joined[w] = ids
+            elif low[-1] in ".," and low[:-1].isalpha():  # the commonest of all cuts
+                joined[w] = ids_of(low[:-1]) + ids_of(low[-1])
+            else:
+                joined[w] = [i for p in split(low) for i in ids_of(p)]
+        rest = {w: ids for w, ids in joined.items() if w not in fresh}
+        self._store([*fresh, *rest], [*fresh.values(), *rest.values()])
 
     def _places(self, texts: list[str], lowered: bool) -> tuple[np.ndarray, np.ndarray]:
         """The memo's place of every chunk, and how many chunks each text has."""
