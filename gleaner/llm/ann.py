@@ -26,11 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.llm.common import written
+from gleaner.llm.common import small, written
 
 
 #: Queries whose products with a bucket are held at once, and pairs that are scored exactly at once.
 QUERIES, PAIRS = 256, 200_000
+#: Rows of buckets that are sent to every executor.
+SMALL_BUCKETS = 200_000
 
 
 @dataclass(frozen=True)
@@ -266,9 +268,9 @@ class Index:
             n = max(1, -(-c // p.bucket))
             self.buckets[leaf] = (bucket, n)
             bucket, held = (bucket + n, 0) if n > 1 else (bucket, held + c)
-        pairs = [F.lit(v) for leaf, (first, n) in self.buckets.items() for v in (leaf, F.struct(F.lit(first).alias("first"), F.lit(n).alias("n")))]
-        place = F.element_at(F.create_map(*pairs), F.col("leaf"))
-        self.files = filed.withColumn("bucket", (place["first"] + F.pmod(F.xxhash64(F.lit(p.seed), "vec_id"), place["n"])).cast("int"))
+        places = vectors.sparkSession.createDataFrame([(leaf, *x) for leaf, x in self.buckets.items()], "leaf int, first int, many int")
+        placed = filed.join(F.broadcast(places), "leaf")
+        self.files = placed.withColumn("bucket", (F.col("first") + F.pmod(F.xxhash64(F.lit(p.seed), "vec_id"), "many")).cast("int")).drop("first", "many")
         self.calibrate()
 
     def calibrate(self) -> None:
@@ -293,12 +295,14 @@ class Index:
             return self.files.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
         queries = queries.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
         asked = queries.mapInPandas(_visits(self.tree, self.buckets, self.visits), "bucket int, query_id long, query array<float>, leaves array<int>")
-        # Queries are spread over parts of a number that follows theirs, so a group is a bucket's bounded vectors with a
-        # bounded share of the queries that visit it.
-        parts = max(1, -(-queries.count() // self.p.together))
-        part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")
-        copies = self.files.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "leaf", "vec_id", "embedding")
-        pairs = copies.groupBy("bucket", "part").cogroup(asked.withColumn("part", part).groupBy("bucket", "part"))
+        asked = written(asked, "visits")
+        # A bucket's queries are spread over parts by their number, so a group is a bucket's bounded vectors with a bounded
+        # share of the queries that visit it; vectors are copied in proportion to the visits.
+        busy = asked.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / self.p.together).cast("int").alias("parts"))
+        busy = small(written(busy, "busy-buckets"), SMALL_BUCKETS)
+        asked = asked.join(busy, "bucket").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).drop("parts")
+        copies = self.files.join(busy, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "leaf", "vec_id", "embedding")
+        pairs = copies.groupBy("bucket", "part").cogroup(asked.groupBy("bucket", "part"))
         return _merge(pairs.applyInPandas(_score(self.p.k), _BEST), self.p.k)
 
 
