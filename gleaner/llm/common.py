@@ -57,12 +57,14 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, own)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage, survives lost executors, is computed once."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts lineage, survives lost executors, is computed once.
+
+    ``options`` are the writer's."""
     spark = df.sparkSession
     bound_batches(spark)
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

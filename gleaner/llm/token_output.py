@@ -123,14 +123,14 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str = TOKENIZER,
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     # Equal ids are parted by the text's hash, so that one id can't fill a task.
     dealt = dealt.repartitionByRange("doc_id", "tie").sortWithinPartitions(*order).select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text", F.spark_partition_id().alias("shard"))
-    raw = written(dealt.mapInPandas(_raw_blocks(tokenizer, end_id, block_tokens), _RAW), "token-ids")
+    raw = written(dealt.mapInPandas(_raw_blocks(tokenizer, end_id, block_tokens), _RAW), "token-ids", **{"parquet.enable.dictionary": "false"})
     counted = raw.filter("block < 0").select("ids").mapInPandas(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     seen = counted.toPandas()  # at most the tokenizer's vocabulary
     counts = np.zeros(int(seen["token"].max()) + 1 if len(seen) else 1, np.int64)
     counts[seen["token"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
     freq = rans.Table.of_counts(counts).freq.astype("<u8").tobytes()
     spark.createDataFrame([(end_id, rans.SCALE_BITS, bytearray(freq))], "end_id long, scale_bits int, freq binary").coalesce(1).write.parquet(f"{path}/table")
-    raw.filter("block >= 0").mapInPandas(_coder(freq), _CODED).write.option("compression", "none").parquet(f"{path}/blocks")
+    raw.filter("block >= 0").mapInPandas(_coder(freq), _CODED).write.options(**{"compression": "none", "parquet.enable.dictionary": "false"}).parquet(f"{path}/blocks")
     return path
 
 
