@@ -7,7 +7,7 @@ import os
 
 import pytest
 
-from gleaner.plans import catalog
+from gleaner.plans import catalog, feeds  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
