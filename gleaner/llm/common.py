@@ -65,7 +65,20 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     bound_batches(spark)
     path = new_path(spark, name)
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = (out, path)
+    return out
+
+
+_tables: dict[int, tuple[DataFrame, str]] = {}
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes written tables that nothing will read any more; what was written from them stays."""
+    for df in tables:
+        found = _tables.pop(id(df), None)
+        if found:
+            _delete(df.sparkSession, found[1])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

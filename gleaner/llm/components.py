@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import written
+from gleaner.llm.common import forget, written
 
 _MOST_ROUNDS = 60
 
@@ -41,7 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(_MOST_ROUNDS):
         if not before[0]:
             break
-        edges = written(_small_star(_large_star(edges)), "edges")
+        last, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        forget(last)
         after = _state(edges)
         if after == before:
             break

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.llm.common import shingles, small, words_of, written
+from gleaner.llm.common import forget, shingles, small, words_of, written
 from gleaner.llm.components import components
 
 #: Counters of the sketch that orders shingles, and the pieces in which it is summed.
@@ -172,11 +172,13 @@ class _Join:
         near = self.near(F.col("n_u"), F.col("n_v"), F.col("cells_u"), F.col("cells_v"))
         close = written(pairs.join(sides[0], "u").join(sides[1], "v").filter(near).select("u", "v"), "close-pairs")
         wanted = close.select(F.col("u").alias("d1")).unionByName(close.select(F.col("v").alias("d1"))).distinct()
-        picked = small(written(wanted.join(self.reps, "d1").select("d1", "doc_id"), "picked"), SMALL_CANDIDATES)
-        texts = self.docs.join(picked, "doc_id").select("d1", "text")
+        picked = written(wanted.join(self.reps, "d1").select("d1", "doc_id"), "picked")
+        texts = self.docs.join(small(picked, SMALL_CANDIDATES), "doc_id").select("d1", "text")
         own = written(texts.mapInPandas(_sets(self.sim), "d1 long, own binary"), "sets")
         sets = [own.select(F.col("d1").alias(s), F.col("own").alias(f"own_{s}")) for s in "uv"]
-        return written(close.join(sets[0], "u").join(sets[1], "v").mapInPandas(_verify(self.sim), "u long, v long").distinct(), "links")
+        links = written(close.join(sets[0], "u").join(sets[1], "v").mapInPandas(_verify(self.sim), "u long, v long").distinct(), "links")
+        forget(close, picked, own)
+        return links
 
     def neighbours(self, buckets: DataFrame, round_: int) -> DataFrame:
         """The rows of buckets with the members ``before`` each in the round's order, nearest first, and one after it."""
@@ -214,7 +216,8 @@ class _Join:
         links = self.linked(tried)
         component = components(links)
         for round_ in range(1, ROUNDS + 1):
-            buckets = self.mixed(buckets, component)
+            last, buckets = buckets, self.mixed(buckets, component)
+            forget(last)
             found = self.neighbour_pairs(self.neighbours(buckets, round_)) if round_ < ROUNDS else self.other_pairs(buckets)
             fresh = written(found.join(tried, ["u", "v"], "left_anti"), "pairs")
             more = self.linked(fresh)
@@ -223,6 +226,7 @@ class _Join:
                 component = components(links)
             elif round_ < ROUNDS:
                 tried = tried.unionByName(fresh)
+        forget(buckets)
         return component
 
 
@@ -249,6 +253,7 @@ def groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     named_by = classes.join(component, F.col("d1") == F.col("node"), "left").select("d1", "rep", F.coalesce("component", "d1").alias("c"))
     least = named_by.groupBy("c").agg(F.min("rep").alias("component_id"))
     final = written(named_by.join(least, "c").select("d1", "component_id"), "class-components")
+    forget(classes, chosen)
     out = own.join(final, "d1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     unnamed = rows.filter("doc_id IS NULL").mapInPandas(_sizes(sim), "doc_id long, n_shingles long, component_id long")
     return out.unionByName(unnamed)

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import SPACE, chunks, written
+from gleaner.llm.common import SPACE, chunks, forget, written
 from gleaner.llm.mph import PerfectHash
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -117,7 +117,9 @@ def build_index(counted: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame
     often = written(counted.filter(F.col("n_docs") >= min_docs), "often-lines")
     shards = max(1, -(-often.count() // SHARD_KEYS))
     shard = F.shiftrightunsigned(F.shiftrightunsigned("h1", 32) * shards, 32).cast("int")
-    return written(often.withColumn("shard", shard).groupBy("shard").applyInPandas(_build, "shard int, data binary"), "line-index"), shards
+    index = written(often.withColumn("shard", shard).groupBy("shard").applyInPandas(_build, "shard int, data binary"), "line-index")
+    forget(often)
+    return index, shards
 
 
 def _dropped(counts: np.ndarray, keepers: np.ndarray, doc_ids: np.ndarray, min_docs: int) -> np.ndarray:

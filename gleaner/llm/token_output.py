@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import rans
-from gleaner.llm.common import chunks, new_path, written
+from gleaner.llm.common import chunks, forget, new_path, written
 from gleaner.llm.tokens import coder as coder_of
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -131,6 +131,7 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str = TOKENIZER,
     freq = rans.Table.of_counts(counts).freq.astype("<u8").tobytes()
     spark.createDataFrame([(end_id, rans.SCALE_BITS, bytearray(freq))], "end_id long, scale_bits int, freq binary").coalesce(1).write.parquet(f"{path}/table")
     raw.filter("block >= 0").mapInPandas(_coder(freq), _CODED).write.options(**{"compression": "none", "parquet.enable.dictionary": "false"}).parquet(f"{path}/blocks")
+    forget(raw)
     return path
 
 
