@@ -57,10 +57,9 @@ def _after(text: Column, place: Column) -> Column:
 
 
 def _before_match(text: Column, match: Column) -> Column:
-    """What precedes the first place of a matched string."""
-    return F.substring(text, F.lit(1), F.greatest(F.locate(match, text) - 1, F.lit(0))) if isinstance(match, str) else F.when(
-        F.position(match, text) > 0, F.substring(text, F.lit(1), F.position(match, text) - 1)
-    ).otherwise(text)
+    """What precedes the first place of a matched string; the whole text without one."""
+    at = F.position(match, text)
+    return F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text)
 
 
 def _behind(text: Column, match: Column) -> Column:
