@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import chunks, small, written
 
 WINDOW, SHARE = 13, 20
-SHARD_WORDS, SHARD_CHARS, BLOCK_WORDS = 1_000_000, 6_000_000, 1_000_000
+SHARD_WORDS, SHARD_CHARS, BLOCK_WORDS = 600_000, 4_000_000, 1_000_000
 #: Up to this many contaminated rows are dropped by a broadcast; more by a shuffle.
 SMALL_BAD = 300_000
 
@@ -164,8 +164,12 @@ def _mark(windows: Windows):
     return run
 
 
-def _report(names: list[str | None], share: int):
+def _report(names: list[str | None], share: int, last: Windows):
+    """Marks the last block's windows and reports, in one worker: two chained maps would hold two at once."""
+    mark = _mark(last)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batches = mark(batches)
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 shard = _Shard(row)
@@ -225,12 +229,10 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: i
     hit words are at least one in ``share``."""
     names, items, vocabulary = _items(benchmark)
     index = build_index(docs, vocabulary)
-    blocks = list(chunks(items, lambda x: len(x[1]), BLOCK_WORDS))
-    for k, block in enumerate(blocks):
-        index = index.mapInPandas(_mark(Windows(block, vocabulary, window)), _INDEX)
-        if k + 1 < len(blocks):
-            index = written(index, "marked-postings")
-    return index.mapInPandas(_report(names, share), _RESULT)
+    *blocks, last = list(chunks(items, lambda x: len(x[1]), BLOCK_WORDS)) or [[]]
+    for block in blocks:
+        index = written(index.mapInPandas(_mark(Windows(block, vocabulary, window)), _INDEX), "marked-postings")
+    return index.mapInPandas(_report(names, share, Windows(last, vocabulary, window)), _RESULT)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
