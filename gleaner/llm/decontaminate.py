@@ -1,6 +1,6 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-``build_index`` cuts the documents into shards of whole documents (about ``SHARD_WORDS`` words each) and stores,
+``build_index`` cuts the documents into shards of whole documents (about ``SHARD_CHARS`` characters each) and stores,
 for every term that a benchmark item uses, the sorted word positions at which it occurs: one row per shard, in a
 written table.  The index is parted by document, so its size follows the corpus, no term's list is ever gathered
 in one task, and a search needs no shuffle.  ``search`` takes each distinct window of benchmark words, starts from
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import chunks, small, written
 
 WINDOW, SHARE = 13, 20
-SHARD_WORDS, SHARD_CHARS, BLOCK_WORDS = 600_000, 4_000_000, 1_000_000
+SHARD_CHARS, BLOCK_WORDS = 4_000_000, 1_000_000
 #: Up to this many contaminated rows are dropped by a broadcast; more by a shuffle.
 SMALL_BAD = 300_000
 
