@@ -105,6 +105,29 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone)
 FROM marked GROUP BY r
 """
 
+_OP6 = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS g
+  FROM docs, LATERAL (SELECT unnest(range(1, greatest(1, len(docs.w) - 3) + 1)) AS i) WHERE len(w) > 0
+), sizes AS (
+  SELECT r, count(*) AS n FROM grams GROUP BY r
+), shared AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS common FROM grams a JOIN grams b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r
+), links AS (
+  SELECT x, y FROM shared JOIN sizes sx ON sx.r = x JOIN sizes sy ON sy.r = y JOIN docs dx ON dx.r = x JOIN docs dy ON dy.r = y
+  WHERE 100 * common >= 85 * (sx.n + sy.n - common) AND dx.doc_id IS NOT NULL AND dy.doc_id IS NOT NULL
+), edges AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach(r, t) AS (
+  SELECT r, r FROM docs UNION SELECT reach.r, edges.y FROM reach JOIN edges ON edges.x = reach.t
+)
+SELECT any_value(d.doc_id) AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(t.doc_id) AS component_id
+FROM reach JOIN docs d ON d.r = reach.r JOIN docs t ON t.r = reach.t LEFT JOIN sizes ON sizes.r = d.r GROUP BY d.r
+"""
+
 _OP10 = r"""
 WITH words AS (
   SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS r,
@@ -133,4 +156,4 @@ SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_
 FROM words LEFT JOIN hits USING (r) LEFT JOIN listed USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": _OP5, "op10_decontaminate": _OP10}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": _OP5, "op6_jaccard": _OP6, "op10_decontaminate": _OP10}
