@@ -67,6 +67,58 @@ def markdown_reviews(spark, sf):
     return parsers.markdown_reviews(pages, "page").drop("pos")
 
 
+# The three above cut their texts; these feed every document whole. Missing ids, repeats and empty segments are added to the
+# documents, so that none of them is lost to a fixture.
+
+
+@query(
+    """SELECT doc_id::VARCHAR AS review_id, lang AS author, CAST(round_even(doc_id % 10 / 2.0, 0) AS INT) AS rating, CASE WHEN doc_id % 2 = 0 AND text <> '' THEN text ELSE concat('original: ', text) END AS text,
+ CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 ELSE 0 END AS likes FROM documents"""
+)
+def review_pages_whole(spark, sf):
+    d, i, whole = _docs(spark, sf), F.col("doc_id"), F.coalesce("text", F.lit(""))
+    r = lambda key: F.struct(
+        key.alias("review_id"),
+        F.struct(F.col("lang").alias("name")).alias("user"),
+        (i % 10 / 2.0).alias("rating"),
+        F.when(i % 2 == 0, whole).otherwise("").alias("snippet"),
+        F.struct(F.concat(F.lit("original: "), whole).alias("original")).alias("extracted_snippet"),
+        F.lit("now").alias("date"),
+        F.lit(None).cast("string").alias("iso_date"),
+        F.when(i % 3 == 0, i % 7).alias("likes"),
+    )
+    rows = F.when(i % 11 == 0, F.array(r(F.lit("")), r(i.cast("string")), r(F.lit(None).cast("string")))).otherwise(F.array(r(i.cast("string"))))
+    pages = d.groupBy(F.expr("doc_id div 20").alias("p")).agg(F.flatten(F.collect_list(rows)).alias("reviews"))
+    return parsers.review_pages(pages).select("review_id", "author", "rating", "text", "likes")
+
+
+@query("SELECT doc_id::VARCHAR AS review_id, trim(text, ' ' || chr(10)) AS text, 'highest' AS sort_mode FROM documents WHERE length(trim(text, ' ' || chr(10))) >= 75")
+def review_items_whole(spark, sf):
+    """Every third document comes again under its id, longer and later; every eleventh again without an id."""
+    none = {k: F.lit(None).cast(t) for k, t in {"name": "string", "stars": "int", "publishedAtDate": "string", "likesCount": "int", "isLocalGuide": "boolean", "reviewerNumberOfReviews": "int", "responseFromOwnerText": "string", "reviewUrl": "string", "originalLanguage": "string"}.items()}
+    d, i = _docs(spark, sf), F.col("doc_id")
+    one = d.select(i.cast("string").alias("reviewId"), "text", F.lit(0).alias("pos"))
+    again = d.filter(i % 3 == 0).select(i.cast("string").alias("reviewId"), F.concat(F.lit("later " * 20), "text").alias("text"), F.lit(1).alias("pos"))
+    bare = d.filter(i % 11 == 0).select(F.when(i % 2 == 0, "").alias("reviewId"), "text", F.lit(0).alias("pos"))
+    return parsers.review_items(one.unionByName(again).unionByName(bare).withColumns(none), "highestRanking", "pos").select("review_id", "text", "sort_mode")
+
+
+@query(
+    r"""SELECT doc_id // 5 AS page, concat('r', doc_id + 1) AS review_id, concat('Name', doc_id) AS author, concat('slug', doc_id) AS author_profile, CAST(doc_id % 5 + 1 AS INT) AS rating, concat('Title ', doc_id) AS title,
+ nullif(trim(regexp_replace(coalesce(text, ''), '!\[[^\]]*\]\([^)]+\)', '', 'g'), ' ' || chr(10)), '') AS body, 'Jun 2025' AS visit_date, CASE WHEN doc_id % 2 = 0 THEN 'Couples' END AS trip_type, 'July 1, 2025' AS written_date FROM documents"""
+)
+def markdown_reviews_whole(spark, sf):
+    i, host, rule = F.col("doc_id").cast("string"), "https://www.tripadvisor.com", "\n* * *\n"
+    block = F.concat(
+        F.lit("[Other]("), F.lit(f"{host}/Profile/other)\n[Name"), i, F.lit(f"]({host}/Profile/slug"), i, F.lit(")\n"), (F.col("doc_id") % 5 + 1).cast("string"), F.lit(".0 of 5 bubbles\n### [Title "), i,
+        F.lit(f"]({host}/ShowUserReviews-g1-d2-r"), (F.col("doc_id") + 1).cast("string"), F.lit("-X.html)\nJun 2025"), F.when(F.col("doc_id") % 2 == 0, " • Couples").otherwise(""), F.lit("\n"), F.coalesce("text", F.lit("")),
+        F.lit("\n![photo](u)\nRead more\nWritten July 1, 2025\n"),
+    )
+    rows = _docs(spark, sf).withColumn("b", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("no review here" + rule), block)).otherwise(block))
+    pages = rows.groupBy(F.expr("doc_id div 5").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "b"))), lambda x: x["b"]), rule).alias("markdown"))
+    return parsers.markdown_reviews(pages, "page").drop("pos")
+
+
 @query("SELECT conv_id, string_agg(trim(replace(text, chr(10), ' ')), ' ' ORDER BY turn) AS full_text, count(*) AS n FROM conversations WHERE trim(replace(text, chr(10), ' ')) <> '' AND turn % 3 <> 2 GROUP BY conv_id")
 def caption_text(spark, sf):
     c = tables(spark, sf, "conversations")["conversations"]

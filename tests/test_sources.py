@@ -1,13 +1,18 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.plans import catalog, feeds  # noqa: F401
 from gleaner.sources import parsers, readers
 from gleaner.streaming import ingest
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def json_df(spark, items, schema=None):
     rdd = spark.createDataFrame([(json.dumps(i),) for i in items], "j string")
@@ -110,3 +115,15 @@ def test_progress(spark, tmp_path):
     assert ingest.token_step({"next_page_token": "t", "exhausted": False}, None) == {"next_page_token": "t", "exhausted": False}
     assert ingest.token_step({"next_page_token": "t", "exhausted": False}, {"reviews": [1], "next_page_token": "u"}) == {"next_page_token": "u", "exhausted": False}
     assert ingest.token_step({"next_page_token": "t", "exhausted": False}, {"reviews": []})["exhausted"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_feeds_of_whole_documents(spark):
+    """Every document reaches the parsers with its whole text, line breaks and markup included."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    pages = {int(r.review_id): r.text for r in catalog.QUERIES["review_pages_whole"](spark, SF).collect()}
+    assert pages == {k: t if k % 2 == 0 and t else "original: " + t for k, t in texts.items()}
+    items = {int(r.review_id): r.text for r in catalog.QUERIES["review_items_whole"](spark, SF).collect()}
+    assert items == {k: t.strip() for k, t in texts.items() if len(t.strip()) >= 75}
+    bodies = {int(r.review_id[1:]) - 1: r.body for r in catalog.QUERIES["markdown_reviews_whole"](spark, SF).collect()}
+    assert bodies == {k: re.sub(r"!\[[^\]]*\]\([^)]+\)", "", t).strip() or None for k, t in texts.items()}
