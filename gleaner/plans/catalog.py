@@ -363,6 +363,19 @@ def link_explosion(spark, sf):
     return joins.link_explosion(found, c.select(F.col("conv_id").alias("id")).distinct(), c.filter("turn > 0").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("conv_id").alias("post_id")))
 
 
+@query(
+    """WITH f AS (SELECT DISTINCT l_orderkey % (SELECT max(conv_id) + 1 FROM conversations) AS post_id, l_returnflag AS intent, l_linestatus AS via FROM lineitem), c AS (SELECT conv_id * 100 + turn AS id, conv_id AS post_id FROM conversations WHERE turn > 0)
+SELECT post_id AS item_id, 'post' AS item_type, intent, via FROM f WHERE post_id IN (SELECT conv_id FROM conversations) UNION ALL SELECT c.id, 'comment', intent, via FROM f JOIN c USING (post_id)"""
+)
+def link_explosion_whole(spark, sf):
+    """As ``link_explosion``, with every line of an order and post ids over the whole range of conversations."""
+    t = tables(spark, sf, "lineitem", "conversations")
+    c = t["conversations"]
+    n = c.agg((F.max("conv_id") + 1).alias("n"))
+    found = t["lineitem"].crossJoin(F.broadcast(n)).select((F.col("l_orderkey") % F.col("n")).alias("post_id"), F.col("l_returnflag").alias("intent"), F.col("l_linestatus").alias("via")).distinct()
+    return joins.link_explosion(found, c.select(F.col("conv_id").alias("id")).distinct(), c.filter("turn > 0").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("conv_id").alias("post_id")))
+
+
 @query("SELECT m AS flat_idx, min(cluster_id) AS cluster_id, arg_min(name, cluster_id) AS name FROM (SELECT cluster_id, name, unnest([cluster_id, cluster_id // 2, cluster_id % 10]) AS m FROM clusters) x GROUP BY m", "clusters")
 def first_cluster(spark, sf):
     c = _clusters(spark, sf).withColumn("member_indices", F.array("cluster_id", F.expr("cluster_id div 2"), F.col("cluster_id") % 10))

@@ -291,6 +291,16 @@ def source_registry(spark, sf):
     return r.read(spark)
 
 
+@query("SELECT doc_id AS flat_idx, CASE WHEN doc_id % 2 = 0 THEN 'one' ELSE 'two' END AS source FROM documents")
+def source_registry_whole(spark, sf):
+    """As ``source_registry``, over all documents."""
+    r = readers.Registry()
+    d = _docs(spark, sf).select(F.col("doc_id").alias("flat_idx"))
+    r.add("one", lambda s: d.filter("flat_idx % 2 = 0"))
+    r.add("two", lambda s: d.filter("flat_idx % 2 = 1"))
+    return r.read(spark)
+
+
 # ---- streams ----
 
 
