@@ -13,8 +13,10 @@ DISTANCE_V1, DISTANCE, MERGE_DISTANCE, MERGE_CAP, COHERENCE = 0.35, 0.28, 0.25,
 MMR_LAMBDA, MMR_GAP = 0.85, 0.05
 #: Anchors too general to tell clusters apart.
 GENERIC_ANCHORS = ["colosseum", "the colosseum", "louvre", "louvre museum", "the louvre", "rome", "paris"]
-#: Insights of one place that are clustered in memory; the distance matrix grows with the square.
+#: Insights of one place up to which all distances are kept; the matrix grows with the square.
 MOST_A_PLACE = 8_000
+#: Distances that differ by less count as equal where they are computed anew.
+SAME = 1e-12
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -48,11 +50,8 @@ def nearest_centroid(df: DataFrame, group: list[str], vector: str, tie: str, k:
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).drop("centroid")
 
 
-def average_linkage(x: np.ndarray, threshold: float) -> list[list[int]]:
-    """Agglomerative clusters of rows by mean cosine distance, merged while the least is below the threshold.
-
-    Nearest-neighbour chains with the Lance-Williams mean update: merge heights of this linkage never fall along the
-    chain, so cutting afterwards gives the clusters of the greedy order."""
+def _merges(x: np.ndarray) -> list[tuple[float, int, int]]:
+    """Height and the two least rows of every merge, from the matrix of distances with the Lance-Williams mean update."""
     n = len(x)
     unit = x / (np.linalg.norm(x, axis=1, keepdims=True) + EPSILON)
     d = 1.0 - unit @ unit.T
@@ -76,6 +75,49 @@ def average_linkage(x: np.ndarray, threshold: float) -> list[list[int]]:
             alive[b] = False
         else:
             chain.append(best)
+    return merges
+
+
+def _merges_by_mean(x: np.ndarray, threshold: float) -> list[tuple[float, int, int]]:
+    """The merges below the threshold without the matrix: the mean cosine distance of two clusters is 1 less the product of
+    their mean unit vectors, so memory is that of the vectors.
+
+    A cluster whose nearest is not below the threshold is final, as no merge brings others nearer than their parts were."""
+    mean = x / (np.linalg.norm(x, axis=1, keepdims=True) + EPSILON)
+    ids, size, alive = np.arange(len(x)), np.ones(len(x)), np.ones(len(x), bool)
+    merges, chain, left = [], [], len(x)
+    while left > 1:
+        if not chain:
+            if 2 * left < len(ids):
+                mean, ids, size, alive = mean[alive], ids[alive], size[alive], np.ones(left, bool)
+            chain = [int(np.argmax(alive))]
+        top = chain[-1]
+        row = np.where(alive, 1.0 - mean @ mean[top], np.inf)
+        row[top] = np.inf
+        best = int(np.argmin(row))
+        if len(chain) > 1 and row[chain[-2]] <= row[best] + SAME:
+            best = chain[-2]
+            a, b = sorted((chain.pop(), chain.pop()))
+            merges.append((row[best], int(ids[a]), int(ids[b])))
+            mean[a] = (size[a] * mean[a] + size[b] * mean[b]) / (size[a] + size[b])
+            size[a] += size[b]
+            alive[b] = False
+            left -= 1
+        elif row[best] >= threshold + SAME:
+            alive[chain.pop()] = False
+            left -= 1
+        else:
+            chain.append(best)
+    return merges
+
+
+def average_linkage(x: np.ndarray, threshold: float) -> list[list[int]]:
+    """Agglomerative clusters of rows by mean cosine distance, merged while the least is below the threshold.
+
+    Nearest-neighbour chains: merge heights of this linkage never fall along the chain, so cutting afterwards gives the
+    clusters of the greedy order.  Above ``MOST_A_PLACE`` rows distances are computed where they are needed."""
+    n = len(x)
+    merges = _merges(x) if n <= MOST_A_PLACE else _merges_by_mean(x, threshold)
     root = list(range(n))
 
     def find(i: int) -> int:
@@ -114,28 +156,33 @@ def merge_by_anchor(groups: list[list[int]], x: np.ndarray, anchors: list[str |
     before = -1
     while before != len(own):
         before, k = len(own), 0
+        centres, sizes, alive = np.array([g.centre for g in own]), np.array([len(g.members) for g in own]), np.ones(len(own), bool)
         while k < len(own):
-            rest = []
-            for other in own[k + 1 :]:
-                both = own[k].takes(other, x)
-                if both is None:
-                    rest.append(other)
+            at = k + 1
+            while alive[k] and at < len(own):
+                # Only those near and small enough can be taken; ``takes`` decides.
+                near = alive[at:] & (sizes[at:] + len(own[k].members) <= MERGE_CAP)
+                near &= 1.0 - centres[at:] @ own[k].centre < MERGE_DISTANCE + EPSILON
+                for i in np.flatnonzero(near) + at:
+                    both = own[k].takes(own[i], x)
+                    if both is not None:
+                        own[k], alive[i] = both, False
+                        break
                 else:
-                    own[k] = both
-            own[k + 1 :] = rest
+                    break
+                at = i + 1
             k += 1
+        own = [g for g, kept in zip(own, alive, strict=True) if kept]
     return [g.members for g in own]
 
 
 def cluster_places(df: DataFrame, place: str = "poi_name", idx: str = "flat_idx", vector: str = "embedding", anchor: str = "anchor_entity", threshold: float = DISTANCE, merge: bool = True) -> DataFrame:
     """place, members and size of the clusters of each place, the largest first (``n_in_place``).
 
-    A place is clustered in one task: average linkage needs all of its distances.  Places of more than ``MOST_A_PLACE``
-    insights raise rather than exhaust an executor; cut such a place by a finer key first."""
+    A place is clustered in one task, which holds its vectors; places of more than ``MOST_A_PLACE`` insights are clustered
+    without the matrix of their distances, with the same result."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_A_PLACE:
-            raise ValueError(f"{pdf[place].iloc[0]!r} has {len(pdf)} insights; at most {MOST_A_PLACE} are clustered together")
         pdf = pdf.sort_values(idx).reset_index(drop=True)
         x = np.stack([np.asarray(v, np.float64) for v in pdf[vector]])
         groups = sorted(average_linkage(x, threshold) if len(x) > 1 else [[0]], key=lambda g: -len(g))

@@ -231,6 +231,25 @@ def test_cluster_places_and_ids(spark):
     assert rows(got, "cluster_id", "poi_name", "size") == [(0, "b", 3), (1, "a", 4), (2, "a", 1)]
 
 
+def test_large_places_are_clustered_whole(spark):
+    """A place beyond MOST_A_PLACE gives all of its insights, and linkage without the matrix the same clusters."""
+    rng = np.random.default_rng(8)
+    for n in (2, 3, 40, 300):
+        x = rng.normal(size=(n, 6)) + 3 * rng.normal(size=(9, 6))[rng.integers(0, 9, n)]
+        x[n // 2 :] = x[: n - n // 2] if n == 300 else x[n // 2 :]
+        x[-1] = 0 if n == 40 else x[-1]
+        roots = list(range(n))
+        for height, a, b in vectors._merges_by_mean(x, 0.28):
+            if height < 0.28:
+                roots = [min(roots[a], roots[b]) if r in (roots[a], roots[b]) else r for r in roots]
+        assert {frozenset(np.flatnonzero(np.array(roots) == r).tolist()) for r in roots} == {frozenset(g) for g in vectors.average_linkage(x, 0.28)}
+    many = vectors.MOST_A_PLACE + 1
+    df = spark.range(many).selectExpr("'p' AS poi_name", "id AS flat_idx", "array(double(id % 2), double(1 - id % 2)) AS embedding", "'rome' AS anchor_entity")
+    got = vectors.cluster_places(df).collect()
+    assert sorted(r.size for r in got) == [many // 2, many - many // 2]
+    assert sorted(i for r in got for i in r.member_indices) == list(range(many))
+
+
 def test_diverse_selection_is_gated():
     v = np.eye(3)[[0, 0, 1]]
     assert vectors.select_diverse(np.array([0.9, 0.86, 0.80]), v, 2) == [0, 2]
