@@ -151,7 +151,7 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, tie (hash of the text), size, source_size, target and the ``shards`` that take the document, repeats counted."""
+    """doc_id, source, tie (hash of the text), size, source_size, target and the ``shards`` that take the document, repeats counted."""
     sized = written(docs.select("doc_id", "source", F.xxhash64("text").alias("tie"), words().alias("size")), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     wanted = targets(sources.select("source", "source_size"), weights, share, epochs).join(F.broadcast(sources.select(F.col("source").alias("s"), "n")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -170,7 +170,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     taken = taken.groupBy("source", "block").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
     taken = small(written(taken, "taken"), SMALL_BLOCKS).withColumnsRenamed({"source": "s", "block": "b"})
     out = placed.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
-    return out.select("doc_id", "tie", "size", "source_size", "target", F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
+    return out.select("doc_id", "source", "tie", "size", "source_size", "target", F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
 
 
 def _draws(filled: DataFrame) -> DataFrame:
@@ -193,11 +193,29 @@ def _draws(filled: DataFrame) -> DataFrame:
     return rows.select("source", "block", (F.row_number().over(order) - 1).alias("place"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, planned: DataFrame | None = None, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, once for each draw, with ``shard`` and ``copy``; shards are shuffled by hash.
 
-    Rows are joined to their plan by doc_id and text, so whole repeated rows share one plan."""
-    rows = plan(docs, **options).groupBy("doc_id", "tie").agg(F.first("shards").alias("shards"))
-    rows = rows.select(F.col("doc_id").alias("d"), F.col("tie").alias("t"), F.posexplode("shards").alias("copy", "shard"))
-    out = docs.join(rows, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t"))).drop("d", "t")
+    Rows are joined to their plan by doc_id, source and text, so whole repeated rows share one plan."""
+    planned = plan(docs, **options) if planned is None else planned
+    rows = planned.groupBy("doc_id", "source", "tie").agg(F.first("shards").alias("shards"))
+    rows = rows.select(F.col("doc_id").alias("d"), F.col("source").alias("_source"), F.col("tie").alias("t"), F.posexplode("shards").alias("copy", "shard"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("t"))
+    out = docs.join(rows, same).drop("d", "_source", "t")
     return out.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(64))).sortWithinPartitions("shard", F.xxhash64(F.lit(SEED + 3), "doc_id", "copy"))
+
+
+def taken(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target and ``taken`` of every row of ``docs``: its words in the rows that ``mix`` emits.
+
+    What is emitted for whole repeated rows is shared among them; a remainder would go to the first of them."""
+    planned = plan(docs, **options)
+    # The place in the output keeps the optimizer from leaving out the order of the shards.
+    mixed = mix(docs, planned).select("doc_id", "source", F.xxhash64("text").alias("tie"), words().alias("n"), F.monotonically_increasing_id().alias("at"))
+    emitted = mixed.groupBy("doc_id", "source", "tie").agg(F.sum(F.when(F.col("at") >= 0, F.col("n"))).alias("n")).withColumnsRenamed({"doc_id": "d", "source": "s", "tie": "t"})
+    rows = planned.groupBy("doc_id", "source", "tie").agg(F.count(F.lit(1)).alias("m"), *[F.first(c).alias(c) for c in ("size", "source_size", "target")])
+    both = rows.join(emitted, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("tie") == F.col("t")), "left")
+    n = F.coalesce("n", F.lit(0))
+    each = both.select("doc_id", "size", "source_size", "target", n.alias("n"), "m", F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("k"))
+    share = F.floor(F.col("n") / F.col("m")) + F.when(F.col("k") <= F.col("n") % F.col("m"), 1).otherwise(0)
+    return each.select("doc_id", "size", "source_size", "target", share.cast("long").alias("taken"))

@@ -28,8 +28,8 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = F.col("size") * F.size("shards")
-    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    """The words of each document in the rows of the mix."""
+    return mixing.taken(table(spark, sf_dir, "documents"))
 
 
 def op4_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

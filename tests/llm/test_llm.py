@@ -174,6 +174,27 @@ def test_mixing_targets_and_shards(spark):
     assert mixing.plan(df.limit(0)).count() == 0
 
 
+def test_mix_emits_its_plan(spark, monkeypatch):
+    """Each row is emitted once for each of its draws, equal id and text in two sources by either's plan; what is taken is
+    counted from the rows emitted."""
+    rng = random.Random(5)
+    rows = [(k, words_text(rng, rng.randrange(0, 40)), rng.choice(["a", "b", None])) for k in range(200)]
+    rows += [(k, "same text", s) for k in range(300, 330) for s in ("a", "b", "c")] + [(7, "t t", "b")] * 2 + [(None, "x y", "a"), (1, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, size = Counter(), Counter()
+    for r in mixing.plan(df, shards=5).collect():
+        for copy, shard in enumerate(r.shards):
+            want[r.doc_id, r.source, r.tie, copy, shard] += 1
+        size[r.doc_id, r.size, r.source_size, r.size * len(r.shards)] += 1
+    mixed = mixing.mix(df, shards=5)
+    assert Counter(tuple(r) for r in mixed.select("doc_id", "source", F.xxhash64("text"), "copy", "shard").collect()) == want
+    got = mixing.taken(df, shards=5)
+    assert Counter(tuple(r) for r in got.select("doc_id", "size", "source_size", "taken").collect()) == size
+    mix = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda *a, **b: mix(*a, **b).filter("doc_id % 2 = 0"))
+    assert all(r.taken == 0 for r in mixing.taken(df, shards=5).filter("doc_id % 2 = 1").collect())
+
+
 def test_hypergeometric_matches_exact_distribution(spark):
     from math import comb
 
