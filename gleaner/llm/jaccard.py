@@ -269,6 +269,24 @@ def _sizes(sim: Similarity):
 
 
 def keep_one(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id; rows with a null doc_id stay."""
-    gone = written(groups(docs, sim).filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(small(gone, SMALL_CANDIDATES), "doc_id", "left_anti")
+    """``docs`` with one row of each component, that of the smallest doc_id; rows with a null doc_id or without shingles stay.
+
+    Rows are told apart by a hash of id and text, so repeated ids are right; of equal rows one stays."""
+    key = F.xxhash64("doc_id", "text")
+    named = docs.filter("doc_id IS NOT NULL")
+    found = groups(named.select(key.alias("doc_id"), "text"), sim).filter("n_shingles > 0")
+    found = written(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_c")), "rows-of-components")
+    moved = found.filter("_row <> _c")
+    copies = written(moved.unionByName(moved.select(F.col("_c").alias("_row"), "_c")).distinct(), "near-copies")
+    ids = named.select(key.alias("_row"), F.col("doc_id").cast("long").alias("_id")).join(small(copies, SMALL_CANDIDATES), "_row")
+    first = ids.groupBy("_c").agg(F.min(F.struct("_id", "_row")).alias("x")).select("x._row")
+    gone = written(copies.join(first, "_row", "left_anti").select("_row"), "gone")
+    same = F.col("doc_id").isNotNull() & (key == F.col("_row"))
+    kept = docs.join(small(gone, SMALL_CANDIDATES), same, "left_anti")
+    repeated = written(found.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_row"), "repeated-rows")
+    if repeated.isEmpty():
+        return kept
+    repeated = small(repeated, SMALL_CANDIDATES)
+    order = Window.partitionBy(key).orderBy(F.to_json(F.struct(*docs.columns)))
+    one = kept.join(repeated, same, "left_semi").withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k")
+    return kept.join(repeated, same, "left_anti").unionByName(one)

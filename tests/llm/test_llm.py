@@ -347,6 +347,15 @@ def test_jaccard_groups(spark):
     assert jaccard.groups(df.limit(0)).count() == 0
 
 
+def test_keep_one_with_repeated_ids(spark):
+    rng = random.Random(10)
+    a, b, c, d, e = (words_text(rng, 60, 4000) for _ in range(5))
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "y"), (5, a + " end", "x"), (5, b, "x"), (7, c, "x"), (7, c + " end", "x"), (3, d, "x"), (9, d + " end", "x"), (3, e, "x"), (8, e + " end", "x"), (None, a, "x"), (4, "", "x"), (4, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r.doc_id, r.text.removesuffix(" end")) for r in jaccard.keep_one(df, jaccard.Similarity(5, 80)).collect()]
+    assert Counter(got) == Counter([(1, a), (5, b), (7, c), (3, d), (3, e), (None, a), (4, ""), (4, "")])
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 102), (102, 101), (7, 7), (200, 201)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
