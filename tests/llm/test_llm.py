@@ -59,6 +59,7 @@ def test_chunk_tokenizer_is_exact():
     hard = ["it's DON'T we'RE 3.14 x² ª <|endoftext|> a<|startoftext|>b İ ΣΑΣ é tab\there", "", None, "日本語 テスト\r\n", "'s's ``~~ ##$$ a1b2.,", "\x00\x1f\x7f\x85 q\xa0r", "ǅ ß ẞ ŉ ſ ...end. a,b"]
     rng = random.Random(5)
     hard += ["".join(rng.choice("aB é.,'1 \n<ß") for _ in range(80)) for _ in range(200)]
+    hard += ["".join(rng.choice(["'", "s", "t", "re", "ve", "m", "ll", "d", "'s", "'re", "!", "1", "²", "ª", "É", "ĸ", " ", "  ", "\n"]) for _ in range(60)) for _ in range(400)]
     own, n = ChunkTokenizer("word_bpe_49k.json", most=50).encode(hard)
     whole = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
     expected = [whole.encode(t or "", add_special_tokens=False).ids for t in hard]
