@@ -4,14 +4,16 @@ Largest inner product becomes smallest distance by one more coordinate, ``sqrt(M
 The tree is fitted on a bounded sample (``Params.sample`` vectors by hash); every vector is then filed under the leaf that
 its descent reaches, in a written table whose large leaves are split into parts.  A query walks the tree through a
 priority queue keyed by the distance to the nodes' centres, always opening the nearest; it visits leaves in that order.
-How many it visits is calibrated: a bounded set of queries is answered exactly against all vectors, and visits widen
-until their recall reaches the target (every leaf, at the widest).  Visited (query, part) pairs are joined, scored
-in matrix blocks, and reduced to the best k, ties to the smaller id; scores are recomputed exactly, in double precision,
-on the original vectors.
-
-Edge cases: vectors that are null, empty, zero, of another length than the commonest, or hold null or non-finite
-components take no part; so do rows with a null id; repeated ids are rows of their own and no candidate of each other;
-with fewer than k candidates all are returned; an empty table gives an empty result; extra columns are ignored.
+How many it visits is calibrated: two bounded sets of queries are answered exactly against all vectors; visits widen step
+by step until the first set's recall reaches the target and the second set, which did not choose them, has ``least`` (every
+leaf, at the widest).  A query whose leaves hold fewer than k candidates widens further by itself.  Visited (query, part)
+pairs are joined, scored in matrix blocks, and reduced to the best k, ties to the smaller id; scores are recomputed
+exactly, in double precision, on the original vectors.
+
+Edge cases: vectors and queries that are null, empty, zero, of another length than the commonest vectors', or hold null or
+non-finite components take no part; so do rows with a null id; repeated ids are rows of their own and no candidate of
+each other; with fewer than k candidates all are returned; elements that aren't floats are taken as doubles; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.window import Window
 
 from gleaner.llm.common import small, written
@@ -39,16 +42,18 @@ SMALL_BUCKETS = 200_000
 class Params:
     k: int = 20
     recall: float = 0.96
+    #: The recall that queries must have which didn't choose the visits.
+    least: float = 0.93
     #: Vectors that the tree is fitted on.
-    sample: int = 20_000
-    #: Queries that calibrate the number of visits.
+    sample: int = 65_536
+    #: Queries that calibrate the number of visits, and as many that check it.
     calibrate: int = 200
     branching: int = 12
     #: Vectors a leaf should hold, from which the tree's size follows, up to what the sample can tell apart.
     leaf: int = 256
-    most_leaves: int = 2048
+    most_leaves: int = 8192
     #: Vectors in a bucket at most, about: neighbouring leaves are scored together, larger leaves are split.
-    bucket: int = 8192
+    bucket: int = 4096
     #: Queries that are scored in one group, about.
     together: int = 20_000
     rounds: int = 8
@@ -100,14 +105,15 @@ class Tree:
             if not moved:
                 return at
 
-    def walk(self, q: np.ndarray, visits: int) -> list[int]:
-        """The first ``visits`` leaves, best bin first."""
+    def walk(self, q: np.ndarray, visits: int, sizes: dict[int, int] | None = None, enough: int = 0) -> list[int]:
+        """The first ``visits`` leaves, best bin first, and more until they hold ``enough`` vectors."""
         far = self.norms - 2 * (self.centres @ q)
-        queue, out = [(far[0], 0)], []
-        while queue and len(out) < visits:
+        queue, out, held = [(far[0], 0)], [], 0
+        while queue and (len(out) < visits or held < enough):
             _, node = heapq.heappop(queue)
             if self.n[node] == 0:
                 out.append(node)
+                held += sizes.get(node, 0) if sizes else 0
             for kid in range(self.first[node], self.first[node] + self.n[node]):
                 heapq.heappush(queue, (far[kid], kid))
         return out
@@ -196,7 +202,7 @@ def _file(tree, most: float):
     return run
 
 
-def _visits(tree, buckets: dict[int, tuple[int, int]], visits: int):
+def _visits(tree, buckets: dict[int, tuple[int, int]], visits: int, sizes: dict[int, int], enough: int):
     """A row for each query and bucket, with the leaves of the bucket that the query visits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,7 +211,7 @@ def _visits(tree, buckets: dict[int, tuple[int, int]], visits: int):
             rows = []
             for i, v in zip(pdf["vec_id"], pdf["embedding"], strict=True):
                 by_bucket: dict[int, list[int]] = {}
-                for leaf in own.walk(np.append(np.asarray(v, np.float64), 0.0), visits):
+                for leaf in own.walk(np.append(np.asarray(v, np.float64), 0.0), visits, sizes, enough):
                     first, n = buckets.get(leaf, (0, 0))
                     for bucket in range(first, first + n):
                         by_bucket.setdefault(bucket, []).append(leaf)
@@ -236,19 +242,32 @@ def _score(k: int):
     return run
 
 
+def _numbers(df: DataFrame) -> DataFrame:
+    """vec_id and embedding of the rows that may take part; elements stay floats or become doubles."""
+    kind = df.schema["embedding"].dataType
+    own = F.col("embedding") if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else F.col("embedding").cast("array<double>")
+    return df.select(F.col("vec_id").cast("long").alias("vec_id"), own.alias("embedding")).filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+
+
+def _kind(df: DataFrame) -> str:
+    return df.schema["embedding"].dataType.simpleString()
+
+
 class Index:
-    """A fitted tree, the filed vectors and the calibrated number of leaf visits."""
+    """A fitted tree, the filed vectors and the calibrated number of leaf visits; ``recall`` is that of the queries that
+    didn't choose it."""
 
     def __init__(self, vectors: DataFrame, p: Params = Params()):
         spark = vectors.sparkSession
         self.p = p
-        good = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+        good = _numbers(vectors)
         size = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").head()
         self.empty = size is None
         if self.empty:
             self.files = good
             return
-        good = good.filter(F.size("embedding") == size["d"])
+        self.length = size["d"]
+        good = good.filter(F.size("embedding") == self.length)
         n = size["count"]
         squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
         self.most = good.agg(F.max(squares)).head()[0]
@@ -257,8 +276,10 @@ class Index:
         leaves = int(min(p.most_leaves, max(1, n // p.leaf), max(1, len(x) // 8)))
         tree = Tree.fit(_lifted(x, self.most), leaves, p)
         self.tree = spark.sparkContext.broadcast(tree)
-        filed = written(good.mapInPandas(_file(self.tree, self.most), "vec_id long, embedding array<float>, leaf int"), "filed")
-        sizes = {r.leaf: r["count"] for r in filed.groupBy("leaf").count().collect()}  # a row per leaf
+        filed = written(good.mapInPandas(_file(self.tree, self.most), f"vec_id long, embedding {_kind(good)}, leaf int"), "filed")
+        #: Vectors of one id at most: a query's own are no candidates.
+        self.same = filed.groupBy("vec_id").count().agg(F.max("count")).head()[0]
+        self.sizes = sizes = {r.leaf: r["count"] for r in filed.groupBy("leaf").count().collect()}  # a row per leaf
         #: The first bucket of each leaf, and over how many its vectors are spread.
         self.buckets: dict[int, tuple[int, int]] = {}
         bucket, held = 0, 0
@@ -274,27 +295,35 @@ class Index:
         self.calibrate()
 
     def calibrate(self) -> None:
-        """Doubles the visits, then narrows them, until the exact best of the calibrating queries are found often enough."""
+        """Widens the visits until the exact best of the calibrating queries are found often enough, and of the checking ones too."""
         p, spark = self.p, self.files.sparkSession
-        own = self.files.orderBy(F.xxhash64(F.lit(p.seed + 1), "vec_id"), "vec_id").limit(p.calibrate).select("vec_id", "embedding").toPandas()
+        own = self.files.orderBy(F.xxhash64(F.lit(p.seed + 1), "vec_id"), "vec_id").limit(2 * p.calibrate).select("vec_id", "embedding").toPandas()
         queries = spark.sparkContext.broadcast((own["vec_id"].to_numpy(np.int64), _matrix(own["embedding"])))
         best = _merge(self.files.select("vec_id", "embedding").mapInPandas(_scan(queries, p.k), _BEST), p.k)
-        # The leaves of the exact best, a row for each of at most calibrate * k.
+        # The leaves of the exact best, a row for each of at most 2 * calibrate * k.
         found = self.files.select("vec_id", "leaf").join(F.broadcast(best.select("query_id", "vec_id")), "vec_id").select("query_id", "leaf").toPandas()
         tree, ranks = self.tree.value, []
         for i, q in zip(own["vec_id"], _matrix(own["embedding"]), strict=True):
             order = {leaf: r for r, leaf in enumerate(tree.walk(np.append(q, 0.0), tree.leaves))}
-            ranks += [order[x] for x in found.loc[found["query_id"] == i, "leaf"]]
-        #: Visits that reach the target: the rank, best bin first, within which that share of the exact best lies.
-        self.visits = int(np.quantile(ranks, p.recall, method="higher")) + 1 if ranks else tree.leaves
-        self.calibrated = float(np.mean(np.array(ranks) < self.visits)) if ranks else 1.0
+            ranks.append([order[x] for x in found.loc[found["query_id"] == i, "leaf"]])
+        chosen, checked = (np.array([r for x in half for r in x]) for half in (ranks[::2], ranks[1::2]))
+
+        def recall(of: np.ndarray) -> float:
+            return float((of < self.visits).mean()) if len(of) else 1.0
+
+        self.visits = 1
+        while self.visits < tree.leaves and (recall(chosen) < p.recall or recall(checked) < p.least):
+            self.visits += max(1, self.visits // 16)
+        self.visits = min(self.visits, tree.leaves)
+        self.calibrated, self.recall = recall(chosen), recall(checked)
 
     def search(self, queries: DataFrame) -> DataFrame:
         """query_id, rank, vec_id and score of the best k of every query (vec_id, embedding)."""
         if self.empty:
             return self.files.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-        queries = queries.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-        asked = queries.mapInPandas(_visits(self.tree, self.buckets, self.visits), "bucket int, query_id long, query array<float>, leaves array<int>")
+        queries = _numbers(queries).filter(F.size("embedding") == self.length)
+        visits = _visits(self.tree, self.buckets, self.visits, self.sizes, self.p.k + self.same)
+        asked = queries.mapInPandas(visits, f"bucket int, query_id long, query {_kind(queries)}, leaves array<int>")
         asked = written(asked, "visits")
         # A bucket's queries are spread over parts by their number, so a group is a bucket's bounded vectors with a bounded
         # share of the queries that visit it; vectors are copied in proportion to the visits.

@@ -437,6 +437,27 @@ def test_nearest_neighbours(spark):
         assert hits == sorted(hits, key=lambda h: (-h[1], h[0]))
 
 
+def test_nearest_widens_and_keeps_precision(spark):
+    """Doubles stay doubles, queries of another length take no part, one visit widens until k are seen, recall is that of
+    other queries."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 9))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    own = ann.Index(df, ann.Params(leaf=4, bucket=100, k=20, calibrate=40))
+    assert own.recall >= 0.93 and own.visits > 1
+    own.visits = 1
+    queries = df.filter("vec_id < 50").unionByName(spark.createDataFrame([(7000, [1.0] * 3), (7001, [1.0] * 9)], df.schema))
+    by: dict = {}
+    for r in own.search(queries).collect():
+        by.setdefault(r.query_id, []).append(r)
+    assert set(by) == {*range(50), 7001} and all(len(v) == 20 for v in by.values())
+    assert all(r.score == (x[r.vec_id] * x[q]).sum() for q, v in by.items() if q < 50 for r in v)
+    clustered = rng.normal(size=(40, 8))[np.arange(4000) % 40] * 9 + rng.normal(size=(4000, 8)) * 0.1
+    many = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(clustered)], "vec_id long, embedding array<double>")
+    index = ann.Index(many, ann.Params(leaf=50))
+    assert index.visits < index.tree.value.leaves / 2 and index.recall >= 0.93
+
+
 # ---- decontamination ----
 
 
