@@ -1,46 +1,48 @@
 """Quality classifier: supervised subword embeddings, averaged per document, with a softmax output.
 
-A document's features are its white-space-parted words, their character n-grams (with word borders) and, for each
-word that repeats the one before, a few word-bigram features that all such repeats share; they are hashed to
-``buckets`` vectors.  Their mean, weighted by count, goes through a linear softmax layer; vectors and layer are learnt
-together by numpy stochastic gradient descent.  As mean and layer are linear, the fitted model folds into one number per
-bucket (the difference of the two logits), and a word's sum is memoized: scoring is one pass without a shuffle.
+A document's features are its white-space-parted words, their character n-grams (with word borders) and its word bigrams,
+each hashed to vectors among ``buckets``.  A bigram's hash is that of its words' hashes combined by exclusive or, so the
+bigrams of a word with itself are one feature whatever the word; a bigram has ``bigram_hashes`` vectors.  The mean of all,
+weighted by count, goes through a linear softmax layer; vectors and layer are learnt together by numpy stochastic gradient
+descent.  As mean and layer are linear, the fitted model folds into one number per bucket (the difference of the two
+logits); scoring hashes a batch's distinct words at once over arrays of characters, in one pass without a shuffle.
 
 Fitting takes a bounded sample of labelled documents (``Params.max_train_docs``, chosen by hash); scoring reads whole
 texts of all documents.  Case and punctuation stay: they tell much about quality.  ``lang``, ``source``, ``doc_id`` and
 the labels are no inputs of a score.
 
-Edge cases: a null or empty text has no features and scores the learnt base rate; without labelled rows every score is
-0.5; rows with a null quality or doc_id aren't learnt from; several labels of one document are averaged, ties are good.
+Edge cases: a null or empty text has no features and scores the learnt base rate; a text of any length is scored whole;
+without labelled rows every score is 0.5; rows with a null quality or doc_id aren't learnt from; several labels of one
+document are averaged, ties are good; of several texts of one doc_id the smallest is learnt from, and each is scored.
+``classify`` puts its ``score`` and ``predicted`` in the place of columns of these names; ``keep`` leaves all columns.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
-from operator import eq
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose sums are kept, and how many of the first, which are common, stay when there are more.
-MEMO_WORDS, MEMO_KEPT = 200_000, 80_000
-#: Features of a word that repeats the one before.
-REPEAT_FEATURES = 8
+from gleaner.llm.common import chunks, mix64
+
+#: Characters that are scored at once.
+TEXT_CHARS = 2_000_000
 
 
 @dataclass(frozen=True)
 class Params:
-    #: At most 65,536.
+    #: A power of two, at most 65,536.
     buckets: int = 1 << 15
     dim: int = 16
     min_n: int = 3
     max_n: int = 4
+    bigram_hashes: int = 2
     epochs: int = 6
     rate: float = 0.5
     #: The step of embeddings, in units of ``rate``; their gradient is spread over all features of a document.
@@ -50,30 +52,70 @@ class Params:
     threshold: float = 0.3
 
 
-def word_features(word: str, p: Params) -> list[int]:
-    """Buckets of a word and its character n-grams."""
-    digest, mask = xxhash.xxh32_intdigest, p.buckets - 1
-    marked = f"<{word}>"
-    grams = [marked[i : i + n] for n in range(p.min_n, p.max_n + 1) for i in range(len(marked) - n + 1)]
-    return [digest(g.encode("utf-8", "surrogatepass")) & mask for g in (f"\0{word}", *grams)]
-
-
-def repeat_features(p: Params) -> list[int]:
-    return [xxhash.xxh32_intdigest(f"\1{k}") & (p.buckets - 1) for k in range(REPEAT_FEATURES)]
-
-
-def features(text: str | None, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their shares."""
-    words = (text or "").split()
-    if not words:
-        return np.empty(0, np.uint16), np.empty(0, np.float32)
-    counts = Counter(words)
-    own = [*(word_features(w, p) for w in counts), repeat_features(p)]
-    flat = np.fromiter((b for f in own for b in f), np.int64)
-    weight = np.repeat(np.array([*counts.values(), sum(map(eq, words, words[1:]))], np.float64), [len(f) for f in own])
-    total = np.bincount(flat, weight, p.buckets)
-    ids = np.flatnonzero(total)
-    return ids.astype(np.uint16), (total[ids] / total.sum()).astype(np.float32)
+def _salt(k: int) -> np.uint64:
+    return np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+
+
+def word_features(words: list[str], p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets of all words and their character n-grams, the number of the word of each, and the words' 64-bit hashes.
+
+    An empty word has no features."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    marked = np.where(sizes > 0, sizes + 2, 0)
+    code = np.frombuffer("".join(f"<{w}>" for w in words if w).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), marked)
+    ends = np.cumsum(marked)
+    place = np.arange(len(code)) - (ends - marked)[owner]
+    left = marked[owner] - place  # characters from here to the word's end
+    hashes = np.zeros(len(words), np.uint64)
+    full = sizes > 0
+    if full.any():
+        hashes[full] = mix64(np.add.reduceat(mix64(code + place.astype(np.uint64) * _salt(1)), (ends - marked)[full]))
+    mask = np.uint64(p.buckets - 1)
+    buckets, owners = [mix64(hashes[full] ^ _salt(2)) & mask], [np.flatnonzero(full)]
+    for n in range(p.min_n, p.max_n + 1):
+        at = np.flatnonzero(left >= n)
+        gram = np.full(len(at), n, np.uint64)
+        for i in range(n):
+            gram = mix64(gram) + code[at + i]
+        buckets.append(mix64(gram) & mask)
+        owners.append(owner[at])
+    return np.concatenate(buckets).astype(np.int64), np.concatenate(owners), hashes
+
+
+def bigram_buckets(first: np.ndarray, second: np.ndarray, k: int, p: Params) -> np.ndarray:
+    """The ``k``-th bucket of each bigram of words with these hashes."""
+    return (mix64((first ^ second) + _salt(3 + k)) & np.uint64(p.buckets - 1)).astype(np.int64)
+
+
+class _Words:
+    """The words of a batch of texts: ``distinct`` ones, each token's among them, and each token's text."""
+
+    def __init__(self, texts: list[str | None]):
+        parts = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pa.array([t or "" for t in texts], pa.large_string())))
+        coded = parts.flatten().dictionary_encode()
+        self.distinct, self.own = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.text = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy())
+        #: The tokens that follow another of the same text.
+        self.after = np.flatnonzero(self.text[1:] == self.text[:-1]) + 1
+
+
+def features(texts: list[str | None], p: Params) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets of each text and their shares."""
+    w = _Words(texts)
+    buckets, owner, hashes = word_features(w.distinct, p)
+    order = np.argsort(owner, kind="stable")
+    buckets, starts = buckets[order], np.searchsorted(owner[order], np.arange(len(w.distinct) + 1))
+    bounds = np.searchsorted(w.text, np.arange(len(texts) + 1))
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        own = w.own[a:b]
+        total = np.zeros(p.buckets)
+        for word, n in zip(*np.unique(own, return_counts=True), strict=True):
+            np.add.at(total, buckets[starts[word] : starts[word + 1]], n)
+        for k in range(p.bigram_hashes):
+            total += np.bincount(bigram_buckets(hashes[own[:-1]], hashes[own[1:]], k, p), minlength=p.buckets)
+        ids = np.flatnonzero(total)
+        yield ids.astype(np.uint16), (total[ids] / max(1.0, total.sum())).astype(np.float32)
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], p: Params) -> tuple[np.ndarray, float]:
@@ -106,9 +148,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], p: Params) -> tuple[np.n
 def _extract(p: Params):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for label, text in zip(pdf["label"], pdf["text"], strict=True):
-                ids, share = features(text, p)
-                yield pd.DataFrame({"label": [label], "ids": [ids.tobytes()], "share": [share.tobytes()]})
+            for rows in chunks(zip(pdf["label"], pdf["text"], strict=True), lambda r: len(r[1] or ""), TEXT_CHARS):
+                for (label, _), (ids, share) in zip(rows, features([t for _, t in rows], p), strict=True):
+                    yield pd.DataFrame({"label": [label], "ids": [ids.tobytes()], "share": [share.tobytes()]})
 
     return run
 
@@ -127,38 +169,29 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.
     return fit([(np.frombuffer(i, np.uint16).astype(np.int64), np.frombuffer(s, np.float32), y) for i, s, y in rows], p)
 
 
+def scores(model: tuple[np.ndarray, float], texts: list[str | None], p: Params = Params()) -> np.ndarray:
+    """The probability of label 1 of each text."""
+    logits, bias = model
+    w = _Words(texts)
+    buckets, owner, hashes = word_features(w.distinct, p)
+    by_word = np.bincount(owner, logits[buckets], len(w.distinct)), np.bincount(owner, minlength=len(w.distinct))
+    total, n = (np.bincount(w.text, x[w.own], len(texts)) for x in by_word)
+    first, second, text = hashes[w.own[w.after - 1]], hashes[w.own[w.after]], w.text[w.after]
+    for k in range(p.bigram_hashes):
+        total += np.bincount(text, logits[bigram_buckets(first, second, k, p)], len(texts))
+    n += p.bigram_hashes * np.bincount(text, minlength=len(texts))
+    return 1.0 / (1.0 + np.exp(-np.clip(bias + total / np.maximum(n, 1), -50.0, 50.0)))
+
+
 def scorer(model: tuple[np.ndarray, float], p: Params = Params()):
     """A pandas function: text to the probability of label 1."""
-    logits, bias = model[0].astype(np.float32), model[1]
-    memo: dict[str, tuple[float, int]] = {}
-
-    repeat = float(logits[repeat_features(p)].sum())
-
-    def score(text: str | None) -> float:
-        words = (text or "").split()
-        repeats, get = sum(map(eq, words, words[1:])), memo.get
-        total, n = repeat * repeats, REPEAT_FEATURES * repeats
-        for word, c in Counter(words).items():
-            known = get(word)
-            if known is None:
-                own = word_features(word, p)
-                known = memo[word] = (float(logits[own].sum()), len(own))
-            total += known[0] * c
-            n += known[1] * c
-        return 1.0 / (1.0 + np.exp(-min(50.0, max(-50.0, bias + (total / n if n else 0.0)))))
 
     @F.pandas_udf("double")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
-            out = []
-            for t in part:
-                if len(memo) > MEMO_WORDS:
-                    for w in list(islice(memo, MEMO_KEPT, None)):
-                        del memo[w]
-                out.append(score(t))
-            yield pd.Series(out, dtype="float64")
-
-    run.score = score
+            out = [scores(model, rows, p) for rows in chunks(part, lambda t: len(t or "") + 1, TEXT_CHARS)]
+            yield pd.Series(np.concatenate(out) if out else np.empty(0))
+
     return run
 
 
@@ -168,6 +201,11 @@ def classify(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFr
     return scored.withColumn("predicted", (F.col("score") >= p.threshold).cast("int"))
 
 
+def keep(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
+    """The rows of ``docs`` that are predicted to be good."""
+    return docs.filter(scorer(train(docs, labels, p), p)("text") >= p.threshold)
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """Whether the checksum of the id's text leaves no remainder; false for null."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))

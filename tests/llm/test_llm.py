@@ -100,6 +100,83 @@ def test_quality_held_out(spark):
     assert quality.classify(docs_of(spark, []), labels).count() == 0
 
 
+def test_quality_by_force():
+    """Features by plain loops, and training and scores by an unfolded embed-average-softmax."""
+    p = quality.Params(buckets=64, dim=3, epochs=2, bigram_hashes=2)
+    full = (1 << 64) - 1
+    texts = ["the cat", "cat cat CAT,", None, "", "é x  x\nlong word", " a " * 3, "y" * 5000]
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
+    def salt(k):
+        return (k + 1) * 0x9E3779B97F4A7C15 & full
+
+    def hash_of(word):
+        return mix(sum(mix((ord(c) + k * salt(1)) & full) for k, c in enumerate(f"<{word}>")) & full)
+
+    def plain(text):
+        words, out = (text or "").split(), []
+        for w in words:
+            out.append(mix(hash_of(w) ^ salt(2)) % 64)
+            m = f"<{w}>"
+            for n in (3, 4):
+                for k in range(len(m) - n + 1):
+                    g = n
+                    for c in m[k : k + n]:
+                        g = (mix(g) + ord(c)) & full
+                    out.append(mix(g) % 64)
+        for a, b in zip(words, words[1:], strict=False):
+            out += [mix(((hash_of(a) ^ hash_of(b)) + salt(3 + k)) & full) % 64 for k in range(2)]
+        return out
+
+    rows = []
+    for t, (ids, share) in zip(texts, quality.features(texts, p), strict=True):
+        counts = Counter(plain(t))
+        assert ids.tolist() == sorted(counts)
+        assert share.tolist() == pytest.approx([counts[i] / sum(counts.values()) for i in sorted(counts)])
+        rows.append((ids.astype(np.int64), share, len(rows) % 2))
+    logits, bias = quality.fit(rows, p)
+    # The same descent with one vector for each feature of a document, unfolded.
+    rng = np.random.default_rng(p.seed)
+    embed, layer, b, done = rng.uniform(-1 / 3, 1 / 3, (64, 3)).astype(np.float32).astype(float), np.zeros((2, 3)), np.zeros(2), 0
+
+    def forward(t):
+        own = plain(t)
+        mean = sum((embed[i] for i in own), np.zeros(3)) / max(1, len(own))
+        z = layer @ mean + b
+        return own, mean, np.exp(z) / np.exp(z).sum()
+
+    for _ in range(p.epochs):
+        for k in rng.permutation(len(texts)):
+            rate = p.rate * (1 - done / (p.epochs * len(texts)))
+            done += 1
+            own, mean, prob = forward(texts[k])
+            error = prob - np.eye(2)[k % 2]
+            step = layer.T @ error
+            layer -= rate * np.outer(error, mean)
+            b -= rate * 0.1 * error
+            for i in own:
+                embed[i] -= rate * p.embedding_rate * step / len(own)
+    assert quality.scores((logits, bias), texts, p).tolist() == pytest.approx([forward(t)[2][1] for t in texts], abs=1e-4)
+    assert quality.scores((logits, bias), [], p).tolist() == []
+
+
+def test_quality_clashing_columns(spark):
+    texts = [("good " + "w " * k) if k % 2 else ("BAD!! " * (k + 1)) for k in range(60)]
+    df = docs_of(spark, texts, CLASH).withColumns({"predicted": F.lit("mine"), "label": F.lit("mine"), "quality": F.lit(7)})
+    df = df.unionByName(df.filter("doc_id = 3"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    out = quality.classify(df, labels)
+    assert out.columns == df.columns and out.count() == 61
+    assert {r.predicted for r in out.filter("doc_id = 3").collect()} == {1}
+    kept = quality.keep(df.withColumn("score", F.lit("own")), labels).collect()
+    assert {r.doc_id for r in kept} == set(range(1, 60, 2)) and len(kept) == 31
+    assert {(r.score, r.predicted, r.label) for r in kept} == {("own", "mine", "mine")}
+
+
 # ---- chat ----
 
 
