@@ -3,7 +3,7 @@
 ``count_lines`` finds, with partial sums before the shuffle, how many documents hold each distinct line key and the
 largest ``doc_id`` among them.  ``build_index`` cuts the hashes of the keys found often enough into shards and gives
 each a minimal perfect hash with three arrays: a 64-bit fingerprint (with the 64 bits that are hashed, 128 bits
-decide), the count of documents and the keeper.  ``dedup`` probes the arrays line by line.  While the whole index is
+decide; a shard in which two keys share the hashed bits hashes a mix of all under a seed that it keeps), the count of documents and the keeper.  ``dedup`` probes the arrays line by line.  While the whole index is
 at most ``RESIDENT_BYTES`` every worker holds it and texts aren't shuffled; beyond, compact probes are routed to the
 shards and only their answers are joined to the documents, so memory stays bounded at any size.
 
@@ -16,6 +16,7 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import SPACE, chunks, forget, written
+from gleaner.llm.common import SPACE, chunks, forget, mix64, written
 from gleaner.llm.mph import PerfectHash
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -72,10 +73,17 @@ def count_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
 
 
+def _keys(h1: np.ndarray, h2: np.ndarray, seed: int) -> np.ndarray:
+    """The 64 bits that are hashed: the first ones, or under a seed a mix of all 128."""
+    return mix64(h1 ^ mix64(h2 + np.uint64(seed))) if seed else h1
+
+
 class LineIndex:
-    """A shard: fingerprints, counts and keepers in the order of the perfect hash."""
+    """A shard: fingerprints, counts and keepers in the order of the perfect hash, behind the seed of its keys."""
 
     def __init__(self, data: bytes):
+        (self._seed,) = struct.unpack_from("<I", data)
+        data = memoryview(data)[4:]
         self._hash, at = PerfectHash.load(data)
         n = self._hash.n
         self._print = np.frombuffer(data, "<u8", n, at)
@@ -84,14 +92,17 @@ class LineIndex:
 
     @staticmethod
     def dump(h1: np.ndarray, h2: np.ndarray, keeper: np.ndarray, count: np.ndarray) -> bytes:
-        hashed = PerfectHash.build(h1)
-        order = np.argsort(hashed(h1))
+        # Where two keys of the shard share the bits that are hashed, others are.
+        seed = next(k for k in range(64) if len(np.unique(_keys(h1, h2, k))) == len(h1))
+        keys = _keys(h1, h2, seed)
+        hashed = PerfectHash.build(keys)
+        order = np.argsort(hashed(keys))
         arrays = (h2.astype("<u8"), keeper.astype("<i8"), np.minimum(count, 0xFFFFFFFF).astype("<u4"))
-        return hashed.dump() + b"".join(a[order].tobytes() for a in arrays)
+        return struct.pack("<I", seed) + hashed.dump() + b"".join(a[order].tobytes() for a in arrays)
 
     def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count of documents (0: not in the index) and keeper of each hash."""
-        at = self._hash(h1)
+        at = self._hash(_keys(h1, h2, self._seed))
         ok = at >= 0
         ok[ok] = self._print[at[ok]] == h2[ok]
         at = np.where(ok, at, 0)
@@ -106,9 +117,6 @@ def _shard_of(h1: np.ndarray, shards: int) -> np.ndarray:
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     h1, h2 = (pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("h1", "h2"))
-    _, first = np.unique(h1, return_index=True)
-    if len(first) < len(h1):  # 64 bits met twice among keys of one shard: the perfect hash needs other bits
-        raise ValueError("two line keys share 64 bits of their hash")
     return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "data": [LineIndex.dump(h1, h2, pdf["keeper"].to_numpy(np.int64), pdf["n_docs"].to_numpy(np.int64))]})
 
 

@@ -3,8 +3,8 @@
 1.  ``targets``: sources get weights by rank and share a multiple of all words; a source stops at ``epochs`` times its
     own words and the excess is shared anew by weight (solved at once from the sorted caps, no iteration).
 2.  A source's documents are dealt into at most ``BLOCKS`` blocks by hash.  Whole passes take every block; the rest of
-    the target is filled along a random order of the blocks, each taken that still fits.  A block taken twice is two
-    draws, so a source has an exact quota of draws, and no document is cut.
+    the target is filled along a random order of the blocks, each taken that still fits, and at last by the block that
+    comes nearest to what is missing, if that is nearer than nothing.  A block taken twice is two draws, so a source has an exact quota of draws, and no document is cut.
 3.  ``split_quotas``: the vector of quotas is split over the output shards by a binary tree.  A node gives its left half
     the draws that its shards hold; how many of them each source supplies is a multivariate-hypergeometric draw, made
     source by source by inversion of the exact distribution.  The right half gets the rest, so all quotas add up.
@@ -14,8 +14,9 @@
 Only built-in functions run here.  The hash of all steps is seeded: reruns agree.
 
 Edge cases: the size of a null text is 0; null sources are one source, the last; null or repeated ``doc_id`` are rows of
-their own (equal rows share a block); an empty table gives empty results; clashing extra columns are kept by ``mix``,
-whose own columns are ``shard`` and ``copy``.
+their own (equal rows share a block); an empty table gives empty results; a text of any length is counted whole; ``mix`` keeps
+all columns of the documents and adds ``shard`` and ``copy``, as ``mix_shard`` and ``mix_copy`` where those names are taken.
+Sources may be many, but their names, sizes and quotas are rows of one task: they are meant to be labels, not ids.
 """
 
 from __future__ import annotations
@@ -186,7 +187,12 @@ def _draws(filled: DataFrame) -> DataFrame:
             F.concat(acc["out"], F.when(fits & (x["n"] > 0), F.array(x["block"])).otherwise(F.array().cast("array<bigint>"))).alias("out"),
         )
 
-    extra = F.aggregate("bs", F.struct(F.col("rest").alias("rest"), F.array().cast("array<bigint>").alias("out")), take, lambda acc: acc["out"])
+    def filled_up(acc: Column) -> Column:
+        fits = F.filter("bs", lambda x: (x["n"] > 0) & (x["n"] < 2 * acc["rest"]) & ~F.array_contains(acc["out"], x["block"]))
+        nearest = F.array_min(F.transform(fits, lambda x: F.struct(F.abs(acc["rest"] - x["n"]).alias("off"), x["block"].alias("block"))))
+        return F.concat(acc["out"], F.when(nearest.isNotNull(), F.array(nearest["block"])).otherwise(F.array().cast("array<bigint>")))
+
+    extra = F.aggregate("bs", F.struct(F.col("rest").alias("rest"), F.array().cast("array<bigint>").alias("out")), take, filled_up)
     passes = F.flatten(F.transform("bs", lambda x: F.when(F.col("whole") > 0, F.array_repeat(x["block"], F.col("whole"))).otherwise(F.array().cast("array<bigint>"))))
     rows = per.select("source", F.posexplode(F.concat(passes, extra)).alias("k", "block"))
     order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(SEED + 2), "block", "k"), "k")
@@ -198,11 +204,13 @@ def mix(docs: DataFrame, planned: DataFrame | None = None, **options) -> DataFra
 
     Rows are joined to their plan by doc_id, source and text, so whole repeated rows share one plan."""
     planned = plan(docs, **options) if planned is None else planned
+    names = {c.lower() for c in docs.columns}
+    shard, copy = (f"mix_{c}" if c in names else c for c in ("shard", "copy"))
     rows = planned.groupBy("doc_id", "source", "tie").agg(F.first("shards").alias("shards"))
-    rows = rows.select(F.col("doc_id").alias("d"), F.col("source").alias("_source"), F.col("tie").alias("t"), F.posexplode("shards").alias("copy", "shard"))
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("t"))
-    out = docs.join(rows, same).drop("d", "_source", "t")
-    return out.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(64))).sortWithinPartitions("shard", F.xxhash64(F.lit(SEED + 3), "doc_id", "copy"))
+    rows = rows.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("tie").alias("_mix_tie"), F.posexplode("shards").alias(copy, shard))
+    same = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.xxhash64("text") == F.col("_mix_tie"))
+    out = docs.join(rows, same).select(*[docs[c] for c in docs.columns], shard, copy)
+    return out.repartition(shard, F.pmod(F.xxhash64("doc_id"), F.lit(64))).sortWithinPartitions(shard, F.xxhash64(F.lit(SEED + 3), "doc_id", copy))
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
@@ -211,7 +219,7 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     What is emitted for whole repeated rows is shared among them; a remainder would go to the first of them."""
     planned = plan(docs, **options)
     # The place in the output keeps the optimizer from leaving out the order of the shards.
-    mixed = mix(docs, planned).select("doc_id", "source", F.xxhash64("text").alias("tie"), words().alias("n"), F.monotonically_increasing_id().alias("at"))
+    mixed = mix(docs.select("doc_id", "source", "text"), planned).select("doc_id", "source", F.xxhash64("text").alias("tie"), words().alias("n"), F.monotonically_increasing_id().alias("at"))
     emitted = mixed.groupBy("doc_id", "source", "tie").agg(F.sum(F.when(F.col("at") >= 0, F.col("n"))).alias("n")).withColumnsRenamed({"doc_id": "d", "source": "s", "tie": "t"})
     rows = planned.groupBy("doc_id", "source", "tie").agg(F.count(F.lit(1)).alias("m"), *[F.first(c).alias(c) for c in ("size", "source_size", "target")])
     both = rows.join(emitted, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("tie") == F.col("t")), "left")

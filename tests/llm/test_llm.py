@@ -273,6 +273,22 @@ def test_mix_emits_its_plan(spark, monkeypatch):
     assert all(r.taken == 0 for r in mixing.taken(df, shards=5).filter("doc_id % 2 = 1").collect())
 
 
+def test_mix_keeps_clashing_columns(spark):
+    """Columns named as ``mix`` names its own, inside or out, come out as they were; targets are met closely."""
+    rng = random.Random(15)
+    rows = [(k, words_text(rng, rng.randrange(1, 60)), rng.choice("abc")) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    own = {c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in ("d", "t", "s", "shard", "copy", "tie", "shards", "size", "n", "block", "target", "_source")}
+    out = mixing.mix(df.withColumns(own), shards=3)
+    assert out.columns == ["doc_id", "text", "source", *own, "mix_shard", "mix_copy"]
+    plain = Counter((r.doc_id, r.shard, r.copy) for r in mixing.mix(df, shards=3).collect())
+    got = out.collect()
+    assert Counter((r.doc_id, r.mix_shard, r.mix_copy) for r in got) == plain
+    assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in own)
+    totals = mixing.taken(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("size")).collect()
+    assert all(abs(r.taken - r.target) <= 0.01 * r.size for r in totals)
+
+
 def test_hypergeometric_matches_exact_distribution(spark):
     from math import comb
 
@@ -379,6 +395,16 @@ def test_perfect_hash():
         PerfectHash.build(np.array([3, 3], np.uint64))
 
 
+def test_line_index_with_shared_bits(spark):
+    """Keys that share the 64 bits that are hashed get a hash of all bits."""
+    h1, h2 = np.array([5, 5, 9, 5], np.uint64), np.array([1, 2, 1, 3], np.uint64)
+    counted = spark.createDataFrame([(int(a), int(b), 3 + k, 10 + k) for k, (a, b) in enumerate(zip(h1, h2, strict=True))], "h1 long, h2 long, n_docs long, keeper long")
+    table, shards = line_dedup.build_index(counted)
+    index = line_dedup.LineIndex(bytes(table.head().data))
+    assert shards == 1 and [x.tolist() for x in index.probe(h1, h2)] == [[3, 4, 5, 6], [10, 11, 12, 13]]
+    assert index.probe(np.array([5, 9], np.uint64), np.array([4, 2], np.uint64))[0].tolist() == [0, 0]
+
+
 # ---- similarity ----
 
 
