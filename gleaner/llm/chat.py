@@ -1,17 +1,18 @@
 """Chat formatting in budgeted windows of whole turns.
 
-Each turn becomes ``<s>[ROLE role]\\ntext</s>\\n``; control strings inside roles and texts are escaped by a backslash,
-reversibly.  Prefix sums of the turns' tokens choose the spans: a window takes as many new turns as fit beside the
-conversation's system turn, which every later window repeats, and a limited history (the last turns before the span,
-within their own budget).  Only new assistant turns are under the loss mask, so a repeated target is learnt once.  A turn
-that is too long for any window gets one of its own, whole, marked ``over_budget``.
-
-A conversation is cut into segments of ``Params.segment`` turn numbers, which are formatted apart: their history and
-system turn come from the segments before.  So a conversation of any length is spread over tasks, and tasks hold a
-window at a time.
-
-Edge cases: rows are ordered by turn (null first), ties by role and text; a null role or text is empty; repeated rows are
-turns of their own; a null conv_id is a conversation; an empty table gives an empty result; extra columns are ignored.
+Each turn becomes ``<s>[ROLE role]\\ntext</s>\\n``; control strings inside roles and texts, the template's and the
+tokenizer's own, are escaped by a backslash, reversibly.  Prefix sums of the turns' tokens choose the spans: a window takes
+as many new turns as fit beside the conversation's system turn, which every later window repeats, and a limited history
+(the last turns before the span, within their own budget).  Only new assistant turns are under the loss mask, so a repeated
+target is learnt once.  A turn that is too long for any window gets one of its own, whole, marked ``over_budget``.
+
+A conversation is cut into segments of ``Params.segment`` turns by their rank, which are formatted apart: their history and
+system turn come from the segments before.  Ranks come from a range-parted order and summed counts of its parts, so a
+conversation of any length is spread over tasks, and tasks hold a window at a time.
+
+Edge cases: rows are ordered by turn (null first, any numbers), ties by role and text; a null role or text is empty; texts of
+any length stay whole; repeated rows are turns of their own; a null conv_id is a conversation; an empty table gives an
+empty result; extra columns, also those named as this module's own, are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,14 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.llm.common import small, written
-from gleaner.llm.tokens import coder
+from gleaner.llm.tokens import coder, special_strings
 
 BEGIN, END, ROLE = "<s>", "</s>", "[ROLE "
 #: Strings that no text may show as they are: this template's and those of templates it is often mixed with.
 CONTROL = (BEGIN, END, ROLE, "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-SMALL_SEGMENTS = 500_000
+#: Rows of conversations' parts that are sent to every executor at most.
+SMALL_PARTS = 500_000
 
-_CONTROL = re.compile("|".join(re.escape(c) for c in CONTROL))
 _TURN = re.compile(r"<s>\[ROLE ((?:[^\\\]]|\\.)*)\]\n((?:[^\\<]|\\.|<(?!/s>))*)</s>\n", re.DOTALL)
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
@@ -49,19 +51,24 @@ class Params:
     tokenizer: str = "word_bpe_49k.json"
 
 
-def escape(text: str) -> str:
+@cache
+def _control(tokenizer: str) -> re.Pattern:
+    return re.compile("|".join(map(re.escape, (*CONTROL, *special_strings(tokenizer)))))
+
+
+def escape(text: str, tokenizer: str = Params.tokenizer) -> str:
     """Backslashes double; a control string gets one behind its first character."""
-    return _CONTROL.sub(lambda m: f"{m[0][0]}\\{m[0][1:]}", text.replace("\\", "\\\\"))
+    return _control(tokenizer).sub(lambda m: f"{m[0][0]}\\{m[0][1:]}", text.replace("\\", "\\\\"))
 
 
 def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-def turn_text(role: str, text: str) -> tuple[str, int]:
+def turn_text(role: str, text: str, tokenizer: str = Params.tokenizer) -> tuple[str, int]:
     """The formatted turn, and where its text begins in it."""
-    head = f"{BEGIN}{ROLE}{escape(role).replace(']', chr(92) + ']')}]\n"
-    return f"{head}{escape(text)}{END}\n", len(head)
+    head = f"{BEGIN}{ROLE}{escape(role, tokenizer).replace(']', chr(92) + ']')}]\n"
+    return f"{head}{escape(text, tokenizer)}{END}\n", len(head)
 
 
 def parse(text: str) -> list[tuple[str, str]]:
@@ -85,10 +92,13 @@ class _Turn:
 
 
 class _Segment:
-    """Formats the turns of one segment as they come."""
+    """Formats the turns of one segment as they come.
+
+    ``sums`` are prefix sums of the new turns' tokens; the open window's span began behind ``sums[first]``."""
 
     def __init__(self, p: Params):
         self.p, self.system, self.past, self.new, self.window = p, None, [], [], 0
+        self.sums, self.first, self.repeated = [0], 0, 0
 
     def context(self) -> list[_Turn]:
         """The system turn and the history for the next span."""
@@ -103,23 +113,26 @@ class _Segment:
     def add(self, turn: _Turn) -> dict | None:
         """Takes a turn; returns the window that it closes."""
         done = None
-        if self.new and sum(t.tokens for t in self.before) + sum(t.tokens for t in self.new) + turn.tokens > self.p.budget:
+        if self.new and self.repeated + self.sums[-1] + turn.tokens - self.sums[self.first] > self.p.budget:
             done = self.close()
         if not self.new:
             self.before = self.context()
+            self.repeated, self.first = sum(t.tokens for t in self.before), len(self.sums) - 1
             # History gives way to a span that would not fit beside it, the system turn stays.
-            while len(self.before) > bool(self.system) and sum(t.tokens for t in self.before) + turn.tokens > self.p.budget:
-                self.before.pop(1 if self.system else 0)
+            while len(self.before) > bool(self.system) and self.repeated + turn.tokens > self.p.budget:
+                self.repeated -= self.before.pop(1 if self.system else 0).tokens
         self.new.append(turn)
+        self.sums.append(self.sums[-1] + turn.tokens)
         return done
 
     def close(self) -> dict:
-        parts, spans, at, used = [], [], 0, 0
+        parts, spans, at = [], [], 0
+        used = self.repeated + self.sums[-1] - self.sums[self.first]
         for k, t in enumerate(self.before + self.new):
             if k >= len(self.before) and t.role in self.p.loss_roles:
                 spans.append((at + t.at, at + len(t.text) - len(END) - 1))
             parts.append(t.text)
-            at, used = at + len(t.text), used + t.tokens
+            at += len(t.text)
         row = {"window": self.window, "text": "".join(parts), "n_new": len(self.new), "n_repeated": len(self.before), "n_tokens": used, "over_budget": used > self.p.budget, "loss": spans}
         for t in self.new:
             self.remember(t)
@@ -139,7 +152,7 @@ def _format(p: Params):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count, key, segment = coder(p.tokenizer), None, None
         for pdf in batches:
-            made = [turn_text(r, t) for r, t in zip(pdf["role"], pdf["text"], strict=True)]
+            made = [turn_text(r, t, p.tokenizer) for r, t in zip(pdf["role"], pdf["text"], strict=True)]
             tokens = count.encode([t for t, _ in made])[1]
             out = []
 
@@ -168,28 +181,30 @@ def _format(p: Params):
 def windows(conversations: DataFrame, p: Params = Params()) -> DataFrame:
     """The formatted windows of all conversations (conv_id, turn, role, text): conv (the id's text), segment, window,
     text, n_new, n_repeated, n_tokens, over_budget and the spans of ``text`` under the loss mask."""
-    turn = F.col("turn").cast("long")
-    rows = conversations.select(
-        F.col("conv_id").cast("string").alias("conv"),
-        F.coalesce(F.floor(turn / p.segment), F.lit(-(1 << 60))).cast("long").alias("segment"),
-        turn.alias("turn"),
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
-    own = rows.select("conv", "segment", F.lit(2).alias("kind"), "turn", "role", "text")
-    # Segments with one before them in their conversation, from a narrow aggregate.
-    after = Window.partitionBy("conv").orderBy("segment")
-    later = rows.groupBy("conv", "segment").agg(F.count(F.lit(1)).alias("n")).withColumn("previous", F.lag("segment").over(after)).filter("previous IS NOT NULL")
-    later = small(written(later.select(F.col("conv").alias("c"), F.col("segment").alias("s"), "previous"), "later-segments"), SMALL_SEGMENTS)
+    if p.segment <= p.history_turns:
+        raise ValueError("a segment must be longer than the history")
+    rows = conversations.select(F.col("conv_id").cast("string").alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # Cuts of the order hold a text's beginning, so that they stay short; the order itself holds all of it.
+    ordered = rows.repartitionByRange("conv", "turn", "role", F.substring("text", 1, 64)).sortWithinPartitions("conv", "turn", "role", "text")
+    ordered = written(ordered.withColumn("at", F.monotonically_increasing_id()), "turns-in-order")
+    # Where each part of the order begins in its conversation.
+    parts = ordered.groupBy("conv", F.shiftright("at", 33).alias("part")).agg(F.min("at").alias("begin"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("conv", "part", "begin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.sum("n").over(Window.partitionBy("conv")).alias("all"))
+    parts = small(written(parts, "conversation-parts"), SMALL_PARTS).withColumnsRenamed({"conv": "c", "part": "p"})
     same = F.col("conv").eqNullSafe(F.col("c"))
-    last = Window.partitionBy("c", "s").orderBy(F.desc("turn"), F.desc("role"), F.desc("text"))
-    tails = rows.join(later, same & (F.col("segment") == F.col("previous"))).withColumn("k", F.row_number().over(last)).filter(F.col("k") <= p.history_turns)
-    tails = tails.select("conv", F.col("s").alias("segment"), F.lit(1).alias("kind"), "turn", "role", "text")
-    systems = rows.filter("role = 'system'").groupBy("conv").agg(F.min(F.struct("segment", "turn", "text")).alias("first"))
-    heads = systems.join(later, same & (F.col("first.segment") < F.col("s")))
-    heads = heads.select("conv", F.col("s").alias("segment"), F.lit(0).alias("kind"), "first.turn", F.lit("system").alias("role"), "first.text")
-    ordered = own.unionByName(tails).unionByName(heads).repartition("conv", "segment").sortWithinPartitions("conv", "segment", "kind", "turn", "role", "text")
-    return ordered.mapInPandas(_format(p), _WINDOWS)
+    ranked = ordered.join(parts, same & (F.shiftright("at", 33) == F.col("p"))).withColumn("rank", F.col("at") - F.col("begin") + F.col("offset"))
+    segment = F.floor(F.col("rank") / p.segment)
+    columns = ["conv", "segment", "kind", "rank", "role", "text"]
+    last = F.floor((F.col("all") - 1) / p.segment)
+    own = ranked.withColumns({"segment": segment, "kind": F.lit(2)}).select(*columns)
+    # The last turns of a full segment are the next one's history.
+    tails = ranked.filter((F.col("rank") % p.segment >= p.segment - p.history_turns) & (segment < last)).withColumns({"segment": segment + 1, "kind": F.lit(1)}).select(*columns)
+    systems = ranked.filter("role = 'system'").groupBy("conv").agg(F.min(F.struct("rank", "text")).alias("first"), F.max(last).alias("last"))
+    later = systems.withColumn("from", F.floor(F.col("first.rank") / p.segment) + 1).filter("last >= `from`").withColumn("segment", F.explode(F.sequence(F.col("from"), F.col("last"))))
+    heads = later.select("conv", "segment", F.lit(0).alias("kind"), F.col("first.rank").alias("rank"), F.lit("system").alias("role"), F.col("first.text").alias("text"))
+    every = own.unionByName(tails).unionByName(heads).repartition("conv", "segment").sortWithinPartitions("conv", "segment", "kind", "rank")
+    return every.mapInPandas(_format(p), _WINDOWS)
 
 
 _DIGEST = "conv string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"

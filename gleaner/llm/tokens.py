@@ -22,6 +22,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def special_strings(name: str) -> list[str]:
+    """The strings that a tokenizer file reads as tokens of their own."""
+    with open(tokenizer_file(name), encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f).get("added_tokens", [])]
+
+
 #: Chunks of these characters are the same under NFC, have one-to-one lower cases, no white space and no "<", with
 #: which special tokens begin.
 _PLAIN = re.compile("[\x21-;=-\x7e¡-įı-ɏ]*")

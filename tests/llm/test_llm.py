@@ -212,6 +212,54 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.windows(df.limit(0))).count() == 0
 
 
+def spans_by_force(turns, p, count):
+    """(n_new, n_repeated, n_tokens) of each window of one conversation, spans found by plain sums."""
+    size = [count(chat.turn_text(r, t)[0]) for r, t in turns]
+    out = []
+    for first in range(0, len(turns), p.segment):
+        at, end = first, min(first + p.segment, len(turns))
+        while at < end:
+            head = next((k for k in range(at) if turns[k][0] == "system"), None)
+            history, left = [], p.history_budget
+            for k in range(at - 1, max(-1, at - 1 - p.history_turns), -1):
+                if k == head or size[k] > left:
+                    break
+                history.insert(0, k)
+                left -= size[k]
+            before = ([] if head is None else [head]) + history
+            while len(before) > (head is not None) and sum(size[k] for k in before) + size[at] > p.budget:
+                before.pop(0 if head is None else 1)
+            n = 1
+            while at + n < end and sum(size[k] for k in before) + sum(size[at : at + n + 1]) <= p.budget:
+                n += 1
+            out.append((n, len(before), sum(size[k] for k in before) + sum(size[at : at + n])))
+            at += n
+    return out
+
+
+def test_chat_spans_by_force(spark):
+    """Spans of sparse turn numbers, in segments by rank, with history across them; the tokenizer's own strings are escaped."""
+    from gleaner.llm.tokens import coder
+
+    rng, p = random.Random(21), chat.Params(budget=120, history_turns=3, history_budget=50, segment=7)
+    talks, rows = {}, []
+    for c in range(25):
+        turns = [(rng.choice(["user", "assistant", "system"] if c % 3 else ["user", "assistant"]), rng.choice(["<|endoftext|>", "<|startoftext|> x <s>", words_text(rng, rng.choice([0, 1, 5, 30, 90, 200]))])) for _ in range(rng.choice([1, 3, 8, 40]))]
+        talks[str(c)] = turns
+        rows += [(c, 1000 * k * k - 5, r, t) for k, (r, t) in enumerate(turns)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("x") for c in ("conv", "at", "rank", "part", "c", "p", "segment", "first")})
+    got: dict = {}
+    for w in sorted(chat.windows(df, p).collect(), key=lambda w: (w.segment, w.window)):
+        got.setdefault(w.conv, []).append(w)
+    own = coder(p.tokenizer)
+    for c, turns in talks.items():
+        assert [(w.n_new, w.n_repeated, w.n_tokens) for w in got[c]] == spans_by_force(turns, p, lambda t: int(own.encode([t])[1][0])), c
+        assert [x for w in got[c] for x in chat.parse(w.text)[w.n_repeated :]] == turns
+    whole = "".join(w.text for v in got.values() for w in v)
+    assert "<|endoftext|>" not in whole and "<\\|endoftext|>" in whole
+
+
 # ---- mixing ----
 
 
