@@ -6,9 +6,13 @@ tokens.  An edit descends by characters to the pre-tokens it touches, goes back
 characters at most), and matches anew until a match ends where an old one did, clear of the context's end; only the new
 matches are counted, and the sums above the changed leaves are updated.
 
-Edge cases: null and empty texts count 0; edits are applied in order, positions are code points and are cut to the text;
-null parts of an edit are 0 or empty, and null lists of edits are none; repeated and null ids are rows of their own; an
-empty table gives an empty result; extra columns are ignored.
+``plant`` stores the trees of all documents, their pre-tokens' lengths and counts beside the text; ``edit`` applies a batch of
+edits to stored trees and returns trees, so any number of batches encode only what they touch.  ``count`` does both at once.
+
+Edge cases: null and empty texts count 0; the strings of special tokens are ordinary text and are encoded as such; edits are
+applied in order, positions are code points and are cut to the text; null parts of an edit are 0 or empty, and null lists of
+edits are none; texts of any length stay whole; repeated and null ids are rows of their own (all rows of an id get the id's
+edits, a null id has none); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -58,10 +63,26 @@ class TokenTree:
         self.encoded = 0
         self._plant(_pieces(text))
 
+    @classmethod
+    def load(cls, text: str, lengths: bytes, counts: bytes, counter: PieceCounter) -> TokenTree:
+        """The tree that ``dump`` wrote beside its text; nothing is encoded."""
+        self = cls.__new__(cls)
+        self._counter, self.encoded = counter, 0
+        ends = np.cumsum(np.frombuffer(lengths, "<u4"), dtype=np.int64).tolist()
+        self._hang([text[a:b] for a, b in zip([0, *ends], ends, strict=False)], np.frombuffer(counts, "<u4").tolist())
+        return self
+
+    def dump(self) -> tuple[bytes, bytes]:
+        """The lengths and counts of all pre-tokens."""
+        pieces, counts = ([x for own in kind for x in own] for kind in (self._leaves, self._counts))
+        return np.fromiter(map(len, pieces), "<u4", len(pieces)).tobytes(), np.array(counts, "<u4").tobytes()
+
     def _plant(self, pieces: list[str]) -> None:
-        self._leaves = [pieces[k : k + LEAF] for k in range(0, len(pieces), LEAF)] or [[]]
-        counts = self._counter(pieces)
         self.encoded += len(pieces)
+        self._hang(pieces, self._counter(pieces))
+
+    def _hang(self, pieces: list[str], counts: list[int]) -> None:
+        self._leaves = [pieces[k : k + LEAF] for k in range(0, len(pieces), LEAF)] or [[]]
         self._counts = [counts[k : k + LEAF] for k in range(0, len(pieces), LEAF)] or [[]]
         self._grow()
 
@@ -169,19 +190,27 @@ def _whole(x) -> int:
 _counters: dict[str, PieceCounter] = {}
 
 
+def _counter(tokenizer: str) -> PieceCounter:
+    if tokenizer not in _counters:
+        _counters[tokenizer] = PieceCounter(tokenizer)
+    return _counters[tokenizer]
+
+
+def _edit(tree: TokenTree, edits) -> None:
+    for e in edits if edits is not None else ():
+        if e is not None:
+            tree.edit(_whole(e["pos"]), _whole(e["n_delete"]), e["insert"] or "")
+
+
 def _run(tokenizer: str, columns: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if tokenizer not in _counters:
-            _counters[tokenizer] = PieceCounter(tokenizer)
-        counter = _counters[tokenizer]
+        counter = _counter(tokenizer)
         for pdf in batches:
             rows = []
             for text, edits in zip(pdf["text"], pdf["edits"], strict=True):
                 tree = TokenTree(text or "", counter)
                 before, planted = tree.tokens, tree.encoded
-                for e in edits if edits is not None else ():
-                    if e is not None:
-                        tree.edit(_whole(e["pos"]), _whole(e["n_delete"]), e["insert"] or "")
+                _edit(tree, edits)
                 rows.append((before, tree.tokens, planted, tree.encoded - planted))
             done = pd.DataFrame(rows, columns=["n_tokens", "n_tokens_edited", "n_pretokens", "n_reencoded"])
             yield pd.concat([pdf[columns].reset_index(drop=True), done], axis=1)
@@ -189,6 +218,38 @@ def _run(tokenizer: str, columns: list[str]):
     return run
 
 
+def _trees(tokenizer: str, stored: bool):
+    names = ["doc_id", "text", "lengths", "counts", "n_tokens", "n_encoded"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counter = _counter(tokenizer)
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):  # a row at a time: texts and trees can be long
+                if stored:
+                    tree = TokenTree.load(r.text, r.lengths, r.counts, counter)
+                    _edit(tree, r.edits)
+                else:
+                    tree = TokenTree(r.text or "", counter)
+                yield pd.DataFrame([(r.doc_id, tree.text(), *tree.dump(), tree.tokens, tree.encoded)], columns=names)
+
+    return run
+
+
+_TREES = "doc_id string, text string, lengths binary, counts binary, n_tokens long, n_encoded long"
+
+
+def plant(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The trees of ``docs`` (doc_id, text) as rows to be stored: doc_id (as text), text, lengths and counts of its pre-tokens,
+    n_tokens, and n_encoded, how many pre-tokens were counted for it."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_trees(tokenizer, False), _TREES)
+
+
+def edit(trees: DataFrame, edits: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Stored ``trees`` after a batch of ``edits`` (as for ``with_edits``); only what the edits touch is encoded."""
+    own = with_edits(trees.select("doc_id", "text", "lengths", "counts"), edits.withColumn("doc_id", F.col("doc_id").cast("string")))
+    return own.mapInPandas(_trees(tokenizer, True), _TREES)
+
+
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """``docs`` with the list ``edits`` of each document, from rows (doc_id, edit_no, pos, n_delete, insert) in the order
     of edit_no; ties by place and text."""

@@ -394,6 +394,33 @@ def test_edit_count_rows(spark):
     assert edit_counts.count(edit_counts.with_edits(df.limit(0), edits)).count() == 0
 
 
+def test_stored_trees_take_batches_of_edits(spark, tmp_path):
+    """Two batches on stored trees give the counts of the whole texts and encode only what they touch."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(31)
+    texts = [words_text(rng, 3000), "a <|endoftext|> b", None, "", words_text(rng, 50)]
+    df = docs_of(spark, texts, CLASH).unionByName(docs_of(spark, ["no id"], CLASH).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs_of(spark, [texts[4]], CLASH, 4))
+    edit_counts.plant(df).write.parquet(f"{tmp_path}/0")
+    whole = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    whole.encode_special_tokens = True
+    now = {k: t or "" for k, t in enumerate(texts)}
+    for batch in range(2):
+        rows = []
+        for k, e in ((0, 0), (0, 1), (1, 0), (4, 0)):
+            pos, cut, more = rng.randrange(len(now[k]) + 1), rng.randrange(9), rng.choice(["", " new words", "é1"])
+            rows.append((k, e, pos, cut, more))
+            now[k] = now[k][:pos] + more + now[k][pos + cut :]
+        edits = spark.createDataFrame(rows, "doc_id long, edit_no int, pos long, n_delete long, insert string")
+        edit_counts.edit(spark.read.parquet(f"{tmp_path}/{batch}"), edits).write.parquet(f"{tmp_path}/{batch + 1}")
+        got = spark.read.parquet(f"{tmp_path}/{batch + 1}").collect()
+        assert Counter(r.doc_id for r in got) == Counter(["0", "1", "2", "3", "4", "4", None])
+        for r in got:
+            own = now[int(r.doc_id)] if r.doc_id else "no id"
+            assert (r.text, r.n_tokens) == (own, len(whole.encode(own, add_special_tokens=False).ids))
+            assert r.n_encoded < 600 and (r.n_encoded > 0) == (r.doc_id in ("0", "1", "4"))
+
+
 # ---- lines ----
 
 
