@@ -682,9 +682,38 @@ def test_decontamination(spark, monkeypatch):
     assert bad and decontaminate.clean(df, bench).count() == len(rows) - len(bad)
     assert decontaminate.search(df.limit(0), bench).count() == 0
     assert not any(r.contaminated for r in decontaminate.search(df, bench.limit(0)).collect())
-    near = {(r.doc_id, r.item_id) for r in decontaminate.near(df, bench, 0 + 40).collect()}
-    exact = {(d, str(i)) for d, t in rows for n in {len(x) for x in windows} for k in range(len(words(t)) - n + 1) for i in windows.get(tuple(words(t)[k : k + n]), ()) if d is not None and i is not None}
-    assert exact <= near
+    whole = decontaminate.build_index(df)
+    assert sorted((tuple(r) for r in decontaminate.search(df, bench, index=whole).collect()), key=repr) == sorted(expected, key=repr)
+    assert decontaminate.near(df, bench.limit(0), 20, index=whole).count() == 0
+
+
+@pytest.mark.parametrize("candidates", [2_000_000, 3])
+def test_near_by_force(spark, monkeypatch, candidates):
+    """Proximity by trying every stretch; phrases with few candidates at once; very long texts; repeated words."""
+    monkeypatch.setattr(decontaminate, "CANDIDATES", candidates)
+    monkeypatch.setattr(decontaminate, "SHARD_CHARS", 3000)
+    rng = random.Random(14)
+    items = [(k, words_text(rng, rng.choice([1, 2, 4, 6]), 25)) for k in range(12)] + [(None, "w1 w2"), (5, "w3 w3 w3 w4")]
+    rows = [(k, words_text(rng, rng.randrange(0, 60), 25)) for k in range(40)] + [(100, words_text(rng, 4000, 25)), (None, "w1 w2"), (3, "w3 w4"), (101, None)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    span, size = 6, 4
+    want, exact = Counter(), Counter()
+    windows: dict = {}
+    for i, t in items:
+        w = t.split()
+        for k in range(max(1, len(w) - size + 1)):
+            windows.setdefault(tuple(w[k : k + size]), set()).add(i)
+    for r, (d, t) in enumerate(rows):
+        w = (t or "").split()
+        for own, held in windows.items():
+            if any(set(own) <= set(w[k : k + span]) for k in range(max(1, len(w) - span + 1))):
+                for i in held - {None}:
+                    want[r, d, str(i)] += 1
+            exact.update((r, d, str(i)) for k in range(len(w) - len(own) + 1) if tuple(w[k : k + len(own)]) == own for i in held - {None})
+    got = decontaminate.near(df, bench, span, window=size).collect()
+    assert Counter((r.doc_id, r.item_id, r.n_near) for r in got) == Counter((d, i, n) for (_, d, i), n in want.items())
+    found = decontaminate.search(df, bench, window=size).collect()
+    assert Counter((r.doc_id, r.n_items) for r in found) == Counter((d, len({i for q, _, i in exact if q == r})) for r, (d, _) in enumerate(rows))
 
 
 # ---- pipeline ----
