@@ -106,6 +106,8 @@ class ChunkTokenizer:
         if not all(t["content"].startswith("<") for t in own["added_tokens"]):
             raise ValueError("a special token doesn't begin with '<'")
         self._tokenizer = Tokenizer.from_file(path)
+        #: One more than the largest id.
+        self.size = max(self._tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self._merge = self._tokenizer.model.tokenize
         self._pieces = regex.compile(PIECES).findall
         self._bytes = dict(enumerate(byte_characters()))

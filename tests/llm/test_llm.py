@@ -545,44 +545,55 @@ def test_components(spark):
 # ---- language model ----
 
 
-@pytest.mark.parametrize("resident", [1 << 30, 40])
-def test_lm_scores(spark, resident):
+@pytest.mark.parametrize(("resident", "leave_out"), [(1 << 30, True), (40, True), (5, False), (1 << 30, False)])
+def test_lm_scores(spark, resident, leave_out):
+    """Against plain counts of all texts, less those of the text itself."""
     import math
 
     from tokenizers import Tokenizer
 
-    texts = ["the cat sat", "the cat ran", None, "", "a dog sat on the cat", "THE cat sat", "the cat sat"]
-    df = docs_of(spark, texts, CLASH)
-    marked = df.select("text", (F.col("doc_id") < 2).alias("target"))
-    out = lm_score.score(df, lm_score.losses(lm_score.count_bigrams(marked)), resident=resident).collect()
+    rng = random.Random(18)
+    texts = ["the cat sat", "the cat ran", None, "", "a dog sat on the cat", "THE cat sat", "the cat sat", "the the the the cat", words_text(rng, 30_000, 900)]
+    df = docs_of(spark, texts, CLASH).unionByName(docs_of(spark, texts[:1], CLASH)).drop("target")
+    texts, marks = texts + texts[:1], [k < 2 or k == 8 for k in range(len(texts))] + [True]
+    marked = df.withColumn("target", F.col("doc_id").isin(0, 1, 8))
+    counts = lm_score.count_bigrams(marked)
+    out = lm_score.score(marked, counts, resident=resident, leave_out=leave_out).collect()
     whole = Tokenizer.from_file(tokenizer_file(lm_score.TOKENIZER))
-    ids = [[lm_score.START, *whole.encode(t or "", add_special_tokens=False).ids, lm_score.STOP] for t in texts]
-
-    def loss(own):
-        big, uni, ctx, kinds = Counter(), Counter(), Counter(), Counter()
-        for x in own:
-            big.update(zip(x, x[1:], strict=False))
-        for (h, w), n in big.items():
-            uni[w] += n
-            ctx[h] += n
-            kinds[h] += 1
-        total = sum(uni.values())
-
-        def of(h, w):
-            p = (uni[w] + 1) / (total + lm_score.SPAN)
-            return -math.log((big[h, w] + kinds[h] * p) / (ctx[h] + kinds[h]) if ctx[h] else p)
-
-        return of
-
-    near, far = loss(ids[:2]), loss(ids)
-    got = {r.doc_id: r for r in out}
+    start, stop, span = lm_score.ends()
+    assert (start, stop, span) == (49_408, 49_409, 49_410)
+    ids = [[start, *whole.encode(t or "", add_special_tokens=False).ids, stop] for t in texts]
+    bigrams = [Counter(zip(x, x[1:], strict=False)) for x in ids]
+
+    def mean_loss(own, counted, out):
+        """The loss of a text whose own bigrams are left out if it is among the counted."""
+        every = sum((bigrams[k] for k in counted), Counter())
+        kinds = Counter(h for h, _ in every)
+        left = every - own if out else every
+        word, context = Counter(), Counter()
+        for (h, w), n in left.items():
+            word[w] += n
+            context[h] += n
+        total, loss = sum(left.values()), 0.0
+        for (h, w), n in own.items():
+            p = (word[w] + 1) / (total + span)
+            loss -= n * math.log((left[h, w] + kinds[h] * p) / (context[h] + kinds[h]) if kinds[h] else p)
+        return loss / sum(own.values())
+
+    got: dict = {}
+    for r in out:
+        got.setdefault(r.doc_id, []).append(r)
     assert len(out) == len(texts)
-    for k, x in enumerate(ids):
-        t, b = (sum(m(h, w) for h, w in zip(x, x[1:], strict=False)) / (len(x) - 1) for m in (near, far))
-        assert (got[k].n_tokens, got[k].target_loss, got[k].background_loss, got[k].score) == (len(x) - 1, pytest.approx(t, abs=1e-5), pytest.approx(b, abs=1e-5), pytest.approx(t - b, abs=1e-5))
-    assert got[0].score < got[4].score
+    for k, own in enumerate(bigrams):
+        t = mean_loss(own, [j for j, m in enumerate(marks) if m], marks[k] and leave_out)
+        b = mean_loss(own, range(len(texts)), leave_out)
+        for r in got[k % 9]:
+            assert (r.n_tokens, r.target_loss, r.background_loss, r.score) == (sum(own.values()), pytest.approx(t, abs=1e-9), pytest.approx(b, abs=1e-9), pytest.approx(t - b, abs=1e-9))
+    assert got[0][0].score < got[4][0].score
     empty = df.limit(0)
     assert lm_score.cross_entropy_difference(empty, empty).count() == 0
+    by_id = {r.doc_id: r.score for r in lm_score.cross_entropy_difference(df, marked.filter("target")).collect()}
+    assert leave_out is False or by_id[4] == pytest.approx(got[4][0].score)
 
 
 # ---- nearest neighbours ----
