@@ -8,24 +8,31 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import forget, written
 
 _MOST_ROUNDS = 60
+#: Edges up to which a round's smallest neighbours are sent to every executor; beyond, they are written before the join, so
+#: that both sides are plain shuffles and a node of many edges is split.
+SMALL_EDGES = 500_000
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _joined(rows: DataFrame, least: DataFrame, few: bool) -> DataFrame:
+    return rows.join(F.broadcast(least) if few else written(least, "least"), "u")
+
+
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     """Each node links its larger neighbours to the smallest of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _joined(both.filter("v > u"), least, few).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     """Each node links itself and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least, "u")
+    joined = _joined(down, least, few)
     moved = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -35,13 +42,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds are written to the shared folder; they are few, about the logarithm of the largest component's width.
     No group is gathered: a node with many edges is only summed over and joined.
+
+    Loops and repeated edges, either way round, count once; rows with a null node are no edges; a node whose only edge is a loop
+    isn't named; an empty table gives an empty result; extra columns are ignored.
     """
     edges = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _state(edges)
     for _ in range(_MOST_ROUNDS):
         if not before[0]:
             break
-        last, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        few = before[0] <= SMALL_EDGES
+        last, edges = edges, written(_small_star(_large_star(edges, few), few), "edges")
         forget(last)
         after = _state(edges)
         if after == before:

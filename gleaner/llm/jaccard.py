@@ -8,9 +8,13 @@
 3.  Candidates that share a prefix shingle pass the length filter, the positional filter (what is left after the shared
     shingle bounds the overlap) and the suffix filter (the sets' counts per hash cell differ by at least the size of
     their difference), then each pair is verified once on whole sets.
-4.  Rounds keep large groups of near copies from making all pairs, and lose no link that matters to a component: in the
-    first ones each member of a prefix bucket is paired with its neighbour in a random order (``ORDERS`` different ones, by
-    bucket; later ones, with more neighbours, where components differ), and components are found; the last round pairs all members of a bucket that are still in different components.
+4.  ``groups`` needs no links but those that join components.  Rounds keep large groups of near copies from making all pairs:
+    in the first ones each member of a prefix bucket is paired with its neighbours in a random order (``ORDERS`` different
+    ones, by bucket), hot buckets in salted parts, and components are found; later rounds go on with buckets whose members
+    are in different components, and new links only join the components found.  The last round pairs all such members.
+5.  ``join`` gives every link: all pairs of classes that reach the threshold, with each document's class.
+    Pairs of a bucket are made by bands of length, as sets of bands further apart can't be linked, and a large bucket's
+    band is split into blocks that meet in pairs, so no task holds all of it.
 
 Edge cases: null and empty texts have the empty set and link with nothing; so do rows with a null doc_id (their
 component is null); texts shorter than a shingle have one shingle, the whole; rows of one doc_id and other texts are
@@ -19,9 +23,11 @@ rows of their own; clashing extra columns are ignored; an empty table gives an e
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,6 +47,10 @@ SMALL_CANDIDATES = 300_000
 ORDERS, ROUNDS = 16, 3
 #: Neighbours that are tried in a round, the first round having most to try and needing least.
 NEIGHBOURS = (1, 12, 12)
+#: Members of a part of a hot bucket, about.
+PART = 400
+#: Buckets that are sent to every executor at most, and pieces of the sketch that a task sums.
+SMALL_BUCKETS, PIECES = 300_000, 256
 
 
 @dataclass(frozen=True)
@@ -100,8 +110,12 @@ def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sketch(signatures: DataFrame) -> np.ndarray:
-    """The summed sketch: ``SKETCH`` counters whatever the input."""
-    parts = signatures.filter("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInPandas(_summed, "slice int, counts binary").collect()
+    """The summed sketch: ``SKETCH`` counters whatever the input; its pieces are summed in a tree."""
+    parts = signatures.filter("slice IS NOT NULL").select("slice", "counts", F.monotonically_increasing_id().alias("at"))
+    groups = -(-parts.count() // (SLICES * PIECES))
+    if groups > 1:
+        parts = parts.repartition(SLICES * groups, "slice", F.pmod("at", F.lit(groups))).select("slice", "counts").mapInPandas(_summed, "slice int, counts binary")
+    parts = parts.select("slice", "counts").repartition(SLICES, "slice").mapInPandas(_summed, "slice int, counts binary").collect()
     out = np.zeros((SLICES, SKETCH // SLICES), np.uint32)
     for r in parts:
         out[r.slice] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
@@ -181,11 +195,16 @@ class _Join:
         return links
 
     def neighbours(self, buckets: DataFrame, round_: int) -> DataFrame:
-        """The rows of buckets with the members ``before`` each in the round's order, nearest first, and one after it."""
-        order = Window.partitionBy("g").orderBy(F.xxhash64("d1", F.pmod("g", F.lit(ORDERS)), F.lit(round_)), "d1")
+        """The rows of buckets with the members ``before`` each in the round's order, nearest first, and one after it.
+
+        A bucket of more than ``PART`` members is cut into parts, by another hash in each round."""
+        hot = buckets.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > PART)
+        hot = small(written(hot.select("g", F.ceil(F.col("m") / PART).alias("parts")), "hot-buckets"), SMALL_BUCKETS)
+        rows = buckets.join(hot, "g", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("d1", F.lit(round_), F.lit("part")), "parts"), F.lit(0))).withColumn("hot", F.col("parts").isNotNull()).drop("parts")
+        order = Window.partitionBy("g", "part").orderBy(F.xxhash64("d1", F.pmod("g", F.lit(ORDERS)), F.lit(round_)), "d1")
         member = F.struct("d1", "n", "pos", "c")
         before = F.array_compact(F.array(*[F.lag(member, k).over(order) for k in range(1, NEIGHBOURS[round_] + 1)]))
-        return buckets.withColumns({"before": before, "after": F.lead("d1").over(order)})
+        return rows.withColumns({"before": before, "after": F.lead("d1").over(order)})
 
     def neighbour_pairs(self, rows: DataFrame) -> DataFrame:
         """Neighbours of different components that pass the filters."""
@@ -197,68 +216,124 @@ class _Join:
         """The rows, with their components ``c``, of buckets that hold more than one component."""
         known = component.select(F.col("node").alias("d1"), "component")
         rows = buckets.select("g", "d1", "n", "pos").join(known, "d1", "left").withColumn("c", F.coalesce("component", "d1")).drop("component")
+        rows = written(rows, "members")
         several = rows.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("g")
-        return written(rows.join(several, "g", "left_semi"), "mixed-buckets")
-
-    def other_pairs(self, mixed: DataFrame) -> DataFrame:
-        """All pairs of a bucket whose members are in different components and pass the filters."""
-        rows = mixed.join(self.reps.select("d1", "cells"), "d1")
-        x, y = rows.alias("x"), rows.alias("y")
-        apart = (F.col("x.d1") < F.col("y.d1")) & (F.col("x.c") != F.col("y.c"))
+        # Sent to all while they are few; the shuffle beyond is split where a bucket is large.
+        out = written(rows.join(small(written(several, "several"), SMALL_BUCKETS), "g", "left_semi"), "mixed-buckets")
+        forget(rows)
+        return out
+
+    def all_pairs(self, members: DataFrame) -> DataFrame:
+        """All pairs of a bucket, of different components ``c`` and within the filters, by bands of length and in blocks."""
+        # Sets whose sizes agree are in one band or in neighbouring ones.
+        band = F.floor(F.ln("n") / math.log(100 / self.sim.percent) + 1e-9) if self.sim.percent < 100 else F.col("n")
+        rows = members.join(self.reps.select("d1", "cells"), "d1").withColumn("band", band.cast("long"))
+        large = rows.groupBy("g", "band").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > PART)
+        large = written(large.select("g", "band", F.ceil(F.col("m") / PART).alias("parts")), "large-bands")
+        parts = {f: small(large.select(F.col("g").alias("lg"), F.col("band").alias("lb"), F.col("parts").alias(f)), SMALL_BUCKETS) for f in ("px", "py")}
+
+        def blocks(df: DataFrame, home: Column, met: Column) -> DataFrame:
+            """Rows with the blocks of both sides: their own, by hash, and all of the others."""
+            df = df.join(parts["px"], (F.col("g") == F.col("lg")) & (F.col("key") == F.col("lb")), "left").drop("lg", "lb")
+            df = df.join(parts["py"], (F.col("g") == F.col("lg")) & (F.col("to") == F.col("lb")), "left").drop("lg", "lb")
+            df = df.withColumns({"px": F.coalesce("px", F.lit(1).cast("long")), "py": F.coalesce("py", F.lit(1).cast("long"))})
+            return df.withColumns({"own": F.pmod(F.xxhash64("d1"), home), "other": F.explode(F.sequence(F.lit(0).cast("long"), met - 1))}).drop("px", "py")
+
+        # x lies in band ``key``, y in the same band or in the next, ``to``.
+        to = F.explode(F.array("band", F.col("band") + 1)) if self.sim.percent < 100 else F.col("band")
+        x = blocks(rows.withColumns({"key": F.col("band"), "to": to}), F.col("px"), F.col("py")).withColumnsRenamed({"own": "bx", "other": "by"})
+        back = F.explode(F.array("band", F.col("band") - 1)) if self.sim.percent < 100 else F.col("band")
+        y = blocks(rows.withColumns({"key": back, "to": F.col("band")}), F.col("py"), F.col("px")).withColumnsRenamed({"own": "by", "other": "bx"})
+        x, y = x.alias("x"), y.alias("y")
+        meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("g", "key", "to", "bx", "by")]
+        once = (F.col("x.key") < F.col("x.to")) | (F.col("x.d1") < F.col("y.d1"))
         fits = self.possible(F.struct("x.n", "x.pos"), F.struct("y.n", "y.pos")) & self.near(F.col("x.n"), F.col("y.n"), F.col("x.cells"), F.col("y.cells"))
-        return x.join(y, (F.col("x.g") == F.col("y.g")) & apart & fits).select(F.col("x.d1").alias("u"), F.col("y.d1").alias("v")).distinct()
+        pairs = x.join(y, reduce(Column.__and__, meet) & once & (F.col("x.c") != F.col("y.c")) & fits)
+        return pairs.select(F.least("x.d1", "y.d1").alias("u"), F.greatest("x.d1", "y.d1").alias("v")).distinct()
+
+    def joined(self, component: DataFrame, links: DataFrame) -> DataFrame:
+        """The components after more links: only those found are joined, nothing is found anew."""
+        sides = [component.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}")) for s in "uv"]
+        between = links.join(sides[0], "u", "left").join(sides[1], "v", "left").select(F.coalesce("c_u", "u").alias("u"), F.coalesce("c_v", "v").alias("v"))
+        between = components(between).withColumnsRenamed({"node": "n", "component": "least"})
+        moved = component.join(between, F.col("component") == F.col("n"), "left").select("node", F.coalesce("least", "component").alias("component"))
+        fresh = between.join(component, F.col("n") == F.col("node"), "left_anti").select(F.col("n").alias("node"), F.col("least").alias("component"))
+        return written(moved.unionByName(fresh), "components")
 
     def components(self, postings: DataFrame) -> DataFrame:
         """node, component over all links that matter, from postings (g, d1, n, pos)."""
         rows = self.neighbours(postings.withColumn("c", F.col("d1")), 0)
-        buckets = written(rows.filter("size(before) > 0 OR after IS NOT NULL").drop("after"), "buckets")
+        buckets = written(rows.filter("size(before) > 0 OR after IS NOT NULL OR hot").drop("after"), "buckets")
         tried = written(self.neighbour_pairs(buckets), "pairs")
-        links = self.linked(tried)
-        component = components(links)
+        component = components(self.linked(tried))
         for round_ in range(1, ROUNDS + 1):
             last, buckets = buckets, self.mixed(buckets, component)
             forget(last)
-            found = self.neighbour_pairs(self.neighbours(buckets, round_)) if round_ < ROUNDS else self.other_pairs(buckets)
+            found = self.neighbour_pairs(self.neighbours(buckets, round_)) if round_ < ROUNDS else self.all_pairs(buckets)
             fresh = written(found.join(tried, ["u", "v"], "left_anti"), "pairs")
             more = self.linked(fresh)
             if not more.isEmpty():
-                links, tried = links.unionByName(more), tried.unionByName(fresh)
-                component = components(links)
-            elif round_ < ROUNDS:
+                component = self.joined(component, more)
+            if round_ < ROUNDS:
                 tried = tried.unionByName(fresh)
         forget(buckets)
         return component
 
 
+class _Classes:
+    """The classes of equal sets of the rows with a doc_id, and the postings of their prefixes."""
+
+    def __init__(self, named: DataFrame, sim: Similarity):
+        spark = named.sparkSession
+        for seed in range(sim.seed, sim.seed + 8):
+            self.sim = sim = Similarity(sim.width, sim.percent, seed)
+            signatures = written(named.mapInPandas(_signatures(sim), _SIGNATURE), "signatures")
+            self.own = signatures.filter("slice IS NULL").select("doc_id", "n", "d1", "d2")
+            classes = self.own.filter("n > 0").groupBy("d1").agg(F.min("doc_id").alias("rep"), F.min("d2").alias("low"), F.max("d2").alias("high"))
+            self.classes = written(classes, "classes")
+            if self.classes.filter("low <> high").isEmpty():  # else two sets share 64 bits: hash anew
+                break
+        sketch = spark.sparkContext.broadcast(_sketch(signatures))
+        shape = "doc_id long, n long, d1 long, prefix array<long>, cells array<tinyint>"
+        chosen = named.mapInPandas(_prefixes(sim, sketch), shape).join(self.classes.select("d1", F.col("rep").alias("doc_id")), ["d1", "doc_id"], "left_semi")
+        self.chosen = written(chosen, "prefixes")
+        self.postings = self.chosen.select(F.posexplode("prefix").alias("pos", "g"), "d1", "n").select("g", "d1", "n", "pos")
+        self.join = _Join(named, self.chosen.select("d1", "n", "doc_id", "cells"), sim)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of ``docs``."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = rows.filter("doc_id IS NOT NULL")
-    for seed in range(sim.seed, sim.seed + 8):
-        sim = Similarity(sim.width, sim.percent, seed)
-        signatures = written(named.mapInPandas(_signatures(sim), _SIGNATURE), "signatures")
-        own = signatures.filter("slice IS NULL").select("doc_id", "n", "d1", "d2")
-        classes = own.filter("n > 0").groupBy("d1").agg(F.min("doc_id").alias("rep"), F.min("d2").alias("low"), F.max("d2").alias("high"))
-        classes = written(classes, "classes")
-        if classes.filter("low <> high").isEmpty():  # else two sets share 64 bits: hash anew
-            break
-    sketch = spark.sparkContext.broadcast(_sketch(signatures))
-    shape = "doc_id long, n long, d1 long, prefix array<long>, cells array<tinyint>"
-    chosen = named.mapInPandas(_prefixes(sim, sketch), shape).join(classes.select("d1", F.col("rep").alias("doc_id")), ["d1", "doc_id"], "left_semi")
-    chosen = written(chosen, "prefixes")
-    join = _Join(named, chosen.select("d1", "n", "doc_id", "cells"), sim)
-    postings = chosen.select(F.posexplode("prefix").alias("pos", "g"), "d1", "n")
-    component = join.components(postings.select("g", "d1", "n", "pos"))
-    named_by = classes.join(component, F.col("d1") == F.col("node"), "left").select("d1", "rep", F.coalesce("component", "d1").alias("c"))
+    rows = _rows(docs)
+    found = _Classes(rows.filter("doc_id IS NOT NULL"), sim)
+    component = found.join.components(found.postings)
+    named_by = found.classes.join(component, F.col("d1") == F.col("node"), "left").select("d1", "rep", F.coalesce("component", "d1").alias("c"))
     least = named_by.groupBy("c").agg(F.min("rep").alias("component_id"))
     final = written(named_by.join(least, "c").select("d1", "component_id"), "class-components")
-    forget(classes, chosen)
-    out = own.join(final, "d1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    forget(found.classes, found.chosen)
+    out = found.own.join(final, "d1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     unnamed = rows.filter("doc_id IS NULL").mapInPandas(_sizes(sim), "doc_id long, n_shingles long, component_id long")
     return out.unionByName(unnamed)
 
 
+def join(docs: DataFrame, sim: Similarity = Similarity()) -> tuple[DataFrame, DataFrame]:
+    """All links: (u, v) pairs of classes of equal sets, named by their smallest doc_id (u < v), that reach the threshold; and
+    doc_id, n_shingles, class_id and n_links (of its class to others) of each row of ``docs`` with a doc_id.
+
+    Rows of one class are linked with each other and share their class's links; a row without shingles is a class of none."""
+    found = _Classes(_rows(docs).filter("doc_id IS NOT NULL"), sim)
+    links = found.join.linked(written(found.join.all_pairs(found.postings.withColumn("c", F.col("d1"))), "pairs"))
+    names = found.classes.select("d1", "rep")
+    ends = links.join(names.withColumnsRenamed({"d1": "u", "rep": "ru"}), "u").join(names.withColumnsRenamed({"d1": "v", "rep": "rv"}), "v")
+    n = links.select(F.col("u").alias("d1")).unionByName(links.select(F.col("v").alias("d1"))).groupBy("d1").agg(F.count(F.lit(1)).alias("n_links"))
+    members = found.own.join(names, "d1", "left").join(n, "d1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # Classes of one smallest id (rows of one doc_id and different texts) are told apart by no name: their pairs keep both.
+    return ends.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")), members
+
+
 def _sizes(sim: Similarity):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -526,6 +526,31 @@ def test_jaccard_groups(spark):
     assert jaccard.groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", [400, 3])
+def test_jaccard_join_gives_every_link(spark, monkeypatch, part):
+    """All pairs of classes by force, with hot buckets in blocks and bands of length."""
+    monkeypatch.setattr(jaccard, "PART", part)
+    rng = random.Random(19)
+    boiler = words_text(rng, 30, 400)
+    rows = [(k, boiler + " " + words_text(rng, rng.choice([0, 1, 2, 4, 7]), 400)) for k in range(60)]
+    rows += [(100 + k, words_text(rng, rng.choice([2, 3, 20]), 6)) for k in range(30)] + [(300, None), (301, ""), (None, boiler)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("band", "g", "key", "to", "own")})
+    for width, percent in ((4, 85), (3, 60), (2, 100)):
+        sets: dict = {}
+        for d, t in rows:
+            w = (t or "").split()
+            if w and d is not None:
+                sets.setdefault(frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))), []).append(d)
+        want = {tuple(sorted((min(sets[x]), min(sets[y])))) for x in sets for y in sets if x is not y and 100 * len(x & y) >= percent * len(x | y)}
+        pairs, members = jaccard.join(df, jaccard.Similarity(width, percent))
+        got = [tuple(r) for r in pairs.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        classes = {d: (len(x), min(own), sum(min(own) in p for p in want)) for x, own in sets.items() for d in own}
+        assert {r.doc_id: tuple(r)[1:] for r in members.collect()} == classes | {300: (0, None, 0), 301: (0, None, 0)}
+        grouped = sorted((tuple(r) for r in jaccard.groups(df, jaccard.Similarity(width, percent)).collect()), key=repr)
+        assert grouped == groups_by_force(rows, width, percent)
+
+
 def test_keep_one_with_repeated_ids(spark):
     rng = random.Random(10)
     a, b, c, d, e = (words_text(rng, 60, 4000) for _ in range(5))
