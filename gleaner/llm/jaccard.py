@@ -47,8 +47,8 @@ SMALL_CANDIDATES = 300_000
 ORDERS, ROUNDS = 16, 3
 #: Neighbours that are tried in a round, the first round having most to try and needing least.
 NEIGHBOURS = (1, 12, 12)
-#: Members of a part of a hot bucket, about.
-PART = 400
+#: Members of a part of a hot bucket, about, and of the sketch's mean cell: the sketch can't tell buckets below that apart.
+PART, CELL = 400, 4
 #: Buckets that are sent to every executor at most, and pieces of the sketch that a task sums.
 SMALL_BUCKETS, PIECES = 300_000, 256
 
@@ -122,9 +122,10 @@ def _sketch(signatures: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _prefixes(sim: Similarity, sketch):
+def _prefixes(sim: Similarity, sketch, part: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = sketch.value
+        size = max(part, CELL * int(counts.mean(dtype=np.float64)))
         for pdf in batches:
             rows = []
             for d, text in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -133,8 +134,9 @@ def _prefixes(sim: Similarity, sketch):
                     rare = np.lexsort((own, counts[(own & np.uint64(SKETCH - 1)).astype(np.int64)]))[: sim.prefix(len(own))]
                     # Cut at 127: cut counts differ by no more than whole ones.
                     cells = np.minimum(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=CELLS), 127)
-                    rows.append((d, len(own), _digest(own, d)[0], own[rare].view(np.int64), cells.astype(np.int8)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "d1", "prefix", "cells"])
+                    parts = -(-counts[(own[rare] & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64) // size)
+                    rows.append((d, len(own), _digest(own, d)[0], own[rare].view(np.int64), np.maximum(parts, 1).astype(np.int32), cells.astype(np.int8)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "d1", "prefix", "parts", "cells"])
 
     return run
 
@@ -197,10 +199,8 @@ class _Join:
     def neighbours(self, buckets: DataFrame, round_: int) -> DataFrame:
         """The rows of buckets with the members ``before`` each in the round's order, nearest first, and one after it.
 
-        A bucket of more than ``PART`` members is cut into parts, by another hash in each round."""
-        hot = buckets.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > PART)
-        hot = small(written(hot.select("g", F.ceil(F.col("m") / PART).alias("parts")), "hot-buckets"), SMALL_BUCKETS)
-        rows = buckets.join(hot, "g", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("d1", F.lit(round_), F.lit("part")), "parts"), F.lit(0))).withColumn("hot", F.col("parts").isNotNull()).drop("parts")
+        Buckets that the sketch takes for larger than a part are cut into ``parts``, by another hash in each round."""
+        rows = buckets.withColumn("part", F.pmod(F.xxhash64("d1", F.lit(round_), F.lit("part")), "parts"))
         order = Window.partitionBy("g", "part").orderBy(F.xxhash64("d1", F.pmod("g", F.lit(ORDERS)), F.lit(round_)), "d1")
         member = F.struct("d1", "n", "pos", "c")
         before = F.array_compact(F.array(*[F.lag(member, k).over(order) for k in range(1, NEIGHBOURS[round_] + 1)]))
@@ -215,13 +215,10 @@ class _Join:
     def mixed(self, buckets: DataFrame, component: DataFrame) -> DataFrame:
         """The rows, with their components ``c``, of buckets that hold more than one component."""
         known = component.select(F.col("node").alias("d1"), "component")
-        rows = buckets.select("g", "d1", "n", "pos").join(known, "d1", "left").withColumn("c", F.coalesce("component", "d1")).drop("component")
-        rows = written(rows, "members")
+        rows = buckets.select("g", "d1", "n", "pos", "parts").join(known, "d1", "left").withColumn("c", F.coalesce("component", "d1")).drop("component")
         several = rows.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("g")
         # Sent to all while they are few; the shuffle beyond is split where a bucket is large.
-        out = written(rows.join(small(written(several, "several"), SMALL_BUCKETS), "g", "left_semi"), "mixed-buckets")
-        forget(rows)
-        return out
+        return written(rows.join(small(written(several, "several"), SMALL_BUCKETS), "g", "left_semi"), "mixed-buckets")
 
     def all_pairs(self, members: DataFrame) -> DataFrame:
         """All pairs of a bucket, of different components ``c`` and within the filters, by bands of length and in blocks."""
@@ -261,9 +258,9 @@ class _Join:
         return written(moved.unionByName(fresh), "components")
 
     def components(self, postings: DataFrame) -> DataFrame:
-        """node, component over all links that matter, from postings (g, d1, n, pos)."""
+        """node, component over all links that matter, from postings (g, d1, n, pos, parts)."""
         rows = self.neighbours(postings.withColumn("c", F.col("d1")), 0)
-        buckets = written(rows.filter("size(before) > 0 OR after IS NOT NULL OR hot").drop("after"), "buckets")
+        buckets = written(rows.filter("size(before) > 0 OR after IS NOT NULL OR parts > 1").drop("part", "after"), "buckets")
         tried = written(self.neighbour_pairs(buckets), "pairs")
         component = components(self.linked(tried))
         for round_ in range(1, ROUNDS + 1):
@@ -294,10 +291,10 @@ class _Classes:
             if self.classes.filter("low <> high").isEmpty():  # else two sets share 64 bits: hash anew
                 break
         sketch = spark.sparkContext.broadcast(_sketch(signatures))
-        shape = "doc_id long, n long, d1 long, prefix array<long>, cells array<tinyint>"
-        chosen = named.mapInPandas(_prefixes(sim, sketch), shape).join(self.classes.select("d1", F.col("rep").alias("doc_id")), ["d1", "doc_id"], "left_semi")
+        shape = "doc_id long, n long, d1 long, prefix array<long>, parts array<int>, cells array<tinyint>"
+        chosen = named.mapInPandas(_prefixes(sim, sketch, PART), shape).join(self.classes.select("d1", F.col("rep").alias("doc_id")), ["d1", "doc_id"], "left_semi")
         self.chosen = written(chosen, "prefixes")
-        self.postings = self.chosen.select(F.posexplode("prefix").alias("pos", "g"), "d1", "n").select("g", "d1", "n", "pos")
+        self.postings = self.chosen.select(F.posexplode(F.arrays_zip("prefix", "parts")).alias("pos", "x"), "d1", "n").select("x.prefix", "d1", "n", "pos", "x.parts").withColumnRenamed("prefix", "g")
         self.join = _Join(named, self.chosen.select("d1", "n", "doc_id", "cells"), sim)
 
 
