@@ -1,4 +1,11 @@
-"""A corpus pipeline of the operators of ``gleaner.llm``; each stage's result is written and reread by the next."""
+"""A corpus pipeline of the operators of ``gleaner.llm``; each stage's result is written and reread by the next.
+
+All stages keep repeated rows, columns of any name and rows with nulls unless their decision says otherwise: a null or empty
+text has the score of the classifier's base rate, is nobody's near copy, is never contaminated, holds no words to be mixed (so
+the mix doesn't take it) and is the end id alone in tokens.  A null doc_id is a document of its own, a null source is a
+source.  Of ties (ids of a near-copy group) the smallest id stays.  Texts of any length are read whole.  An empty table gives
+an empty result.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +19,7 @@ from gleaner.llm.common import table, written
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels outside the held-out fold, predicts to be good."""
     labels = table(spark, sf_dir, "labels").filter(~quality.held_out(F.col("doc_id"))).select("doc_id", "quality")
-    return quality.classify(docs, labels).filter("predicted = 1").select(*docs.columns)
+    return quality.keep(docs, labels)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
