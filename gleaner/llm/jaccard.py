@@ -13,8 +13,7 @@
     ones, by bucket), hot buckets in salted parts, and components are found; later rounds go on with buckets whose members
     are in different components, and new links only join the components found.  The last round pairs all such members.
 5.  ``join`` gives every link: all pairs of classes that reach the threshold, with each document's class.
-    Pairs of a bucket are made by bands of length, as sets of bands further apart can't be linked, and a large bucket's
-    band is split into blocks that meet in pairs, so no task holds all of it.
+    A hot bucket's pairs are made by bands of length, as sets of bands further apart can't be linked, and by parts of a band.
 
 Edge cases: null and empty texts have the empty set and link with nothing; so do rows with a null doc_id (their
 component is null); texts shorter than a shingle have one shingle, the whole; rows of one doc_id and other texts are
@@ -48,7 +47,7 @@ ORDERS, ROUNDS = 16, 3
 #: Neighbours that are tried in a round, the first round having most to try and needing least.
 NEIGHBOURS = (1, 12, 12)
 #: Members of a part of a hot bucket, about, and of the sketch's mean cell: the sketch can't tell buckets below that apart.
-PART, CELL = 400, 4
+PART, CELL = 1000, 8
 #: Buckets that are sent to every executor at most, and pieces of the sketch that a task sums.
 SMALL_BUCKETS, PIECES = 300_000, 256
 
@@ -221,31 +220,22 @@ class _Join:
         return written(rows.join(small(written(several, "several"), SMALL_BUCKETS), "g", "left_semi"), "mixed-buckets")
 
     def all_pairs(self, members: DataFrame) -> DataFrame:
-        """All pairs of a bucket, of different components ``c`` and within the filters, by bands of length and in blocks."""
-        # Sets whose sizes agree are in one band or in neighbouring ones.
-        band = F.floor(F.ln("n") / math.log(100 / self.sim.percent) + 1e-9) if self.sim.percent < 100 else F.col("n")
-        rows = members.join(self.reps.select("d1", "cells"), "d1").withColumn("band", band.cast("long"))
-        large = rows.groupBy("g", "band").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > PART)
-        large = written(large.select("g", "band", F.ceil(F.col("m") / PART).alias("parts")), "large-bands")
-        parts = {f: small(large.select(F.col("g").alias("lg"), F.col("band").alias("lb"), F.col("parts").alias(f)), SMALL_BUCKETS) for f in ("px", "py")}
-
-        def blocks(df: DataFrame, home: Column, met: Column) -> DataFrame:
-            """Rows with the blocks of both sides: their own, by hash, and all of the others."""
-            df = df.join(parts["px"], (F.col("g") == F.col("lg")) & (F.col("key") == F.col("lb")), "left").drop("lg", "lb")
-            df = df.join(parts["py"], (F.col("g") == F.col("lg")) & (F.col("to") == F.col("lb")), "left").drop("lg", "lb")
-            df = df.withColumns({"px": F.coalesce("px", F.lit(1).cast("long")), "py": F.coalesce("py", F.lit(1).cast("long"))})
-            return df.withColumns({"own": F.pmod(F.xxhash64("d1"), home), "other": F.explode(F.sequence(F.lit(0).cast("long"), met - 1))}).drop("px", "py")
-
-        # x lies in band ``key``, y in the same band or in the next, ``to``.
-        to = F.explode(F.array("band", F.col("band") + 1)) if self.sim.percent < 100 else F.col("band")
-        x = blocks(rows.withColumns({"key": F.col("band"), "to": to}), F.col("px"), F.col("py")).withColumnsRenamed({"own": "bx", "other": "by"})
-        back = F.explode(F.array("band", F.col("band") - 1)) if self.sim.percent < 100 else F.col("band")
-        y = blocks(rows.withColumns({"key": back, "to": F.col("band")}), F.col("py"), F.col("px")).withColumnsRenamed({"own": "by", "other": "bx"})
-        x, y = x.alias("x"), y.alias("y")
-        meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("g", "key", "to", "bx", "by")]
-        once = (F.col("x.key") < F.col("x.to")) | (F.col("x.d1") < F.col("y.d1"))
+        """All pairs of a bucket, of different components ``c`` and within the filters.
+
+        Hot buckets are tried by bands of length (sets whose sizes agree are in one band or in neighbouring ones), and a
+        band's members are spread over ``parts`` that each meet all of the band and of the next."""
+        rows = members.join(self.reps.select("d1", "cells"), "d1")
+        ratio = math.log(100 / self.sim.percent)
+        band = F.when(F.col("parts") > 1, F.floor(F.ln("n") / ratio + 1e-9) if ratio else F.col("n")).otherwise(0).cast("long")
+        near = F.array("band", F.col("band") - 1) if ratio else F.array("band")
+        rows = rows.withColumn("band", band)
+        x = rows.withColumns({"key": F.col("band"), "part": F.pmod(F.xxhash64("d1"), "parts")}).alias("x")
+        y = rows.withColumn("key", F.explode(F.when(F.col("parts") > 1, near).otherwise(F.array("band"))))
+        y = y.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).alias("y")
+        meet = (F.col("x.g") == F.col("y.g")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part"))
+        once = (F.col("x.band") < F.col("y.band")) | (F.col("x.d1") < F.col("y.d1"))
         fits = self.possible(F.struct("x.n", "x.pos"), F.struct("y.n", "y.pos")) & self.near(F.col("x.n"), F.col("y.n"), F.col("x.cells"), F.col("y.cells"))
-        pairs = x.join(y, reduce(Column.__and__, meet) & once & (F.col("x.c") != F.col("y.c")) & fits)
+        pairs = x.join(y, meet & once & (F.col("x.c") != F.col("y.c")) & fits)
         return pairs.select(F.least("x.d1", "y.d1").alias("u"), F.greatest("x.d1", "y.d1").alias("v")).distinct()
 
     def joined(self, component: DataFrame, links: DataFrame) -> DataFrame:

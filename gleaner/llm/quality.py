@@ -119,7 +119,7 @@ def features(texts: list[str | None], p: Params) -> Iterator[tuple[np.ndarray, n
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], p: Params) -> tuple[np.ndarray, float]:
-    """Learns from (buckets, shares, label) rows; returns each bucket's logit difference and the bias.
+    """Learns from (buckets, shares, label) rows, buckets of any integer type; returns each bucket's logit difference and the bias.
 
     The learning rate falls linearly to nothing, as is usual for such models.
     """
@@ -130,6 +130,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], p: Params) -> tuple[np.n
     for _ in range(p.epochs):
         for k in rng.permutation(len(rows)):
             ids, share, label = rows[k]
+            ids = ids.astype(np.int64)
             rate = p.rate * (1 - done / steps)
             done += 1
             own = embed[ids]
@@ -165,8 +166,11 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.
     # The sample is bounded by max_train_docs; so is what the driver gets: some 20 kB of features a document.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     got = texts.select("label", "text").mapInPandas(_extract(p), "label int, ids binary, share binary").collect()
-    rows = sorted((bytes(r.ids), bytes(r.share), r.label) for r in got)
-    return fit([(np.frombuffer(i, np.uint16).astype(np.int64), np.frombuffer(s, np.float32), y) for i, s, y in rows], p)
+    got.sort(key=lambda r: (r.ids, r.share, r.label))
+    # Arrays over the bytes that came: no second copy of them.
+    rows = [(np.frombuffer(r.ids, np.uint16), np.frombuffer(r.share, np.float32), r.label) for r in got]
+    del got
+    return fit(rows, p)
 
 
 def scores(model: tuple[np.ndarray, float], texts: list[str | None], p: Params = Params()) -> np.ndarray:
