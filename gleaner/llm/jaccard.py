@@ -199,7 +199,10 @@ class _Join:
         """The rows of buckets with the members ``before`` each in the round's order, nearest first, and one after it.
 
         Buckets that the sketch takes for larger than a part are cut into ``parts``, by another hash in each round."""
-        rows = buckets.withColumn("part", F.pmod(F.xxhash64("d1", F.lit(round_), F.lit("part")), "parts"))
+        part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("d1", F.lit(round_), F.lit("part")), "parts")).otherwise(0).cast("int")
+        # What the order is made of is computed behind the shuffle, which so carries ids and places alone.
+        rows = buckets.withColumn("part", part).repartition("g", "part")
+        rows = rows if "c" in rows.columns else rows.withColumn("c", F.col("d1"))
         order = Window.partitionBy("g", "part").orderBy(F.xxhash64("d1", F.pmod("g", F.lit(ORDERS)), F.lit(round_)), "d1")
         member = F.struct("d1", "n", "pos", "c")
         before = F.array_compact(F.array(*[F.lag(member, k).over(order) for k in range(1, NEIGHBOURS[round_] + 1)]))
@@ -224,19 +227,25 @@ class _Join:
 
         Hot buckets are tried by bands of length (sets whose sizes agree are in one band or in neighbouring ones), and a
         band's members are spread over ``parts`` that each meet all of the band and of the next."""
-        rows = members.join(self.reps.select("d1", "cells"), "d1")
+        rows = written(members.join(self.reps.select("d1", "cells"), "d1"), "members")
         ratio = math.log(100 / self.sim.percent)
-        band = F.when(F.col("parts") > 1, F.floor(F.ln("n") / ratio + 1e-9) if ratio else F.col("n")).otherwise(0).cast("long")
-        near = F.array("band", F.col("band") - 1) if ratio else F.array("band")
-        rows = rows.withColumn("band", band)
-        x = rows.withColumns({"key": F.col("band"), "part": F.pmod(F.xxhash64("d1"), "parts")}).alias("x")
-        y = rows.withColumn("key", F.explode(F.when(F.col("parts") > 1, near).otherwise(F.array("band"))))
-        y = y.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).alias("y")
-        meet = (F.col("x.g") == F.col("y.g")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part"))
+        band = (F.floor(F.ln("n") / ratio + 1e-9) if ratio else F.col("n")).cast("long")
+        hot = rows.filter("parts > 1").withColumn("band", band)
+        x = hot.withColumns({"key": F.col("band"), "part": F.pmod(F.xxhash64("d1"), "parts")})
+        y = hot.withColumn("key", F.explode(F.array("band", F.col("band") - 1) if ratio else F.array("band")))
+        y = y.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
         once = (F.col("x.band") < F.col("y.band")) | (F.col("x.d1") < F.col("y.d1"))
+        found = self.met(x, y, ["g", "key", "part"], once)
+        rest = rows.filter("parts = 1")
+        return written(self.met(rest, rest, ["g"], F.col("x.d1") < F.col("y.d1")).unionByName(found).distinct(), "pairs-of-buckets")
+
+    def met(self, x: DataFrame, y: DataFrame, keys: list[str], once: Column) -> DataFrame:
+        """The pairs of rows of equal keys and different components that pass the filters."""
+        x, y = x.alias("x"), y.alias("y")
+        equal = reduce(Column.__and__, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys])
         fits = self.possible(F.struct("x.n", "x.pos"), F.struct("y.n", "y.pos")) & self.near(F.col("x.n"), F.col("y.n"), F.col("x.cells"), F.col("y.cells"))
-        pairs = x.join(y, meet & once & (F.col("x.c") != F.col("y.c")) & fits)
-        return pairs.select(F.least("x.d1", "y.d1").alias("u"), F.greatest("x.d1", "y.d1").alias("v")).distinct()
+        pairs = x.join(y, equal & once & (F.col("x.c") != F.col("y.c")) & fits)
+        return pairs.select(F.least("x.d1", "y.d1").alias("u"), F.greatest("x.d1", "y.d1").alias("v"))
 
     def joined(self, component: DataFrame, links: DataFrame) -> DataFrame:
         """The components after more links: only those found are joined, nothing is found anew."""
@@ -249,7 +258,7 @@ class _Join:
 
     def components(self, postings: DataFrame) -> DataFrame:
         """node, component over all links that matter, from postings (g, d1, n, pos, parts)."""
-        rows = self.neighbours(postings.withColumn("c", F.col("d1")), 0)
+        rows = self.neighbours(postings, 0)
         buckets = written(rows.filter("size(before) > 0 OR after IS NOT NULL OR parts > 1").drop("part", "after"), "buckets")
         tried = written(self.neighbour_pairs(buckets), "pairs")
         component = components(self.linked(tried))
