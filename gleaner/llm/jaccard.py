@@ -140,25 +140,35 @@ def _prefixes(sim: Similarity, sketch, part: int):
     return run
 
 
-def _sets(sim: Similarity):
+def _packed(sim: Similarity):
+    """The words of each candidate, compressed: they take less than half of the set's hashes, which are made again from them."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            own = [_set_of(t, sim) for t in pdf["text"]]
-            # Where rows share a doc_id, only the one whose set is the class's counts.
-            right = [_digest(x, 0)[0] == d for x, d in zip(own, pdf["d1"], strict=True)]
-            yield pd.DataFrame({"d1": pdf["d1"][right], "own": [x.tobytes() for x, ok in zip(own, right, strict=True) if ok]})
+            rows = []
+            for d1, text in zip(pdf["d1"], pdf["text"], strict=True):
+                own = words_of(text)
+                # Where rows share a doc_id, only the one whose set is the class's counts.
+                if _digest(shingles(own, sim.width, sim.seed), 0)[0] == d1:
+                    rows.append((d1, zlib.compress(b" ".join(own), 1)))
+            yield pd.DataFrame(rows, columns=["d1", "own"])
 
     return run
 
 
 def _verify(sim: Similarity):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def unpacked(data: bytes) -> np.ndarray:
+            return shingles(zlib.decompress(data).split(), sim.width, sim.seed)
+
         for pdf in batches:
-            keep = np.zeros(len(pdf), bool)
-            for k, (x, y) in enumerate(zip(pdf["own_u"], pdf["own_v"], strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y)
-                shared = both - len(np.unique(np.concatenate([x, y])))
+            keep, last, own = np.zeros(len(pdf), bool), None, None
+            for k, (v, x, y) in enumerate(zip(pdf["v"], pdf["own_u"], pdf["own_v"], strict=True)):
+                if v != last:  # rows come by v
+                    last, own = v, unpacked(y)
+                other = unpacked(x)
+                both = len(other) + len(own)
+                shared = both - len(np.unique(np.concatenate([other, own])))
                 keep[k] = 100 * shared >= sim.percent * (both - shared)
             yield pdf.loc[keep, ["u", "v"]]
 
@@ -189,7 +199,7 @@ class _Join:
         wanted = close.select(F.col("u").alias("d1")).unionByName(close.select(F.col("v").alias("d1"))).distinct()
         picked = written(wanted.join(self.reps, "d1").select("d1", "doc_id"), "picked")
         texts = self.docs.join(small(picked, SMALL_CANDIDATES), "doc_id").select("d1", "text")
-        own = written(texts.mapInPandas(_sets(self.sim), "d1 long, own binary"), "sets")
+        own = written(texts.mapInPandas(_packed(self.sim), "d1 long, own binary"), "packed-words")
         sets = [own.select(F.col("d1").alias(s), F.col("own").alias(f"own_{s}")) for s in "uv"]
         links = written(close.join(sets[0], "u").join(sets[1], "v").mapInPandas(_verify(self.sim), "u long, v long").distinct(), "links")
         forget(close, picked, own)
@@ -214,11 +224,14 @@ class _Join:
         pairs = rows.select("d1", F.explode(F.transform(fits, lambda p: p["d1"])).alias("other"))
         return pairs.select(F.least("d1", "other").alias("u"), F.greatest("d1", "other").alias("v")).distinct()
 
-    def mixed(self, buckets: DataFrame, component: DataFrame) -> DataFrame:
-        """The rows, with their components ``c``, of buckets that hold more than one component."""
+    def mixed(self, buckets: DataFrame, component: DataFrame, tried: int) -> DataFrame:
+        """The rows, with their components ``c``, of buckets that hold more than one component.
+
+        Members were paired with ``tried`` neighbours: in a whole bucket of at most one more, that were all pairs."""
         known = component.select(F.col("node").alias("d1"), "component")
         rows = buckets.select("g", "d1", "n", "pos", "parts").join(known, "d1", "left").withColumn("c", F.coalesce("component", "d1")).drop("component")
-        several = rows.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("g")
+        several = rows.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m"), F.max("parts").alias("parts"))
+        several = several.filter((F.col("low") != F.col("high")) & ((F.col("m") > tried + 1) | (F.col("parts") > 1))).select("g")
         # Sent to all while they are few; the shuffle beyond is split where a bucket is large.
         return written(rows.join(small(written(several, "several"), SMALL_BUCKETS), "g", "left_semi"), "mixed-buckets")
 
@@ -263,7 +276,7 @@ class _Join:
         tried = written(self.neighbour_pairs(buckets), "pairs")
         component = components(self.linked(tried))
         for round_ in range(1, ROUNDS + 1):
-            last, buckets = buckets, self.mixed(buckets, component)
+            last, buckets = buckets, self.mixed(buckets, component, NEIGHBOURS[round_ - 1])
             forget(last)
             found = self.neighbour_pairs(self.neighbours(buckets, round_)) if round_ < ROUNDS else self.all_pairs(buckets)
             fresh = written(found.join(tried, ["u", "v"], "left_anti"), "pairs")
