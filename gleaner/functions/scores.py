@@ -121,16 +121,22 @@ def verdict(tier_a: Column, clusters: Column, positive: Column, warnings: Column
     return F.greatest(F.lit(0), F.least(F.lit(100), F.bround(raw, 0).cast("int")))
 
 
+#: The least score of each headline, and the headlines of the second band by place.
+HEADLINES = [(85, "An unambiguous yes."), (70, None), (55, "Worth it — barely."), (None, "Skip it, or plan very carefully.")]
+SECOND_BAND = {"Colosseum": "Go, with conditions.", None: "Yes, but never on a Saturday."}
+NO_SCORE = "Verdict pending."
+
+
 def verdict_headline(score: Column, poi: Column) -> Column:
     """A headline for a score's band."""
-    good = F.when(poi == "Colosseum", "Go, with conditions.").otherwise("Yes, but never on a Saturday.")
-    return (
-        F.when(score.isNull(), "Verdict pending.")
-        .when(score >= 85, "An unambiguous yes.")
-        .when(score >= 70, good)
-        .when(score >= 55, "Worth it — barely.")
-        .otherwise("Skip it, or plan very carefully.")
-    )
+    second = F.lit(SECOND_BAND[None])
+    for name, text in SECOND_BAND.items():
+        second = second if name is None else F.when(poi == name, text).otherwise(second)
+    out = F.when(score.isNull(), NO_SCORE)
+    for least, text in HEADLINES:
+        text = second if text is None else F.lit(text)
+        out = out.otherwise(text) if least is None else out.when(score >= least, text)
+    return out
 
 
 def cost(n: Column, rate: float) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The first level of labels.
 VALID_L1 = ["Visit Intelligence", "Attention Intelligence", "Discovery Intelligence", "Culinary Intelligence", "Operational Intelligence"]
 #: Fixed triples that every taxonomy holds.
 EXTRA_COMBOS = [

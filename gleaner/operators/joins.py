@@ -87,9 +87,16 @@ def cluster_of_members(clusters: DataFrame, columns: list[str]) -> DataFrame:
     return first_wins(rows, ["flat_idx"], ["cluster_id"])
 
 
+def one_raw(raw: DataFrame, columns: list[str]) -> DataFrame:
+    """One row of each source and source_id: the last by ``raw_order`` where there is such a column, ties and else the smallest."""
+    whole = F.struct(*columns)
+    key = F.struct(-F.col("raw_order"), whole) if "raw_order" in raw.columns else F.struct(whole)
+    return raw.groupBy("source", "source_id").agg(F.min_by(whole, key).alias("_r")).select("source", "source_id", "_r.*")
+
+
 def fill_urls(citations: DataFrame, raw: DataFrame) -> DataFrame:
-    """Blank addresses are looked up by source and id."""
-    own = raw.select("source", "source_id", F.col("source_url").alias("_url"))
+    """Blank addresses are looked up by source and id; repeated raw rows count once."""
+    own = one_raw(raw, ["source_url"]).withColumnRenamed("source_url", "_url")
     return citations.join(own, ["source", "source_id"], "left").withColumn("source_url", F.coalesce(F.nullif("source_url", F.lit("")), "_url")).drop("_url")
 
 
@@ -128,7 +135,7 @@ def search_queries(spark: SparkSession, pois: DataFrame, templates: list[tuple[s
 
 def evidence(clusters: DataFrame, insights: DataFrame, raw: DataFrame, most: int = 5) -> DataFrame:
     """Up to ``most`` quotes of each cluster: its central members first, then the others, in order; one of each source
-    before any second of a source.  Members without a raw text give none."""
+    before any second of a source.  Members without a raw text give none; repeated raw rows and insights count once."""
     from gleaner.functions.text import trim_quote
 
     if most < 1:
@@ -136,8 +143,8 @@ def evidence(clusters: DataFrame, insights: DataFrame, raw: DataFrame, most: int
     none = F.array().cast("array<bigint>")
     ordered = F.concat(F.coalesce("centroid_text_indices", none), F.array_except(F.coalesce("member_indices", none), F.coalesce("centroid_text_indices", none)))
     rows = clusters.select("cluster_id", F.posexplode(ordered).alias("pos", "flat_idx"))
-    rows = rows.join(insights.select("flat_idx", "source", "source_id", "anchor_entity"), "flat_idx")
-    own = raw.filter("text <> ''").select("source", "source_id", F.col("text").alias("_text"), "rating", "source_url")
+    rows = rows.join(insights.select("flat_idx", "source", "source_id", "anchor_entity").dropDuplicates(["flat_idx"]), "flat_idx")
+    own = one_raw(raw.filter("text <> ''"), ["text", "rating", "source_url"]).withColumnRenamed("text", "_text")
     rows = rows.join(own, ["source", "source_id"])
     again = F.row_number().over(Window.partitionBy("cluster_id", "source").orderBy("pos"))
     rows = rows.withColumn("_again", again > 1)

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 EPSILON = 1e-9
 DISTANCE_V1, DISTANCE, MERGE_DISTANCE, MERGE_CAP, COHERENCE = 0.35, 0.28, 0.25, 150, 0.45
 MMR_LAMBDA, MMR_GAP = 0.85, 0.05
-#: Anchors too general to tell clusters apart.
+#: Anchors too general to tell clusters apart.
 GENERIC_ANCHORS = ["colosseum", "the colosseum", "louvre", "louvre museum", "the louvre", "rome", "paris"]
 #: Insights of one place up to which all distances are kept; the matrix grows with the square.
 MOST_A_PLACE = 8_000

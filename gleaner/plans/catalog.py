@@ -352,27 +352,16 @@ def orphan_drop(spark, sf):
     return joins.with_parent(c.filter("turn > 0").select("conv_id", "turn"), c.filter("turn = 0 AND role = 'user'").select("conv_id", F.col("role").alias("post_role")), "conv_id")
 
 
-@query(
-    """WITH f AS (SELECT l_orderkey % 100 AS post_id, l_returnflag AS intent, l_linestatus AS via FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL), c AS (SELECT conv_id * 100 + turn AS id, conv_id AS post_id FROM conversations WHERE turn > 0)
-SELECT post_id AS item_id, 'post' AS item_type, intent, via FROM f WHERE post_id IN (SELECT conv_id FROM conversations) UNION ALL SELECT c.id, 'comment', intent, via FROM f JOIN c USING (post_id)"""
-)
-def link_explosion(spark, sf):
-    t = tables(spark, sf, "lineitem", "conversations")
-    found = t["lineitem"].filter("l_linenumber = 1").select((F.col("l_orderkey") % 100).alias("post_id"), F.col("l_returnflag").alias("intent"), F.col("l_linestatus").alias("via")).distinct()
-    c = t["conversations"]
-    return joins.link_explosion(found, c.select(F.col("conv_id").alias("id")).distinct(), c.filter("turn > 0").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("conv_id").alias("post_id")))
-
-
 @query(
     """WITH f AS (SELECT DISTINCT l_orderkey % (SELECT max(conv_id) + 1 FROM conversations) AS post_id, l_returnflag AS intent, l_linestatus AS via FROM lineitem), c AS (SELECT conv_id * 100 + turn AS id, conv_id AS post_id FROM conversations WHERE turn > 0)
 SELECT post_id AS item_id, 'post' AS item_type, intent, via FROM f WHERE post_id IN (SELECT conv_id FROM conversations) UNION ALL SELECT c.id, 'comment', intent, via FROM f JOIN c USING (post_id)"""
 )
-def link_explosion_whole(spark, sf):
-    """As ``link_explosion``, with every line of an order and post ids over the whole range of conversations."""
+def link_explosion(spark, sf):
+    """Every line of an order finds a post; post ids are over the whole range of conversations."""
     t = tables(spark, sf, "lineitem", "conversations")
     c = t["conversations"]
-    n = c.agg((F.max("conv_id") + 1).alias("n"))
-    found = t["lineitem"].crossJoin(F.broadcast(n)).select((F.col("l_orderkey") % F.col("n")).alias("post_id"), F.col("l_returnflag").alias("intent"), F.col("l_linestatus").alias("via")).distinct()
+    n = c.agg(F.max("conv_id") + 1).head()[0]
+    found = t["lineitem"].select((F.col("l_orderkey") % F.lit(n)).alias("post_id"), F.col("l_returnflag").alias("intent"), F.col("l_linestatus").alias("via")).distinct()
     return joins.link_explosion(found, c.select(F.col("conv_id").alias("id")).distinct(), c.filter("turn > 0").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("conv_id").alias("post_id")))
 
 

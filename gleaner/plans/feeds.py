@@ -22,60 +22,15 @@ def _docs(spark, sf):
 # ---- feeds ----
 
 
-@query("SELECT doc_id::VARCHAR AS review_id, lang AS author, CAST(round_even(doc_id % 10 / 2.0, 0) AS INT) AS rating, CASE WHEN doc_id % 2 = 0 THEN left(text, 50) ELSE left(text, 80) END AS text, CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 ELSE 0 END AS likes FROM documents WHERE doc_id % 11 <> 0")
-def review_pages(spark, sf):
-    d, i = _docs(spark, sf), F.col("doc_id")
-    r = F.struct(
-        F.when(i % 11 != 0, i.cast("string")).alias("review_id"),
-        F.struct(F.col("lang").alias("name")).alias("user"),
-        (i % 10 / 2.0).alias("rating"),
-        F.when(i % 2 == 0, F.left("text", F.lit(50))).otherwise("").alias("snippet"),
-        F.struct(F.left("text", F.lit(80)).alias("original")).alias("extracted_snippet"),
-        F.lit("now").alias("date"),
-        F.lit(None).cast("string").alias("iso_date"),
-        F.when(i % 3 == 0, i % 7).alias("likes"),
-    )
-    pages = d.groupBy((i % 50).alias("p")).agg(F.collect_list(r).alias("reviews"))
-    return parsers.review_pages(pages).select("review_id", "author", "rating", "text", "likes")
-
-
-@query(
-    """SELECT (doc_id % 700)::VARCHAR AS review_id, arg_min(trim(left(text, 90), ' ' || chr(10)), doc_id) AS text, 'highest' AS sort_mode FROM documents WHERE doc_id % 700 <> 3 GROUP BY doc_id % 700
-HAVING length(arg_min(trim(left(text, 90), ' ' || chr(10)), doc_id)) >= 75"""
-)
-def review_items(spark, sf):
-    d = _docs(spark, sf)
-    none = {k: F.lit(None).cast(t) for k, t in {"name": "string", "stars": "int", "publishedAtDate": "string", "likesCount": "int", "isLocalGuide": "boolean", "reviewerNumberOfReviews": "int", "responseFromOwnerText": "string", "reviewUrl": "string", "originalLanguage": "string"}.items()}
-    items = d.select(F.when(F.col("doc_id") % 700 == 3, "").otherwise((F.col("doc_id") % 700).cast("string")).alias("reviewId"), F.left("text", F.lit(90)).alias("text"), "doc_id").withColumns(none)
-    return parsers.review_items(items, "highestRanking", "doc_id").select("review_id", "text", "sort_mode")
-
-
-@query(
-    """SELECT doc_id // 5 AS page, concat('r', doc_id + 1) AS review_id, concat('Name', doc_id) AS author, concat('slug', doc_id) AS author_profile, CAST(doc_id % 5 + 1 AS INT) AS rating, concat('Title ', doc_id) AS title,
- trim(replace(replace(left(text, 60), chr(10), ' '), '*', '.'), ' ') AS body, 'Jun 2025' AS visit_date, CASE WHEN doc_id % 2 = 0 THEN 'Couples' END AS trip_type, 'July 1, 2025' AS written_date FROM documents WHERE doc_id % 7 <> 0 AND trim(replace(replace(left(text, 60), chr(10), ' '), '*', '.'), ' ') <> ''"""
-)
-def markdown_reviews(spark, sf):
-    i, host = F.col("doc_id").cast("string"), "https://www.tripadvisor.com"
-    body = F.trim(F.replace(F.replace(F.left("text", F.lit(60)), F.lit("\n"), F.lit(" ")), F.lit("*"), F.lit(".")))
-    block = F.concat(
-        F.lit("[Other]("), F.lit(f"{host}/Profile/other)\n[Name"), i, F.lit(f"]({host}/Profile/slug"), i, F.lit(")\n"), (F.col("doc_id") % 5 + 1).cast("string"), F.lit(".0 of 5 bubbles\n### [Title "), i,
-        F.lit(f"]({host}/ShowUserReviews-g1-d2-r"), (F.col("doc_id") + 1).cast("string"), F.lit("-X.html)\nJun 2025"), F.when(F.col("doc_id") % 2 == 0, " • Couples").otherwise(""), F.lit("\n"), body,
-        F.lit("\n![photo](u)\nRead more\nWritten July 1, 2025\n"),
-    )
-    rows = _docs(spark, sf).filter(body != "").withColumn("b", F.when(F.col("doc_id") % 7 == 0, "no review here").otherwise(block))
-    pages = rows.groupBy(F.expr("doc_id div 5").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "b"))), lambda x: x["b"]), "\n* * *\n").alias("markdown"))
-    return parsers.markdown_reviews(pages, "page").drop("pos")
-
-
-# The three above cut their texts; these feed every document whole. Missing ids, repeats and empty segments are added to the
-# documents, so that none of them is lost to a fixture.
+# Every document is fed whole. Missing ids, repeats and empty segments are added to the documents, so that none of them is
+# lost to a fixture.
 
 
 @query(
     """SELECT doc_id::VARCHAR AS review_id, lang AS author, CAST(round_even(doc_id % 10 / 2.0, 0) AS INT) AS rating, CASE WHEN doc_id % 2 = 0 AND text <> '' THEN text ELSE concat('original: ', text) END AS text,
  CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 ELSE 0 END AS likes FROM documents"""
 )
-def review_pages_whole(spark, sf):
+def review_pages(spark, sf):
     d, i, whole = _docs(spark, sf), F.col("doc_id"), F.coalesce("text", F.lit(""))
     r = lambda key: F.struct(
         key.alias("review_id"),
@@ -93,7 +48,7 @@ def review_pages_whole(spark, sf):
 
 
 @query("SELECT doc_id::VARCHAR AS review_id, trim(text, ' ' || chr(10)) AS text, 'highest' AS sort_mode FROM documents WHERE length(trim(text, ' ' || chr(10))) >= 75")
-def review_items_whole(spark, sf):
+def review_items(spark, sf):
     """Every third document comes again under its id, longer and later; every eleventh again without an id."""
     none = {k: F.lit(None).cast(t) for k, t in {"name": "string", "stars": "int", "publishedAtDate": "string", "likesCount": "int", "isLocalGuide": "boolean", "reviewerNumberOfReviews": "int", "responseFromOwnerText": "string", "reviewUrl": "string", "originalLanguage": "string"}.items()}
     d, i = _docs(spark, sf), F.col("doc_id")
@@ -107,7 +62,7 @@ def review_items_whole(spark, sf):
     r"""SELECT doc_id // 5 AS page, concat('r', doc_id + 1) AS review_id, concat('Name', doc_id) AS author, concat('slug', doc_id) AS author_profile, CAST(doc_id % 5 + 1 AS INT) AS rating, concat('Title ', doc_id) AS title,
  nullif(trim(regexp_replace(coalesce(text, ''), '!\[[^\]]*\]\([^)]+\)', '', 'g'), ' ' || chr(10)), '') AS body, 'Jun 2025' AS visit_date, CASE WHEN doc_id % 2 = 0 THEN 'Couples' END AS trip_type, 'July 1, 2025' AS written_date FROM documents"""
 )
-def markdown_reviews_whole(spark, sf):
+def markdown_reviews(spark, sf):
     i, host, rule = F.col("doc_id").cast("string"), "https://www.tripadvisor.com", "\n* * *\n"
     block = F.concat(
         F.lit("[Other]("), F.lit(f"{host}/Profile/other)\n[Name"), i, F.lit(f"]({host}/Profile/slug"), i, F.lit(")\n"), (F.col("doc_id") % 5 + 1).cast("string"), F.lit(".0 of 5 bubbles\n### [Title "), i,
@@ -282,18 +237,8 @@ def deterministic_answer(spark, sf):
     return _engine(spark, sf).answer("place1", "best of anchor3", _probe(spark, sf)).select("rank", "cluster_id", "quote_rank", "source_id")
 
 
-@query("SELECT doc_id AS flat_idx, CASE WHEN doc_id % 2 = 0 THEN 'one' ELSE 'two' END AS source FROM documents WHERE doc_id % 3 <> 2")
-def source_registry(spark, sf):
-    r = readers.Registry()
-    d = _docs(spark, sf).select(F.col("doc_id").alias("flat_idx")).filter("flat_idx % 3 <> 2")
-    r.add("one", lambda s: d.filter("flat_idx % 2 = 0"))
-    r.add("two", lambda s: d.filter("flat_idx % 2 = 1"))
-    return r.read(spark)
-
-
 @query("SELECT doc_id AS flat_idx, CASE WHEN doc_id % 2 = 0 THEN 'one' ELSE 'two' END AS source FROM documents")
-def source_registry_whole(spark, sf):
-    """As ``source_registry``, over all documents."""
+def source_registry(spark, sf):
     r = readers.Registry()
     d = _docs(spark, sf).select(F.col("doc_id").alias("flat_idx"))
     r.add("one", lambda s: d.filter("flat_idx % 2 = 0"))
@@ -308,7 +253,11 @@ def _folder(spark, name: str) -> str:
     """A fresh folder in the one that the cluster shares."""
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gleaner-stream-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="gleaner-stream-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

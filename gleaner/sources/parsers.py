@@ -221,9 +221,11 @@ def sane_tag(tag: Column) -> Column:
 
 
 def aligned(inputs: DataFrame, results: DataFrame, key: str = "id", pos: str = "pos") -> DataFrame:
-    """A batch's results beside its inputs: by id, or by place for inputs whose id came back with none."""
-    by_id = results.filter(F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.col("result").alias("_by_id"))
-    by_pos = results.select(F.col(pos).alias("_pos"), F.col("result").alias("_by_pos"))
+    """A batch's results beside its inputs: by id, or by place for inputs whose id came back with none.
+
+    Of results of one id, or of one place, the last counts, so an input is never multiplied."""
+    by_id = results.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.max_by("result", F.struct(pos, "result")).alias("_by_id"))
+    by_pos = results.groupBy(F.col(pos).alias("_pos")).agg(F.max("result").alias("_by_pos"))
     out = inputs.join(by_id, F.col(key) == F.col("_id"), "left").join(by_pos, F.col(pos) == F.col("_pos"), "left")
     return out.withColumn("result", F.coalesce("_by_id", "_by_pos")).drop("_id", "_pos", "_by_id", "_by_pos")
 
@@ -231,7 +233,7 @@ def aligned(inputs: DataFrame, results: DataFrame, key: str = "id", pos: str = "
 def item_kind(item: dict[str, Column]) -> Column:
     """post, comment or other, by the first rule that holds."""
     has = lambda k: F.coalesce(item[k].cast("string"), F.lit("")) != ""
-    kind = first_filled(item["dataType"], item["type"])
+    kind = first_filled(*[item[k] for k in ("dataType", "type", "__type__") if k in item])
     return (
         F.when(kind.isin("post", "submission") | has("postType"), "post")
         .when((kind == "comment") | has("commentId") | has("parentId"), "comment")

@@ -98,7 +98,11 @@ def test_navigation_agrees_with_python(spark):
     texts = ["\n".join(rng.choice(["menu", "a line of words that is long enough", "x", "", "About us and cookies "]) for _ in range(rng.randrange(9))) for _ in range(200)] + ["", "w" * 60]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = {r.t: r.n for r in df.select("t", cleaning.is_navigation(F.col("t")).alias("n")).collect()}
-    assert all(got[t] == chunks.looks_like_navigation(t) for t in texts)
+    for t in texts:
+        sizes = [len(x) for x in t.split("\n") if x.strip()]
+        short, thin = len(t.strip()) < 50, bool(sizes) and sum(sizes) < 25 * len(sizes)
+        worded = len(t.strip()) < 200 and any(w in t.lower() for w in cleaning.NAVIGATION)
+        assert got[t] == (short or thin or worded)
 
 
 def test_insight_filters(spark):
@@ -160,6 +164,21 @@ def test_paragraph_chunks(spark):
     assert got[0].startswith("Head") and "#" not in got[0]
 
 
+def test_paragraph_packs(one):
+    """Each rule by itself, with small sizes: 20 to 100 characters, so a chunk is full from 70 on."""
+    pack = lambda text: one(chunks.paragraph_packs(L(text), 20, 100))[0]
+    a, b, c = "a" * 40, "b" * 45, "c" * 80
+    assert pack("") == [] and pack("a" * 69) == []  # a rest under 80 is dropped
+    assert pack(c) == [c]
+    assert pack(f"{a}\n\n{b}\n \n{c}") == [f"{a}\n\n{b}", c]  # gathered until full
+    assert pack(f"{a}\n\n{'d' * 65}\n\n{c}") == [a, "d" * 65, c]  # closed before what doesn't fit
+    s = "This is a sentence of some forty letters."
+    assert pack(" ".join([s] * 5)) == [f"{s} {s}"] * 2  # the rest, one sentence, is dropped
+    assert pack(" ".join([s] * 5) + f"\n\n{a}") == [f"{s} {s}"] * 2 + [f"{s}\n\n{a}"]  # the rest gathers on
+    assert pack("x" * 150 + ". " + s) == ["x" * 150 + "."]  # no sentence is cut
+    assert pack(f"{b}\n\n" + " ".join([s] * 3)) == [b, f"{s} {s}"]  # a long paragraph closes what was gathered
+
+
 # ---- joins ----
 
 

@@ -121,11 +121,11 @@ def test_progress(spark, tmp_path):
 def test_feeds_of_whole_documents(spark):
     """Every document reaches the parsers with its whole text, line breaks and markup included."""
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
-    pages = {int(r.review_id): r.text for r in catalog.QUERIES["review_pages_whole"](spark, SF).collect()}
+    pages = {int(r.review_id): r.text for r in catalog.QUERIES["review_pages"](spark, SF).collect()}
     assert pages == {k: t if k % 2 == 0 and t else "original: " + t for k, t in texts.items()}
-    items = {int(r.review_id): r.text for r in catalog.QUERIES["review_items_whole"](spark, SF).collect()}
+    items = {int(r.review_id): r.text for r in catalog.QUERIES["review_items"](spark, SF).collect()}
     assert items == {k: t.strip() for k, t in texts.items() if len(t.strip()) >= 75}
-    bodies = {int(r.review_id[1:]) - 1: r.body for r in catalog.QUERIES["markdown_reviews_whole"](spark, SF).collect()}
+    bodies = {int(r.review_id[1:]) - 1: r.body for r in catalog.QUERIES["markdown_reviews"](spark, SF).collect()}
     assert bodies == {k: re.sub(r"!\[[^\]]*\]\([^)]+\)", "", t).strip() or None for k, t in texts.items()}
 
 
@@ -133,10 +133,10 @@ def test_feeds_of_whole_documents(spark):
 def test_sources_and_links_of_whole_tables(spark):
     """Every document has its source; every conversation that can be linked is, posts and comments."""
     docs = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
-    assert {r.flat_idx for r in catalog.QUERIES["source_registry_whole"](spark, SF).collect()} == docs
+    assert {r.flat_idx for r in catalog.QUERIES["source_registry"](spark, SF).collect()} == docs
     talks = {(r.conv_id, r.turn) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn").collect()}
     n = max(c for c, _ in talks) + 1
     linked = {r.l_orderkey % n for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").collect()}
-    got = {(r.item_type, r.item_id) for r in catalog.QUERIES["link_explosion_whole"](spark, SF).collect()}
+    got = {(r.item_type, r.item_id) for r in catalog.QUERIES["link_explosion"](spark, SF).collect()}
     assert {c for c, _ in talks} <= linked
     assert got == {("post", c) for c, _ in talks} | {("comment", c * 100 + t) for c, t in talks if t > 0}
