@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -62,6 +63,33 @@ def call_with_retries(model: JsonModel, system: str, user: str, attempts: int =
     raise ValueError("no attempts")
 
 
+_STARTED: dict[str, float] = {}
+_LOCK = threading.Lock()
+
+
+def throttle(name: str, interval: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+    """Waits until ``interval`` seconds after the last start under this name in this process, whoever made it."""
+    with _LOCK:
+        rest = _STARTED.get(name, -interval - 1) + interval - clock()
+        if interval > 0 and rest > 0:
+            sleep(rest)
+        _STARTED[name] = clock()
+
+
+def fetch_limited(fetch: Callable[[], tuple[int, dict]], attempts: int = 3, wait: float = 4.0, sleep: Callable[[float], None] = time.sleep) -> dict | None:
+    """What a fetch of (status, body) brings: a status of 429 is tried again with doubling waits; other errors, and the last
+    429, give none at once."""
+    for k in range(attempts):
+        try:
+            status, body = fetch()
+        except Exception:
+            return None
+        if status != 429:
+            return body if status < 400 else None
+        sleep(wait * 2**k)
+    return None
+
+
 def map_batches(df: DataFrame, rows: Callable[[list[dict]], list[dict]], schema: str, batch: int) -> DataFrame:
     """Rows through a function of batches; errors are the function's to turn into rows."""
 
@@ -100,9 +128,9 @@ def first_sentences(text: str) -> list[dict]:
 
 
 def name_clusters(clusters: DataFrame, insights: DataFrame) -> DataFrame:
-    """A stand-in for naming: a cluster is named by its central insight, its first anchors are the members' commonest."""
+    """A stand-in for naming: a cluster is named by the text nearest to its centre."""
     centre = clusters.select("cluster_id", F.get("centroid_text_indices", F.lit(0)).alias("flat_idx"))
-    return centre.join(insights.select("flat_idx", F.col("text").alias("name")), "flat_idx", "left").select("cluster_id", F.substring("name", 1, 80).alias("name"), F.lit("neutral").alias("polarity"), F.lit(0.0).alias("name_confidence"))
+    return centre.join(insights.select("flat_idx", F.col("text").alias("name")), "flat_idx", "left").select("cluster_id", "name", F.lit("neutral").alias("polarity"), F.lit(0.0).alias("name_confidence"))
 
 
 def score_clusters(clusters: DataFrame, named: Column, actionable: Column, failed: Column | None = None, on_error: str = "C") -> DataFrame:

@@ -431,13 +431,9 @@ def anchor_pairs(spark, sf):
 # ---- scalar functions ----
 
 
-@query("SELECT video_id, round(0.5 * least(views / 500000.0, 1.0) + 0.3 * least(likes / greatest(views, 1)::DOUBLE / 0.05, 1.0) + 0.2 * least(comment_count / greatest(views, 1)::DOUBLE / 0.01, 1.0), 3) AS score FROM videos", "videos")
+@query("SELECT video_id, round_even(0.5 * least(views / 500000.0, 1.0) + 0.3 * least(likes / greatest(views, 1)::DOUBLE / 0.05, 1.0) + 0.2 * least(comment_count / greatest(views, 1)::DOUBLE / 0.01, 1.0), 4) AS score FROM videos", "videos")
 def video_score(spark, sf):
-    v = view(spark, sf, "videos")
-    raw = 0.5 * F.least(F.col("views") / 500_000.0, F.lit(1.0)) + 0.3 * F.least(F.col("likes") / F.greatest("views", F.lit(1)).cast("double") / 0.05, F.lit(1.0)) + 0.2 * F.least(F.col("comment_count") / F.greatest("views", F.lit(1)).cast("double") / 0.01, F.lit(1.0))
-    exact = scores.video_score(F.col("views"), F.col("likes"), F.col("comment_count"))
-    # Four places round half to even; three are compared, where both ways agree.
-    return v.select("video_id", F.when(F.abs(exact - raw) <= 0.00005000001, F.round(raw, 3)).alias("score"))
+    return view(spark, sf, "videos").select("video_id", scores.video_score(F.col("views"), F.col("likes"), F.col("comment_count")).alias("score"))
 
 
 @query("SELECT cluster_id, CASE WHEN (greatest(n_sources, l) >= 4 AND size >= 3) OR size >= 15 THEN 'A' WHEN greatest(n_sources, l) >= 3 OR size >= 8 THEN 'B' ELSE 'C' END AS tier FROM (SELECT *, label % 5 + 1 AS l FROM clusters) x", "clusters")
@@ -492,9 +488,9 @@ def visit_month(spark, sf):
     return e.select("event_id", dates.visit_month(F.when(F.col("event_id") % 4 == 0, "sometime").otherwise(F.date_format("ts", "MMMM yyyy"))).alias("month"))
 
 
-@query("SELECT source, count(*) AS n, count(*) FILTER (length(text) >= 75) AS n_long FROM raw GROUP BY source", "raw")
+@query("SELECT source, count(*) AS n, count(*) FILTER (length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 75) AS n_long FROM raw GROUP BY source", "raw")
 def length_filter(spark, sf):
-    return view(spark, sf, "raw").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length(F.col("text")) >= 75).alias("n_long"))
+    return view(spark, sf, "raw").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(cleaning.long_enough(F.col("text"), 75)).alias("n_long"))
 
 
 @query("SELECT cluster_id, l1, CASE WHEN l1 <> 'Operational Intelligence' AND l1 <> 'Attention Intelligence' THEN l2 WHEN l1 = 'Operational Intelligence' THEN 'Pricing' ELSE 'Iconic Artwork' END AS l2, CASE WHEN l1 = 'Operational Intelligence' THEN 'Entrance Fee' WHEN l1 = 'Attention Intelligence' THEN 'Painting' ELSE l3 END AS l3, false AS label_valid FROM clusters", "clusters")
@@ -583,6 +579,15 @@ _PROBE = "(SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1) p"
 _HYBRID = f"0.25 * {_TIER_W} + 0.15 * least(n_sources / 5.0, 1.0) + 0.05 / (1 + exp((20.0 - size) / 10.0))"
 
 
+def warm_engine(spark, sf) -> Engine:
+    """The engine over a store in memory."""
+    e = _engine(spark, sf)
+    e.store.warm()
+    for df in (e.store.clusters, e.store.insights, e.store.raw):
+        df.count()
+    return e
+
+
 def _engine(spark, sf) -> Engine:
     insights = _insights(spark, sf).withColumn("anchor_entity", F.col("anchor")).join(tables(spark, sf, "embeddings")["embeddings"].select(F.col("vec_id").alias("flat_idx"), "embedding"), "flat_idx")
     return Engine(Store(_clusters(spark, sf), insights, view(spark, sf, "raw")))
@@ -612,6 +617,18 @@ def search_insights(spark, sf):
     return _engine(spark, sf).search_insights("place2", _probe(spark, sf), {"rating_min": 3}).select("flat_idx", "cluster_name", F.round("score", 6).alias("score"))
 
 
+@query(
+    f"""WITH n AS (SELECT i.*, {_COS} AS cosine FROM (SELECT i.*, e.embedding FROM insights i JOIN embeddings e ON e.vec_id = i.flat_idx) i, {_PROBE} WHERE poi_name = 'place2' AND rating >= 3 ORDER BY cosine DESC, flat_idx LIMIT 50)
+SELECT n.flat_idx, n.l1, n.l2, coalesce(c.l3, '') AS l3, n.insight_sentiment, n.cluster_id, c.name AS cluster_name, round_even(round(cosine + 0.10 * {_TIER_W} + 0.05 * freshness_score, 9), 4) AS relevance_score
+FROM n LEFT JOIN clusters c USING (cluster_id) ORDER BY round(cosine + 0.10 * {_TIER_W} + 0.05 * freshness_score, 9) DESC, flat_idx LIMIT 10""",
+    "clusters",
+    "insights",
+)
+def insight_cards(spark, sf):
+    cards = _engine(spark, sf).insight_cards("place2", _probe(spark, sf), {"rating_min": 3})
+    return cards.select("flat_idx", "l1", "l2", "l3", "insight_sentiment", "cluster_id", "cluster_name", "relevance_score")
+
+
 @query(f"SELECT cluster_id, name FROM clusters WHERE poi_name = 'place1' AND quality_tier = 'A' AND sentiment = 'positive' ORDER BY round(0.55 + {_HYBRID}, 9) DESC, cluster_id LIMIT 10", "clusters")
 def highlights(spark, sf):
     return _engine(spark, sf).list_highlights("place1").select("cluster_id", "name")

@@ -46,6 +46,17 @@ def cluster_card(relevance: Column) -> list[Column]:
     ]
 
 
+def insight_card() -> list[Column]:
+    """The columns of an insight's card: its own values, where they are blank those of its cluster (``c_``), else defaults."""
+    own = lambda c, *rest: F.coalesce(F.nullif(F.col(c), F.lit("")), *rest).alias(c)
+    return [
+        "flat_idx", F.coalesce("poi_name", F.lit("")).alias("poi_name"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source"), "source_id", "rating",
+        *[own(c, F.col(f"c_{c}"), F.lit("")) for c in ("l1", "l2", "l3")], own("insight_sentiment", F.nullif("sentiment", F.lit(""))), "intent_tag",
+        F.coalesce("numeric_anchors", F.array().cast("array<string>")).alias("numeric_anchors"), "sub_attraction", F.coalesce("cluster_id", "c_id").alias("cluster_id"), "cluster_name",
+        F.bround("score", 4).alias("relevance_score"),
+    ]
+
+
 class Engine:
     def __init__(self, store: Store, places: list[str] | None = None):
         self.store, self.places = store, places
@@ -84,6 +95,14 @@ class Engine:
         score = scores.insight_score(F.col("cosine"), F.coalesce("_tier", F.lit("C")), F.col("freshness_score"))
         return both.withColumn("score", F.round(score, 9)).orderBy(F.desc("score"), "flat_idx").limit(limit).drop("_tier", "embedding")
 
+    def insight_cards(self, poi: str, vector: list[float], filters: dict | None = None, limit: int = 10) -> DataFrame:
+        """The hits of ``search_insights`` as cards; hits without a cluster stay.  Columns that the store lacks are null."""
+        hits = self.search_insights(poi, vector, filters, limit)
+        missing = {c: F.lit(None).cast(t) for c, t in {"text": "string", "l3": "string", "sentiment": "string", "numeric_anchors": "array<string>"}.items() if c not in hits.columns}
+        parent = self.store.clusters.select(F.col("cluster_id").alias("c_id"), *[F.col(c).alias(f"c_{c}") for c in ("l1", "l2", "l3")])
+        both = (hits.withColumns(missing) if missing else hits).join(parent, F.col("cluster_id") == F.col("c_id"), "left")
+        return both.orderBy(F.desc("score"), "flat_idx").select(*insight_card())
+
     def list_concerns(self, poi: str, category: str | None = None, limit: int = 10) -> DataFrame:
         self._check(poi)
         own = self.store.clusters.filter((F.col("poi_name") == poi) & cleaning.has_intent("Operational Intelligence") & F.col("sentiment").isin("negative", "mixed"))
@@ -157,6 +176,7 @@ class Engine:
             "list_pois": self.pois,
             "search_clusters": self.search_clusters,
             "search_insights": self.search_insights,
+            "insight_cards": self.insight_cards,
             "explain_cluster": self.explain_cluster,
             "list_concerns": self.list_concerns,
             "list_highlights": self.list_highlights,

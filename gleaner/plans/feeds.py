@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner import models
 from gleaner.functions import taxonomy, text
-from gleaner.operators import cleaning, joins, rollups
+from gleaner.operators import cleaning, joins, model_batches, rollups
 from gleaner.plans.bindings import tables, view
 from gleaner.plans.catalog import _clusters, _engine, _insights, _probe, query
 from gleaner.sources import parsers, readers
@@ -155,17 +155,72 @@ def extraction_summary(spark, sf):
     return rollups.extraction_summary(rows)
 
 
-@query()
+@query(
+    r"""SELECT doc_id, CASE WHEN bad AND good THEN 'mixed' WHEN bad THEN 'negative' WHEN good THEN 'positive' ELSE 'neutral' END AS insight_sentiment,
+ CASE WHEN bad THEN 'warning' WHEN advice THEN 'recommendation' ELSE 'description' END AS intent_tag
+FROM (SELECT doc_id, regexp_matches(t, '(^|[^\p{L}\p{Nd}_])(avoid|scam|rude|bad|dirty)($|[^\p{L}\p{Nd}_])') AS bad, regexp_matches(t, '(^|[^\p{L}\p{Nd}_])(great|love|best|amazing)($|[^\p{L}\p{Nd}_])') AS good, regexp_matches(t, '(^|[^\p{L}\p{Nd}_])(should|must|recommend)($|[^\p{L}\p{Nd}_])') AS advice
+ FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents) x) y"""
+)
 def tagged_documents(spark, sf):
     return _docs(spark, sf).select("doc_id", models.rule_tag(F.col("text")).alias("t")).select("doc_id", "t.insight_sentiment", "t.intent_tag")
 
 
-@query()
+@query("SELECT cluster_id, text AS name, 'neutral' AS polarity, 0.0::DOUBLE AS name_confidence FROM clusters LEFT JOIN documents ON doc_id = cluster_id * 3", "clusters")
 def named_clusters(spark, sf):
     insights = _docs(spark, sf).select(F.col("doc_id").alias("flat_idx"), "text")
     return models.name_clusters(_clusters(spark, sf), insights)
 
 
+# ---- batches for models, with rules in the place of models ----
+
+
+@query(
+    """SELECT cluster_id, a AS named_entity_score, 2 AS actionability_score, greatest(a, 2) AS specificity, CASE WHEN cluster_id % 2 = 0 THEN 'positive' ELSE 'neutral' END AS sentiment,
+ CASE WHEN (a >= 4 AND size >= 3) OR size >= 15 THEN 'A' WHEN a >= 3 OR size >= 8 THEN 'B' ELSE 'C' END AS quality_tier
+FROM (SELECT cluster_id, size, CASE WHEN cluster_id % 6 = 0 THEN 3 ELSE cluster_id % 6 END AS a FROM clusters) x""",
+    "clusters",
+)
+def scored_by_model(spark, sf):
+    rule = lambda r: {"cluster_id": r["cluster_id"], "named_entity_score": r["cluster_id"] % 6, "actionability_score": 2, "sentiment": "positive" if r["cluster_id"] % 2 == 0 else None}
+    out = model_batches.score(_clusters(spark, sf).select("cluster_id", "name", "size"), model_batches.RuleModel("scores", rule))
+    return out.select("cluster_id", "named_entity_score", "actionability_score", "specificity", "sentiment", "quality_tier")
+
+
+@query(
+    """SELECT cluster_id, l1, CASE l1 WHEN 'Operational Intelligence' THEN 'Pricing' WHEN 'Attention Intelligence' THEN 'Iconic Artwork' ELSE 'Hidden Highlight' END AS l2,
+ CASE l1 WHEN 'Operational Intelligence' THEN 'Entrance Fee' WHEN 'Attention Intelligence' THEN 'Painting' ELSE 'Alley' END AS l3, l1 IN ('Operational Intelligence', 'Attention Intelligence') AS label_valid,
+ CASE WHEN l1 IN ('Operational Intelligence', 'Attention Intelligence') THEN 0.5 ELSE 0.9 END::DOUBLE AS label_confidence, CASE WHEN l1 IN ('Operational Intelligence', 'Attention Intelligence') THEN 'said [auto-recovered]' ELSE 'said' END AS label_reasoning
+FROM clusters""",
+    "clusters",
+)
+def labelled_by_model(spark, sf):
+    rule = lambda r: {"cluster_id": str(r["cluster_id"]), "l1": taxonomy.VALID_L1[r["cluster_id"] % 5], "l2": "Hidden Highlight", "l3": " Alley ", "confidence": 0.9, "reasoning": "said"}
+    c = _clusters(spark, sf).select("cluster_id", "poi_name", "name", "size", "sentiment", "n_sources", "anchor_entities")
+    out = model_batches.label(c, model_batches.RuleModel("labels", rule), taxonomy.combos(spark))
+    return out.select("cluster_id", "l1", "l2", "l3", "label_valid", "label_confidence", "label_reasoning")
+
+
+@query("SELECT doc_id, CASE WHEN contains(coalesce(text, ''), 'en') THEN 'positive' ELSE 'neutral' END AS insight_sentiment, 'warning' AS intent_tag FROM documents")
+def tagged_by_model(spark, sf):
+    rule = lambda r: {"id": r["id"], "insight_sentiment": "positive" if "en" in r["text"] else "unheard of", "intent_tag": "warning"}
+    return model_batches.tag(_docs(spark, sf).select("doc_id", "text"), model_batches.RuleModel("results", rule)).select("doc_id", "insight_sentiment", "intent_tag")
+
+
+@query("SELECT cluster_id, concat(poi_name, ' has ', count(doc_id)) AS name, 'positive' AS polarity FROM clusters LEFT JOIN documents ON doc_id = cluster_id * 3 GROUP BY cluster_id, poi_name", "clusters")
+def named_by_model(spark, sf):
+    rule = lambda r: {"cluster_name": f"{r['poi_name']} has {len(r['insights'])}", "polarity": " Positive"}
+    c = _clusters(spark, sf).select("cluster_id", "poi_name", "size", "centroid_text_indices")
+    insights = _docs(spark, sf).select(F.col("doc_id").alias("flat_idx"), "source", "text")
+    return model_batches.name(c, insights, model_batches.RuleModel("names", rule)).select("cluster_id", "name", "polarity")
+
+
+@query("""SELECT doc_id, concat('{"chars": ', length(coalesce(text, '')), ', "place": 0}') AS output FROM documents""")
+def rows_by_model(spark, sf):
+    rule = lambda r: {"place": r["place"], "chars": len(r["text"] or "")}
+    rows = _docs(spark, sf).select("doc_id", F.lit(None).cast("string").alias("poi_name"), F.lit(None).cast("string").alias("city"), "source", "text")
+    return model_batches.label_rows(rows, model_batches.RuleModel("output", rule)).select("doc_id", "output")
+
+
 # ---- labels, enrichment, text ----
 
 

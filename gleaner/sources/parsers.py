@@ -243,6 +243,12 @@ def item_kind(item: dict[str, Column]) -> Column:
     )
 
 
+def discussion_links(results: DataFrame) -> DataFrame:
+    """url, title and snippet of search results that lead to a discussion; other pages of the site or of others go."""
+    url = F.coalesce("url", F.lit(""))
+    return results.filter(F.contains(url, F.lit("reddit.com")) & F.contains(url, F.lit("/comments/"))).select("url", "title", F.col("description").alias("snippet"))
+
+
 def numbered_lines(texts: Column, most: int = 700) -> Column:
     """Texts as numbered lines for a prompt, long ones cut with an ellipsis."""
     cut = lambda t: F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("…"))).otherwise(t)

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, SimpleDataSourceStreamReader
 
+from gleaner.models import throttle
+
 RAW = "source string, source_id string, source_uuid string, poi_id string, poi_name string, city string, rating int, text string, meta map<string,string>, source_url string"
 FLAT = "flat_idx bigint, source string, source_id string, poi_id string, poi_name string, rating int, text string, strength double, anchor_entity string"
 CURSOR = "poi_id string, sort_mode string, next_page_token string, next_offset int, exhausted boolean"
@@ -40,6 +43,24 @@ def first_of(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     raise FileNotFoundError(f"none of {paths}")
 
 
+def last_built(spark: SparkSession, path: str) -> str:
+    """When a file was last written, to the second, in the driver's time zone."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+    return datetime.fromtimestamp(status.getModificationTime() / 1000).isoformat(timespec="seconds")
+
+
+def recorded_feed(spark: SparkSession, path: str, size: int = 10) -> DataFrame:
+    """poi_id, token, offset and item (JSON) of feeds of any number of places, recorded as JSON lines (poi_id, token, items).
+
+    A place's feed ends before its first page without items.  Files are split as Spark reads them; only the places that
+    have an empty page, and its number, are shuffled."""
+    pages = spark.read.schema("poi_id string, token int, items array<string>").json(path)
+    ends = pages.filter("items IS NULL OR size(items) = 0").groupBy("poi_id").agg(F.min("token").alias("end"))
+    own = pages.join(ends, "poi_id", "left").filter("end IS NULL OR token < end")
+    return own.select("poi_id", "token", F.posexplode("items").alias("k", "item")).select("poi_id", "token", (F.col("token") * size + F.col("k")).alias("offset"), "item")
+
+
 def place_rows(df: DataFrame, poi: str, n: int, order: str) -> DataFrame:
     return df.filter(F.col("poi_name") == poi).orderBy(order).limit(n)
 
@@ -77,8 +98,10 @@ class _Pages:
     def __init__(self, options: dict):
         self.pages = json.loads(options["pages"])
         self.most, self.size = int(options.get("maxcalls", "1000000")), int(options.get("pagesize", "10"))
+        self.interval = float(options.get("interval", "0"))
 
     def page(self, token: int) -> list:
+        throttle("paged_feed", self.interval)
         return self.pages[token] if token < len(self.pages) else []
 
 
@@ -108,7 +131,7 @@ class _PageStream(_Pages, SimpleDataSourceStreamReader):
 
 class PagedFeed(DataSource):
     """Format ``paged_feed``: option ``pages`` is a JSON array of pages (arrays of items); a page without items ends the
-    feed.  ``maxCalls`` bounds a batch read, ``pageSize`` the offsets.  Rows: token, offset, item (JSON)."""
+    feed.  ``maxCalls`` bounds a batch read, ``pageSize`` the offsets, ``interval`` the seconds between calls.  Rows: token, offset, item (JSON)."""
 
     @classmethod
     def name(cls) -> str:

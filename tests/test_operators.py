@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner import models
-from gleaner.operators import chunks, cleaning, dedupe, joins, rollups, sampling, vectors
+from gleaner.functions import taxonomy
+from gleaner.operators import chunks, cleaning, dedupe, joins, model_batches, rollups, sampling, vectors
 
 L = F.lit
 
@@ -300,3 +301,79 @@ def test_stand_in_models(spark, one):
     waits = []
     assert models.call_with_retries(Flaky(), "", "", sleep=waits.append) == {"ok": 1} and waits == [2.0, 4.0]
     assert one(models.rule_tag(L("Avoid this scam, 5 min"))["intent_tag"]) == ("warning",)
+
+
+def said(answer):
+    """A model that says what it is told to, and fails on a marked row."""
+
+    class Said:
+        def call(self, system, user):
+            if "boom" in user:
+                raise ValueError("unreadable")
+            return answer
+
+    return Said()
+
+
+def test_answers_are_matched_by_key_then_place():
+    rows = [{"id": 0}, {"id": 1}, {"id": 2}]
+    said = [{"id": "1", "v": "old"}, {"id": 1, "v": "one"}, "no object"]
+    assert model_batches.matched(rows, said, "id") == [{}, {"id": 1, "v": "one"}, {}]
+    assert model_batches.matched(rows, said, "id", by_place=True) == [{"id": "1", "v": "old"}, {"id": 1, "v": "one"}, {}]
+    assert model_batches.matched(rows, None, "id", by_place=True) == [{}, {}, {}]
+
+
+def test_failed_batches_keep_their_rows(spark):
+    c = spark.createDataFrame([(1, "a", 20), (2, "boom", 20), (3, None, 2)], "cluster_id int, name string, size int").coalesce(1)
+    told = said({"scores": [{"cluster_id": 1, "named_entity_score": 0, "actionability_score": 5, "sentiment": ""}, {"cluster_id": 3, "specificity": 4}]})
+    got = {r.cluster_id: r for r in model_batches.score(c, told, batch=1).collect()}
+    assert [(got[k].named_entity_score, got[k].actionability_score, got[k].specificity, got[k].sentiment, got[k].quality_tier) for k in (1, 2, 3)] == [(3, 5, 5, "neutral", "A"), (3, 3, 3, "neutral", "C"), (4, 4, 4, "neutral", "B")]
+    assert got[1].error is None and got[2].error == "ValueError: unreadable"
+    assert model_batches.score(c, told, batch=3).filter("error IS NOT NULL").count() == 3  # a batch fails as a whole
+    assert model_batches.score(c.limit(0), told).count() == 0
+
+
+def test_labels_are_recovered_then_overridden(spark):
+    schema = "cluster_id int, poi_name string, name string, size int, anchor_entities array<string>"
+    c = spark.createDataFrame([(1, "Louvre Museum", "x", 1, ["Mona Lisa "]), (2, "p", "x", 1, None), (3, "p", "boom", 1, []), (4, "p", "x", 1, [])], schema)
+    approved = spark.createDataFrame([("Discovery Intelligence", "Hidden Highlight", "Alley")], "l1 string, l2 string, l3 string")
+    told = said({"labels": [
+        {"cluster_id": 1, "l1": "Discovery Intelligence", "l2": "Hidden Highlight", "l3": "Alley", "confidence": 0.9},
+        {"cluster_id": 2, "l1": "Discovery Intelligence", "l2": "Nothing", "l3": "None", "confidence": 0, "secondary_l1": "", "reasoning": "why"},
+    ]})
+    got = {r.cluster_id: r for r in model_batches.label(c, told, taxonomy.combos(spark, approved), batch=1).collect()}
+    assert (got[1].l1, got[1].l2, got[1].l3, got[1].label_valid, got[1].label_reasoning) == ("Attention Intelligence", "Iconic Artwork", "Painting", True, "[famous-anchor-override]")
+    assert (got[2].l2, got[2].l3, got[2].label_valid, got[2].label_confidence, got[2].secondary_l1, got[2].label_reasoning) == ("Hidden Highlight", "Alley", True, 0.5, None, "why [auto-recovered]")
+    assert (got[3].l1, got[3].label_valid, got[3].label_confidence, got[3].error) == ("", False, 0.0, "ValueError: unreadable")
+    assert (got[4].l1, got[4].label_valid, got[4].label_confidence) == ("", False, 0.7)
+
+
+def test_tags_and_names_by_model(spark):
+    r = spark.createDataFrame([(k, t) for k, t in enumerate(["one", "two", None])], "n int, text string").coalesce(1)
+    told = said({"results": [{"id": 1, "insight_sentiment": "mixed", "numeric_anchors": ["5 min", "", None]}, {"insight_sentiment": "negative", "sub_attraction": "none"}]})
+    got = {x.n: x for x in model_batches.tag(r, told).collect()}
+    assert [(got[k].insight_sentiment, got[k].intent_tag, got[k].numeric_anchors, got[k].sub_attraction) for k in (0, 1, 2)] == [("mixed", "other", ["5 min"], None), ("mixed", "other", ["5 min"], None), ("neutral", "other", [], None)]
+    c = spark.createDataFrame([(1, "p", 2, [7, 5]), (2, "p", 1, [6]), (3, "p", 1, [])], "cluster_id int, poi_name string, size int, centroid_text_indices array<int>")
+    i = spark.createDataFrame([(5, "s", "far"), (6, "s", "boom near"), (7, "s", "near")], "flat_idx int, source string, text string")
+    named = {x.cluster_id: x for x in model_batches.name(c, i, said({"names": [{"cluster_name": " N ", "polarity": " Mixed "}]})).collect()}
+    assert (named[1].name, named[1].polarity, named[1].anchor_entities, named[1].name_confidence) == ("N", "mixed", [], 0.7)
+    assert (named[2].name, named[2].polarity, named[2].name_confidence, named[2].error) == ("boom near", None, 0.0, "ValueError: unreadable")
+    assert named[3].name == "N"
+
+
+def test_throttle_and_limits():
+    now, slept = [100.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    for step in (0, 3, 30):
+        now[0] += step
+        models.throttle("a test", 10, lambda: now[0], sleep)
+    assert slept == [7.0]
+    answers = iter([(429, {}), (429, {}), (200, {"ok": 1}), (404, {}), (429, {}), (429, {}), (429, {})])
+    waits = []
+    assert [models.fetch_limited(lambda: next(answers), wait=4.0, sleep=waits.append) for _ in range(3)] == [{"ok": 1}, None, None]
+    assert waits == [4.0, 8.0, 4.0, 8.0, 16.0]
+    assert models.fetch_limited(lambda: 1 / 0) is None

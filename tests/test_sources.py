@@ -140,3 +140,17 @@ def test_sources_and_links_of_whole_tables(spark):
     got = {(r.item_type, r.item_id) for r in catalog.QUERIES["link_explosion"](spark, SF).collect()}
     assert {c for c, _ in talks} <= linked
     assert got == {("post", c) for c, _ in talks} | {("comment", c * 100 + t) for c, t in talks if t > 0}
+
+
+def test_recorded_feed_ends_at_an_empty_page(spark, tmp_path):
+    lines = [("a", 0, [{"i": 1}, {"i": 2}]), ("a", 1, []), ("a", 2, [{"i": 9}]), ("b", 0, [{"i": 3}]), ("b", 1, [{"i": 4}]), ("c", 0, None)]
+    (tmp_path / "f.jsonl").write_text("\n".join(json.dumps({"poi_id": p, "token": t, "items": i}) for p, t, i in lines))
+    got = readers.recorded_feed(spark, f"{tmp_path}/f.jsonl").select("poi_id", "offset", F.get_json_object("item", "$.i").alias("i"))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 0, "1"), ("a", 1, "2"), ("b", 0, "3"), ("b", 10, "4")]
+    assert len(readers.last_built(spark, f"{tmp_path}/f.jsonl")) == 19
+
+
+def test_discussion_links(spark):
+    rows = [("https://www.reddit.com/r/x/comments/1/t/", "t", "d"), ("https://www.reddit.com/r/x/", "t", "d"), ("https://example.org/comments/1", "t", "d"), (None, "t", "d")]
+    df = spark.createDataFrame(rows, "url string, title string, description string")
+    assert [tuple(r) for r in parsers.discussion_links(df).collect()] == [rows[0]]
