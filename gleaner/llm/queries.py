@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from gleaner.llm import ann, chat, decontaminate, edit_counts, jaccard, line_dedup, lm_score, mixing, quality, token_output
+from gleaner.llm import ann, chat, decontaminate, edit_counts, filter_audit, jaccard, line_dedup, lm_score, mixing, quality, token_output
 from gleaner.llm.common import table, written
 
 
@@ -72,6 +72,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 120 orders of five filters over every document."""
+    judged = filter_audit.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(judged, list("ABCDE"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_chat": op2_chat,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": op8_token_output,
     "op9_nearest": op9_nearest,
     "op10_decontaminate": op10_decontaminate,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 _OP5 = r"""
@@ -156,4 +163,42 @@ SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_
 FROM words LEFT JOIN hits USING (r) LEFT JOIN listed USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": _OP5, "op6_jaccard": _OP6, "op10_decontaminate": _OP10}
+_OP12 = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), said AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), firsts AS (
+  SELECT t, min(doc_id) AS low FROM docs GROUP BY t
+), fails AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+         100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+         coalesce(doc_id > low, false) AS e
+  FROM docs LEFT JOIN said USING (doc_id) JOIN firsts USING (t)
+), bits AS (
+  SELECT part, good, toxic, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS f FROM fails
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS bit
+), orders AS (
+  SELECT v.l || w.l || x.l || y.l || z.l AS filter_order, [v.bit, w.bit, x.bit, y.bit, z.bit] AS own
+  FROM letters v, letters w, letters x, letters y, letters z WHERE v.bit | w.bit | x.bit | y.bit | z.bit = 31
+), steps AS (
+  SELECT filter_order, s.step::INT AS step, own[s.step] AS bit, coalesce(list_sum(own[1:s.step - 1]), 0)::INT AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step) s
+), pairs AS (
+  SELECT DISTINCT before, bit FROM steps
+), seen AS (
+  SELECT part, before, bit, count(*) FILTER (f & (before | bit) = 0) AS kept, count(*) FILTER (f & before = 0 AND f & bit <> 0) AS removed,
+         count(*) FILTER (f & before <> 0 AND f & bit <> 0) AS redundant, count(*) FILTER (f = bit) AS unique_fails,
+         count(*) FILTER (f & before = 0 AND f & bit <> 0 AND good = 1) AS good_lost, count(*) FILTER (f & before = 0 AND f & bit <> 0 AND toxic = 1) AS toxic_lost
+  FROM bits, pairs GROUP BY part, before, bit
+), every AS (
+  SELECT * FROM seen JOIN steps USING (before, bit)
+), shares AS (
+  SELECT part, bit, sum(removed)::BIGINT AS shapley FROM every GROUP BY part, bit
+)
+SELECT part, filter_order, step, l AS filter, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley
+FROM every JOIN shares USING (part, bit) JOIN letters USING (bit)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": _OP5, "op6_jaccard": _OP6, "op10_decontaminate": _OP10, "op12_filter_audit": _OP12}
