@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from gleaner.llm import ann, chat, decontaminate, edit_counts, filter_audit, jaccard, line_dedup, lm_score, mixing, quality, token_output
+from gleaner.llm import ann, chat, decontaminate, edit_counts, filter_audit, jaccard, line_dedup, lm_score, mixing, packing, quality, token_output
 from gleaner.llm.common import table, written
 
 
@@ -72,6 +72,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 120 orders of five filters over every document."""
     judged = filter_audit.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": op8_token_output,
     "op9_nearest": op9_nearest,
     "op10_decontaminate": op10_decontaminate,
+    "op11_packing": op11_packing,
     "op12_filter_audit": op12_filter_audit,
 }
 
