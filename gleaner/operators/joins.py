@@ -95,8 +95,11 @@ def one_raw(raw: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fill_urls(citations: DataFrame, raw: DataFrame) -> DataFrame:
-    """Blank addresses are looked up by source and id; repeated raw rows count once."""
-    own = one_raw(raw, ["source_url"]).withColumnRenamed("source_url", "_url")
+    """Blank addresses are looked up by source and id; repeated raw rows count once.
+
+    Only raw rows that a citation without an address names are grouped."""
+    blank = citations.filter(F.coalesce("source_url", F.lit("")) == "").select("source", "source_id")
+    own = one_raw(raw.join(blank, ["source", "source_id"], "left_semi"), ["source_url"]).withColumnRenamed("source_url", "_url")
     return citations.join(own, ["source", "source_id"], "left").withColumn("source_url", F.coalesce(F.nullif("source_url", F.lit("")), "_url")).drop("_url")
 
 
@@ -135,7 +138,9 @@ def search_queries(spark: SparkSession, pois: DataFrame, templates: list[tuple[s
 
 def evidence(clusters: DataFrame, insights: DataFrame, raw: DataFrame, most: int = 5) -> DataFrame:
     """Up to ``most`` quotes of each cluster: its central members first, then the others, in order; one of each source
-    before any second of a source.  Members without a raw text give none; repeated raw rows and insights count once."""
+    before any second of a source.  Members without a raw text give none; repeated raw rows and insights count once.
+
+    The members come first: of insights and raw rows only those that they name are grouped, however many there are."""
     from gleaner.functions.text import trim_quote
 
     if most < 1:
@@ -143,8 +148,10 @@ def evidence(clusters: DataFrame, insights: DataFrame, raw: DataFrame, most: int
     none = F.array().cast("array<bigint>")
     ordered = F.concat(F.coalesce("centroid_text_indices", none), F.array_except(F.coalesce("member_indices", none), F.coalesce("centroid_text_indices", none)))
     rows = clusters.select("cluster_id", F.posexplode(ordered).alias("pos", "flat_idx"))
-    rows = rows.join(insights.select("flat_idx", "source", "source_id", "anchor_entity").dropDuplicates(["flat_idx"]), "flat_idx")
-    own = one_raw(raw.filter("text <> ''"), ["text", "rating", "source_url"]).withColumnRenamed("text", "_text")
+    members = insights.select("flat_idx", "source", "source_id", "anchor_entity").join(rows.select("flat_idx"), "flat_idx", "left_semi").dropDuplicates(["flat_idx"])
+    rows = rows.join(members, "flat_idx")
+    named = raw.filter("text <> ''").join(members.select("source", "source_id"), ["source", "source_id"], "left_semi")
+    own = one_raw(named, ["text", "rating", "source_url"]).withColumnRenamed("text", "_text")
     rows = rows.join(own, ["source", "source_id"])
     again = F.row_number().over(Window.partitionBy("cluster_id", "source").orderBy("pos"))
     rows = rows.withColumn("_again", again > 1)

@@ -304,7 +304,7 @@ def source_registry(spark, sf):
 # ---- streams ----
 
 
-def _folder(spark, name: str) -> str:
+def shared_folder(spark, name: str) -> str:
     """A fresh folder in the one that the cluster shares."""
     import uuid
 
@@ -318,7 +318,7 @@ def _folder(spark, name: str) -> str:
 
 @query("SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY user_id")
 def stream_upsert(spark, sf):
-    at = _folder(spark, "upsert")
+    at = shared_folder(spark, "upsert")
     events = spark.readStream.schema(tables(spark, sf, "events")["events"].schema).parquet(f"{sf}/events.parquet*").select("user_id", "value", "event_id")
     ingest.upsert_stream(events, f"{at}/t", f"{at}/c", "user_id", "event_id").trigger(availableNow=True).start().awaitTermination()
     return ingest.current(spark, f"{at}/t", "user_id", "event_id")
@@ -326,7 +326,7 @@ def stream_upsert(spark, sf):
 
 @query("SELECT user_id, event_type, count(*) > 0 AS seen FROM events GROUP BY ALL")
 def stream_distinct(spark, sf):
-    at = _folder(spark, "distinct")
+    at = shared_folder(spark, "distinct")
     events = spark.readStream.schema(tables(spark, sf, "events")["events"].schema).parquet(f"{sf}/events.parquet*")
     rows = events.withColumn("key", F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
     out = ingest.distinct_stream(rows, "key", "ts", "60 days").select("user_id", "event_type", F.lit(True).alias("seen"))
