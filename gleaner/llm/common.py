@@ -93,6 +93,20 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out, k = f"_{name}", 0
+    while out.lower() in taken:
+        out, k = f"_{name}_{k}", k + 1
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column name as an expression reads it, whatever stands in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def words_of(text: str | None) -> list[bytes]:
     """ASCII-lower-cased words ``[^\\x20\\x09-\\x0D]+`` of a text as UTF-8 bytes; null has none."""
     # bytes.lower() and bytes.split() touch A-Z and the six ASCII white spaces only.

@@ -22,15 +22,15 @@ def _joined(rows: DataFrame, least: DataFrame, few: bool) -> DataFrame:
 
 
 def _large_star(edges: DataFrame, few: bool) -> DataFrame:
-    """Each node links its larger neighbours to the smallest of its neighbourhood."""
+    """Each node links its larger neighbours to the smallest of its neighbourhood; links may repeat."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return _joined(both.filter("v > u"), least, few).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _joined(both.filter("v > u"), least, few).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     """Each node links itself and its smaller neighbours to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     joined = _joined(down, least, few)
     moved = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

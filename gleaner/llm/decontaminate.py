@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import chunks, small, written
+from gleaner.llm.common import chunks, small, unused, written
 
 WINDOW, SHARE = 13, 20
 SHARD_CHARS, BLOCK_WORDS = 4_000_000, 500_000
@@ -311,8 +311,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: in
     """``docs`` without contaminated rows.  Rows are told apart by a hash of id and text, so null and repeated ids are right."""
     key = F.xxhash64("doc_id", "text")
     found = search(docs.select(key.alias("doc_id"), "text"), benchmark, window, share)
-    bad = small(written(found.filter("contaminated").select(F.col("doc_id").alias("_bad_row")).distinct(), "contaminated"), SMALL_HITS)
-    return docs.join(bad, key == F.col("_bad_row"), "left_anti")
+    row = unused(docs, "bad_row")
+    bad = small(written(found.filter("contaminated").select(F.col("doc_id").alias(row)).distinct(), "contaminated"), SMALL_HITS)
+    return docs.join(bad, key == F.col(row), "left_anti")
 
 
 def _near(shared, span: int):

@@ -1,7 +1,8 @@
 """N-gram Jaccard join: exact similarity groups by rare-first prefix filtering.
 
 1.  ``_signatures``: a document's set of word shingles (64-bit hashes), a 128-bit digest of the set, and the set's share
-    of a count sketch.  Documents of equal sets form a class; only one of each class goes on, copies are membership.
+    of a count sketch.  Documents of equal sets form a class, told apart by the whole digest and numbered; only one row of each
+    class goes on, copies and repeated rows are membership.
 2.  ``_prefixes``: shingles in the global order rare first (sketched count, then hash; any one order for all documents
     is right, a rare-first one is cheap).  Two sets that reach the threshold share a shingle among the first
     ``n - ceil(t n) + 1`` of both, so only those are joined on.
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.llm.common import forget, shingles, small, words_of, written
+from gleaner.llm.common import forget, quoted, shingles, small, unused, words_of, written
 from gleaner.llm.components import components
 
 #: Counters of the sketch that orders shingles, and the pieces in which it is summed.
@@ -43,9 +44,9 @@ SKETCH, SLICES, CELLS = 1 << 20, 64, 32
 #: Up to this many candidates' ids go to all executors to pick their texts; more are joined by shuffle.
 SMALL_CANDIDATES = 300_000
 #: Random orders of buckets' members, and rounds of neighbours before all remaining pairs are tried.
-ORDERS, ROUNDS = 16, 3
+ORDERS, ROUNDS = 16, 2
 #: Neighbours that are tried in a round, the first round having most to try and needing least.
-NEIGHBOURS = (1, 12, 12)
+NEIGHBOURS = (1, 12)
 #: Members of a part of a hot bucket, about, and of the sketch's mean cell: the sketch can't tell buckets below that apart.
 PART, CELL = 1000, 8
 #: Buckets that are sent to every executor at most, and pieces of the sketch that a task sums.
@@ -79,6 +80,7 @@ def _set_of(text: str | None, sim: Similarity) -> np.ndarray:
 
 
 def _digest(own: np.ndarray, doc_id: int) -> tuple[int, int]:
+    """The two halves of a set's digest."""
     d = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes() if len(own) else b"none %d" % doc_id), ">i8")
     return int(d[0]), int(d[1])
 
@@ -134,8 +136,8 @@ def _prefixes(sim: Similarity, sketch, part: int):
                     # Cut at 127: cut counts differ by no more than whole ones.
                     cells = np.minimum(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=CELLS), 127)
                     parts = -(-counts[(own[rare] & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64) // size)
-                    rows.append((d, len(own), _digest(own, d)[0], own[rare].view(np.int64), np.maximum(parts, 1).astype(np.int32), cells.astype(np.int8)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "d1", "prefix", "parts", "cells"])
+                    rows.append((d, len(own), *_digest(own, d), own[rare].view(np.int64), np.maximum(parts, 1).astype(np.int32), cells.astype(np.int8)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "d1", "d2", "prefix", "parts", "cells"])
 
     return run
 
@@ -146,28 +148,41 @@ def _packed(sim: Similarity):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for d1, text in zip(pdf["d1"], pdf["text"], strict=True):
+            for node, d1, d2, text in zip(pdf["node"], pdf["d1"], pdf["d2"], pdf["text"], strict=True):
                 own = words_of(text)
-                # Where rows share a doc_id, only the one whose set is the class's counts.
-                if _digest(shingles(own, sim.width, sim.seed), 0)[0] == d1:
-                    rows.append((d1, zlib.compress(b" ".join(own), 1)))
-            yield pd.DataFrame(rows, columns=["d1", "own"])
+                # Where rows share a doc_id, only one whose set is the class's counts.
+                if _digest(shingles(own, sim.width, sim.seed), 0) == (d1, d2):
+                    rows.append((node, zlib.compress(b" ".join(own), 1)))
+            yield pd.DataFrame(rows, columns=["node", "own"])
 
     return run
 
 
+class _Sets:
+    """Sets made from packed words, those used last kept up to a number of shingles: pairs come in groups that share them."""
+
+    def __init__(self, sim: Similarity, most: int = 2_000_000):
+        self.sim, self.most, self.held, self.kept = sim, most, 0, {}
+
+    def of(self, node: int, data: bytes) -> np.ndarray:
+        own = self.kept.pop(node, None)
+        if own is None:
+            own = shingles(zlib.decompress(data).split(), self.sim.width, self.sim.seed)
+            self.held += len(own)
+            while self.held > self.most and self.kept:
+                self.held -= len(self.kept.pop(next(iter(self.kept))))
+        self.kept[node] = own
+        return own
+
+
 def _verify(sim: Similarity):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def unpacked(data: bytes) -> np.ndarray:
-            return shingles(zlib.decompress(data).split(), sim.width, sim.seed)
-
+        sets = _Sets(sim)
         for pdf in batches:
-            keep, last, own = np.zeros(len(pdf), bool), None, None
-            for k, (v, x, y) in enumerate(zip(pdf["v"], pdf["own_u"], pdf["own_v"], strict=True)):
-                if v != last:  # rows come by v
-                    last, own = v, unpacked(y)
-                other = unpacked(x)
-                both = len(other) + len(own)
+            keep = np.zeros(len(pdf), bool)
+            for k, (u, v, x, y) in enumerate(zip(pdf["u"], pdf["v"], pdf["own_u"], pdf["own_v"], strict=True)):
+                own, other = sets.of(v, y), sets.of(u, x)
+                both = len(own) + len(other)
                 shared = both - len(np.unique(np.concatenate([other, own])))
                 keep[k] = 100 * shared >= sim.percent * (both - shared)
             yield pdf.loc[keep, ["u", "v"]]
@@ -176,7 +191,7 @@ def _verify(sim: Similarity):
 
 
 class _Join:
-    """The steps after the classes are known; ``reps`` has d1, n, doc_id and cells of each class."""
+    """The steps after the classes are known; ``reps`` has node, d1, d2, n, doc_id and cells of each class."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, sim: Similarity):
         self.docs, self.reps, self.sim = docs, reps, sim
@@ -193,15 +208,17 @@ class _Join:
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that reach the threshold: suffix filter, then whole sets."""
-        sides = [self.reps.select(F.col("d1").alias(s), F.col("n").alias(f"n_{s}"), F.col("cells").alias(f"cells_{s}")) for s in "uv"]
+        sides = [self.reps.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("cells").alias(f"cells_{s}")) for s in "uv"]
         near = self.near(F.col("n_u"), F.col("n_v"), F.col("cells_u"), F.col("cells_v"))
         close = written(pairs.join(sides[0], "u").join(sides[1], "v").filter(near).select("u", "v"), "close-pairs")
-        wanted = close.select(F.col("u").alias("d1")).unionByName(close.select(F.col("v").alias("d1"))).distinct()
-        picked = written(wanted.join(self.reps, "d1").select("d1", "doc_id"), "picked")
-        texts = self.docs.join(small(picked, SMALL_CANDIDATES), "doc_id").select("d1", "text")
-        own = written(texts.mapInPandas(_packed(self.sim), "d1 long, own binary"), "packed-words")
-        sets = [own.select(F.col("d1").alias(s), F.col("own").alias(f"own_{s}")) for s in "uv"]
-        links = written(close.join(sets[0], "u").join(sets[1], "v").mapInPandas(_verify(self.sim), "u long, v long").distinct(), "links")
+        wanted = close.select(F.col("u").alias("node")).unionByName(close.select(F.col("v").alias("node"))).distinct()
+        picked = written(wanted.join(self.reps, "node").select("node", "d1", "d2", "doc_id"), "picked")
+        texts = self.docs.join(small(picked, SMALL_CANDIDATES), "doc_id").select("node", "d1", "d2", "text")
+        # Repeated rows are alike: one of each class stays, so that a pair is verified once.
+        own = written(texts.mapInPandas(_packed(self.sim), "node long, own binary").dropDuplicates(["node"]), "packed-words")
+        sets = [own.select(F.col("node").alias(s), F.col("own").alias(f"own_{s}")) for s in "uv"]
+        pairs = close.join(sets[0], "u").join(sets[1], "v").sortWithinPartitions("v", "u")
+        links = written(pairs.mapInPandas(_verify(self.sim), "u long, v long").distinct(), "links")
         forget(close, picked, own)
         return links
 
@@ -209,27 +226,27 @@ class _Join:
         """The rows of buckets with the members ``before`` each in the round's order, nearest first, and one after it.
 
         Buckets that the sketch takes for larger than a part are cut into ``parts``, by another hash in each round."""
-        part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("d1", F.lit(round_), F.lit("part")), "parts")).otherwise(0).cast("int")
+        part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", F.lit(round_), F.lit("part")), "parts")).otherwise(0).cast("int")
         # What the order is made of is computed behind the shuffle, which so carries ids and places alone.
         rows = buckets.withColumn("part", part).repartition("g", "part")
-        rows = rows if "c" in rows.columns else rows.withColumn("c", F.col("d1"))
-        order = Window.partitionBy("g", "part").orderBy(F.xxhash64("d1", F.pmod("g", F.lit(ORDERS)), F.lit(round_)), "d1")
-        member = F.struct("d1", "n", "pos", "c")
+        rows = rows if "c" in rows.columns else rows.withColumn("c", F.col("node"))
+        order = Window.partitionBy("g", "part").orderBy(F.xxhash64("node", F.pmod("g", F.lit(ORDERS)), F.lit(round_)), "node")
+        member = F.struct("node", "n", "pos", "c")
         before = F.array_compact(F.array(*[F.lag(member, k).over(order) for k in range(1, NEIGHBOURS[round_] + 1)]))
-        return rows.withColumns({"before": before, "after": F.lead("d1").over(order)})
+        return rows.withColumns({"before": before, "after": F.lead("node").over(order)})
 
     def neighbour_pairs(self, rows: DataFrame) -> DataFrame:
         """Neighbours of different components that pass the filters."""
-        fits = F.filter("before", lambda p: (p["c"] != F.col("c")) & (p["d1"] != F.col("d1")) & self.possible(p, F.struct("n", "pos")))
-        pairs = rows.select("d1", F.explode(F.transform(fits, lambda p: p["d1"])).alias("other"))
-        return pairs.select(F.least("d1", "other").alias("u"), F.greatest("d1", "other").alias("v")).distinct()
+        fits = F.filter("before", lambda p: (p["c"] != F.col("c")) & (p["node"] != F.col("node")) & self.possible(p, F.struct("n", "pos")))
+        pairs = rows.select("node", F.explode(F.transform(fits, lambda p: p["node"])).alias("other"))
+        return pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
 
     def mixed(self, buckets: DataFrame, component: DataFrame, tried: int) -> DataFrame:
         """The rows, with their components ``c``, of buckets that hold more than one component.
 
         Members were paired with ``tried`` neighbours: in a whole bucket of at most one more, that were all pairs."""
-        known = component.select(F.col("node").alias("d1"), "component")
-        rows = buckets.select("g", "d1", "n", "pos", "parts").join(known, "d1", "left").withColumn("c", F.coalesce("component", "d1")).drop("component")
+        known = component.select("node", "component")
+        rows = buckets.select("g", "node", "n", "pos", "parts").join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         several = rows.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m"), F.max("parts").alias("parts"))
         several = several.filter((F.col("low") != F.col("high")) & ((F.col("m") > tried + 1) | (F.col("parts") > 1))).select("g")
         # Sent to all while they are few; the shuffle beyond is split where a bucket is large.
@@ -240,17 +257,17 @@ class _Join:
 
         Hot buckets are tried by bands of length (sets whose sizes agree are in one band or in neighbouring ones), and a
         band's members are spread over ``parts`` that each meet all of the band and of the next."""
-        rows = written(members.join(self.reps.select("d1", "cells"), "d1"), "members")
+        rows = written(members.join(self.reps.select("node", "cells"), "node"), "members")
         ratio = math.log(100 / self.sim.percent)
         band = (F.floor(F.ln("n") / ratio + 1e-9) if ratio else F.col("n")).cast("long")
         hot = rows.filter("parts > 1").withColumn("band", band)
-        x = hot.withColumns({"key": F.col("band"), "part": F.pmod(F.xxhash64("d1"), "parts")})
+        x = hot.withColumns({"key": F.col("band"), "part": F.pmod(F.xxhash64("node"), "parts")})
         y = hot.withColumn("key", F.explode(F.array("band", F.col("band") - 1) if ratio else F.array("band")))
         y = y.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
-        once = (F.col("x.band") < F.col("y.band")) | (F.col("x.d1") < F.col("y.d1"))
+        once = (F.col("x.band") < F.col("y.band")) | (F.col("x.node") < F.col("y.node"))
         found = self.met(x, y, ["g", "key", "part"], once)
         rest = rows.filter("parts = 1")
-        return written(self.met(rest, rest, ["g"], F.col("x.d1") < F.col("y.d1")).unionByName(found).distinct(), "pairs-of-buckets")
+        return written(self.met(rest, rest, ["g"], F.col("x.node") < F.col("y.node")).unionByName(found).distinct(), "pairs-of-buckets")
 
     def met(self, x: DataFrame, y: DataFrame, keys: list[str], once: Column) -> DataFrame:
         """The pairs of rows of equal keys and different components that pass the filters."""
@@ -258,7 +275,7 @@ class _Join:
         equal = reduce(Column.__and__, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys])
         fits = self.possible(F.struct("x.n", "x.pos"), F.struct("y.n", "y.pos")) & self.near(F.col("x.n"), F.col("y.n"), F.col("x.cells"), F.col("y.cells"))
         pairs = x.join(y, equal & once & (F.col("x.c") != F.col("y.c")) & fits)
-        return pairs.select(F.least("x.d1", "y.d1").alias("u"), F.greatest("x.d1", "y.d1").alias("v"))
+        return pairs.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
 
     def joined(self, component: DataFrame, links: DataFrame) -> DataFrame:
         """The components after more links: only those found are joined, nothing is found anew."""
@@ -270,7 +287,7 @@ class _Join:
         return written(moved.unionByName(fresh), "components")
 
     def components(self, postings: DataFrame) -> DataFrame:
-        """node, component over all links that matter, from postings (g, d1, n, pos, parts)."""
+        """node, component over all links that matter, from postings (g, node, n, pos, parts)."""
         rows = self.neighbours(postings, 0)
         buckets = written(rows.filter("size(before) > 0 OR after IS NOT NULL OR parts > 1").drop("part", "after"), "buckets")
         tried = written(self.neighbour_pairs(buckets), "pairs")
@@ -294,20 +311,18 @@ class _Classes:
 
     def __init__(self, named: DataFrame, sim: Similarity):
         spark = named.sparkSession
-        for seed in range(sim.seed, sim.seed + 8):
-            self.sim = sim = Similarity(sim.width, sim.percent, seed)
-            signatures = written(named.mapInPandas(_signatures(sim), _SIGNATURE), "signatures")
-            self.own = signatures.filter("slice IS NULL").select("doc_id", "n", "d1", "d2")
-            classes = self.own.filter("n > 0").groupBy("d1").agg(F.min("doc_id").alias("rep"), F.min("d2").alias("low"), F.max("d2").alias("high"))
-            self.classes = written(classes, "classes")
-            if self.classes.filter("low <> high").isEmpty():  # else two sets share 64 bits: hash anew
-                break
+        self.sim = sim
+        signatures = written(named.mapInPandas(_signatures(sim), _SIGNATURE), "signatures")
+        self.own = signatures.filter("slice IS NULL").select("doc_id", "n", "d1", "d2")
+        classes = self.own.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+        # Numbers are given once, in a table that is written: no two classes share one.
+        self.classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
         sketch = spark.sparkContext.broadcast(_sketch(signatures))
-        shape = "doc_id long, n long, d1 long, prefix array<long>, parts array<int>, cells array<tinyint>"
-        chosen = named.mapInPandas(_prefixes(sim, sketch, PART), shape).join(self.classes.select("d1", F.col("rep").alias("doc_id")), ["d1", "doc_id"], "left_semi")
-        self.chosen = written(chosen, "prefixes")
-        self.postings = self.chosen.select(F.posexplode(F.arrays_zip("prefix", "parts")).alias("pos", "x"), "d1", "n").select("x.prefix", "d1", "n", "pos", "x.parts").withColumnRenamed("prefix", "g")
-        self.join = _Join(named, self.chosen.select("d1", "n", "doc_id", "cells"), sim)
+        shape = "doc_id long, n long, d1 long, d2 long, prefix array<long>, parts array<int>, cells array<tinyint>"
+        chosen = named.mapInPandas(_prefixes(sim, sketch, PART), shape).join(self.classes.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "doc_id"])
+        self.chosen = written(chosen.dropDuplicates(["d1", "d2", "doc_id"]), "prefixes")
+        self.postings = self.chosen.select(F.posexplode(F.arrays_zip("prefix", "parts")).alias("pos", "x"), "node", "n").select("x.prefix", "node", "n", "pos", "x.parts").withColumnRenamed("prefix", "g")
+        self.join = _Join(named, self.chosen.select("node", "d1", "d2", "n", "doc_id", "cells"), sim)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -319,11 +334,11 @@ def groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     rows = _rows(docs)
     found = _Classes(rows.filter("doc_id IS NOT NULL"), sim)
     component = found.join.components(found.postings)
-    named_by = found.classes.join(component, F.col("d1") == F.col("node"), "left").select("d1", "rep", F.coalesce("component", "d1").alias("c"))
+    named_by = found.classes.join(component, "node", "left").select("d1", "d2", "rep", F.coalesce("component", "node").alias("c"))
     least = named_by.groupBy("c").agg(F.min("rep").alias("component_id"))
-    final = written(named_by.join(least, "c").select("d1", "component_id"), "class-components")
+    final = written(named_by.join(least, "c").select("d1", "d2", "component_id"), "class-components")
     forget(found.classes, found.chosen)
-    out = found.own.join(final, "d1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = found.own.join(final, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     unnamed = rows.filter("doc_id IS NULL").mapInPandas(_sizes(sim), "doc_id long, n_shingles long, component_id long")
     return out.unionByName(unnamed)
 
@@ -334,11 +349,11 @@ def join(docs: DataFrame, sim: Similarity = Similarity()) -> tuple[DataFrame, Da
 
     Rows of one class are linked with each other and share their class's links; a row without shingles is a class of none."""
     found = _Classes(_rows(docs).filter("doc_id IS NOT NULL"), sim)
-    links = found.join.linked(written(found.join.all_pairs(found.postings.withColumn("c", F.col("d1"))), "pairs"))
-    names = found.classes.select("d1", "rep")
-    ends = links.join(names.withColumnsRenamed({"d1": "u", "rep": "ru"}), "u").join(names.withColumnsRenamed({"d1": "v", "rep": "rv"}), "v")
-    n = links.select(F.col("u").alias("d1")).unionByName(links.select(F.col("v").alias("d1"))).groupBy("d1").agg(F.count(F.lit(1)).alias("n_links"))
-    members = found.own.join(names, "d1", "left").join(n, "d1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    links = found.join.linked(written(found.join.all_pairs(found.postings.withColumn("c", F.col("node"))), "pairs"))
+    names = found.classes.select("node", "rep")
+    ends = links.join(names.withColumnsRenamed({"node": "u", "rep": "ru"}), "u").join(names.withColumnsRenamed({"node": "v", "rep": "rv"}), "v")
+    n = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    members = found.own.join(found.classes, ["d1", "d2"], "left").join(n, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     # Classes of one smallest id (rows of one doc_id and different texts) are told apart by no name: their pairs keep both.
     return ends.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")), members
 
@@ -360,17 +375,18 @@ def keep_one(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     named = docs.filter("doc_id IS NOT NULL")
     found = groups(named.select(key.alias("doc_id"), "text"), sim).filter("n_shingles > 0")
     found = written(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_c")), "rows-of-components")
+    row, place = unused(docs, "row"), unused(docs, "place")
     moved = found.filter("_row <> _c")
     copies = written(moved.unionByName(moved.select(F.col("_c").alias("_row"), "_c")).distinct(), "near-copies")
     ids = named.select(key.alias("_row"), F.col("doc_id").cast("long").alias("_id")).join(small(copies, SMALL_CANDIDATES), "_row")
     first = ids.groupBy("_c").agg(F.min(F.struct("_id", "_row")).alias("x")).select("x._row")
     gone = written(copies.join(first, "_row", "left_anti").select("_row"), "gone")
-    same = F.col("doc_id").isNotNull() & (key == F.col("_row"))
-    kept = docs.join(small(gone, SMALL_CANDIDATES), same, "left_anti")
+    same = F.col("doc_id").isNotNull() & (key == F.col(row))
+    kept = docs.join(small(gone.withColumnRenamed("_row", row), SMALL_CANDIDATES), same, "left_anti")
     repeated = written(found.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_row"), "repeated-rows")
     if repeated.isEmpty():
         return kept
-    repeated = small(repeated, SMALL_CANDIDATES)
-    order = Window.partitionBy(key).orderBy(F.to_json(F.struct(*docs.columns)))
-    one = kept.join(repeated, same, "left_semi").withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k")
+    repeated = small(repeated.withColumnRenamed("_row", row), SMALL_CANDIDATES)
+    order = Window.partitionBy(key).orderBy(F.to_json(F.struct(*map(quoted, docs.columns))))
+    one = kept.join(repeated, same, "left_semi").withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)
     return kept.join(repeated, same, "left_anti").unionByName(one)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.llm.common import small, written
+from gleaner.llm.common import quoted, small, unused, written
 
 WEIGHTS, SHARE, EPOCHS = (5, 2, 1), 1.5, 2
 BLOCKS, SHARDS, SEED = 4096, 64, 17
@@ -205,11 +205,12 @@ def mix(docs: DataFrame, planned: DataFrame | None = None, **options) -> DataFra
     Rows are joined to their plan by doc_id, source and text, so whole repeated rows share one plan."""
     planned = plan(docs, **options) if planned is None else planned
     names = {c.lower() for c in docs.columns}
-    shard, copy = (f"mix_{c}" if c in names else c for c in ("shard", "copy"))
+    shard, copy = (c if c not in names else f"mix_{c}" if f"mix_{c}" not in names else unused(docs, f"mix_{c}") for c in ("shard", "copy"))
+    own_id, own_source, own_tie = (unused(docs, f"mix_{c}") for c in ("id", "source", "tie"))
     rows = planned.groupBy("doc_id", "source", "tie").agg(F.first("shards").alias("shards"))
-    rows = rows.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("tie").alias("_mix_tie"), F.posexplode("shards").alias(copy, shard))
-    same = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.xxhash64("text") == F.col("_mix_tie"))
-    out = docs.join(rows, same).select(*[docs[c] for c in docs.columns], shard, copy)
+    rows = rows.select(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("tie").alias(own_tie), F.posexplode("shards").alias(copy, shard))
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col("source").eqNullSafe(F.col(own_source)) & (F.xxhash64("text") == F.col(own_tie))
+    out = docs.join(rows, same).select(*[docs[quoted(c)] for c in docs.columns], shard, copy)
     return out.repartition(shard, F.pmod(F.xxhash64("doc_id"), F.lit(64))).sortWithinPartitions(shard, F.xxhash64(F.lit(SEED + 3), "doc_id", copy))
 
 
