@@ -206,6 +206,18 @@ def tagged_by_model(spark, sf):
     return model_batches.tag(_docs(spark, sf).select("doc_id", "text"), model_batches.RuleModel("results", rule)).select("doc_id", "insight_sentiment", "intent_tag")
 
 
+@query("SELECT doc_id, CASE WHEN contains(coalesce(text, ''), 'en') THEN 'positive' ELSE 'neutral' END AS insight_sentiment, (SELECT count(DISTINCT trim(replace(coalesce(text, ''), chr(10), ' '))) FROM documents) AS n_asked, 1::BIGINT AS n_runs FROM documents")
+def resumed_by_model(spark, sf):
+    """Tags from stored answers: a second run asks for nothing, and equal texts were asked for once."""
+    rule = lambda r: {"id": r["id"], "insight_sentiment": "positive" if "en" in r["text"] else "unheard of", "intent_tag": "warning"}
+    at = shared_folder(spark, "answers")
+    docs = _docs(spark, sf).select("doc_id", "text")
+    for _ in range(2):
+        tagged = model_batches.tag(docs, model_batches.RuleModel("results", rule), answers=at)
+    kept = model_batches.stored(spark, at).agg(F.count(F.lit(1)).alias("n_asked"), F.count_distinct("run").alias("n_runs"))
+    return tagged.select("doc_id", "insight_sentiment").join(F.broadcast(kept))
+
+
 @query("SELECT cluster_id, concat(poi_name, ' has ', count(doc_id)) AS name, 'positive' AS polarity FROM clusters LEFT JOIN documents ON doc_id = cluster_id * 3 GROUP BY cluster_id, poi_name", "clusters")
 def named_by_model(spark, sf):
     rule = lambda r: {"cluster_name": f"{r['poi_name']} has {len(r['insights'])}", "polarity": " Positive"}
