@@ -78,14 +78,14 @@ def _merges(x: np.ndarray) -> list[tuple[float, int, int]]:
     return merges
 
 
-def _merges_by_mean(x: np.ndarray, threshold: float) -> list[tuple[float, int, int]]:
+def _merges_by_mean(mean: np.ndarray, size: np.ndarray, threshold: float) -> list[tuple[float, int, int]]:
     """The merges below the threshold without the matrix: the mean cosine distance of two clusters is 1 less the product of
     their mean unit vectors, so memory is that of the vectors.
 
     A cluster whose nearest is not below the threshold is final, as no merge brings others nearer than their parts were."""
-    mean = x / (np.linalg.norm(x, axis=1, keepdims=True) + EPSILON)
-    ids, size, alive = np.arange(len(x)), np.ones(len(x)), np.ones(len(x), bool)
-    merges, chain, left = [], [], len(x)
+    mean, size = mean.copy(), size.copy()
+    ids, alive = np.arange(len(mean)), np.ones(len(mean), bool)
+    merges, chain, left = [], [], len(mean)
     while left > 1:
         if not chain:
             if 2 * left < len(ids):
@@ -117,7 +117,20 @@ def average_linkage(x: np.ndarray, threshold: float) -> list[list[int]]:
     Nearest-neighbour chains: merge heights of this linkage never fall along the chain, so cutting afterwards gives the
     clusters of the greedy order.  Above ``MOST_A_PLACE`` rows distances are computed where they are needed."""
     n = len(x)
-    merges = _merges(x) if n <= MOST_A_PLACE else _merges_by_mean(x, threshold)
+    unit = x / (np.linalg.norm(x, axis=1, keepdims=True) + EPSILON)
+    root = _roots(n, _merges(x) if n <= MOST_A_PLACE else _merges_by_mean(unit, np.ones(n), threshold), threshold)
+    groups: dict[int, list[int]] = {}
+    for i in range(n):
+        groups.setdefault(root[i], []).append(i)
+    return list(groups.values())
+
+
+def linked_means(mean: np.ndarray, size: np.ndarray, threshold: float) -> list[int]:
+    """The least row of its cluster for each row, which stands for ``size`` unit vectors of that mean."""
+    return _roots(len(mean), _merges_by_mean(mean, size, threshold), threshold)
+
+
+def _roots(n: int, merges: list[tuple[float, int, int]], threshold: float) -> list[int]:
     root = list(range(n))
 
     def find(i: int) -> int:
@@ -130,10 +143,7 @@ def average_linkage(x: np.ndarray, threshold: float) -> list[list[int]]:
         if height < threshold:
             i, j = find(a), find(b)
             root[max(i, j)] = min(i, j)
-    groups: dict[int, list[int]] = {}
-    for i in range(n):
-        groups.setdefault(find(i), []).append(i)
-    return list(groups.values())
+    return [find(i) for i in range(n)]
 
 
 class _Group:
@@ -176,11 +186,18 @@ def merge_by_anchor(groups: list[list[int]], x: np.ndarray, anchors: list[str |
     return [g.members for g in own]
 
 
-def cluster_places(df: DataFrame, place: str = "poi_name", idx: str = "flat_idx", vector: str = "embedding", anchor: str = "anchor_entity", threshold: float = DISTANCE, merge: bool = True) -> DataFrame:
+def usable_anchor(anchor: Column) -> Column:
+    """An anchor in lower case, if it can tell clusters apart; else null."""
+    low = F.lower(F.trim(anchor))
+    return F.when((low != "") & ~low.isin(GENERIC_ANCHORS), low)
+
+
+def cluster_places(df: DataFrame, place: str = "poi_name", idx: str = "flat_idx", vector: str = "embedding", anchor: str = "anchor_entity", threshold: float = DISTANCE, merge: bool = True, most: int = MOST_A_PLACE) -> DataFrame:
     """place, members and size of the clusters of each place, the largest first (``n_in_place``).
 
-    A place is clustered in one task, which holds its vectors; places of more than ``MOST_A_PLACE`` insights are clustered
-    without the matrix of their distances, with the same result."""
+    A place of up to ``most`` insights is clustered in one task.  Larger ones are linked in rounds over many tasks, and merged
+    by anchor in groups of the small clusters that anchors connect, with the same clusters; of equal size that of the smallest
+    member comes first there.  Places are counted at once."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx).reset_index(drop=True)
@@ -192,7 +209,15 @@ def cluster_places(df: DataFrame, place: str = "poi_name", idx: str = "flat_idx"
         return pd.DataFrame({place: pdf[place].iloc[0], "n_in_place": range(len(groups)), "member_indices": [ids[g].tolist() for g in groups], "size": [len(g) for g in groups]})
 
     shape = f"{place} {df.schema[place].dataType.simpleString()}, n_in_place int, member_indices array<bigint>, size int"
-    return df.select(place, idx, vector, anchor).groupBy(place).applyInPandas(run, shape)
+    rows = df.select(place, idx, vector, anchor)
+    large = rows.groupBy(place).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(place)
+    large = df.sparkSession.createDataFrame(large.toPandas(), large.schema)  # places of over ``most`` insights: names alone
+    if large.isEmpty():
+        return rows.groupBy(place).applyInPandas(run, shape)
+    from gleaner.operators.linkage import link_and_merge
+
+    small = rows.join(F.broadcast(large), place, "left_anti").groupBy(place).applyInPandas(run, shape)
+    return small.unionByName(link_and_merge(rows.join(F.broadcast(large), place), place, idx, vector, anchor, threshold, merge, most).select(*small.columns))
 
 
 def number_clusters(clusters: DataFrame, flat: DataFrame, place: str = "poi_name", idx: str = "flat_idx") -> DataFrame:

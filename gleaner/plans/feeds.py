@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from gleaner.operators import cleaning, joins, model_batches, rollups
 from gleaner.plans.bindings import tables, view
 from gleaner.plans.catalog import _clusters, _engine, _insights, _probe, query
 from gleaner.sources import parsers, readers
+from gleaner.storage import shared_folder
 from gleaner.streaming import ingest
 
 
@@ -316,18 +316,6 @@ def source_registry(spark, sf):
 # ---- streams ----
 
 
-def shared_folder(spark, name: str) -> str:
-    """A fresh folder in the one that the cluster shares."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="gleaner-stream-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 @query("SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY user_id")
 def stream_upsert(spark, sf):
     at = shared_folder(spark, "upsert")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.plans import catalog
 from gleaner.plans.bindings import with_views
-from gleaner.plans.feeds import shared_folder
+from gleaner.storage import shared_folder
 from jobs import dossiers, intake
 
 
