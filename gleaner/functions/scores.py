@@ -83,17 +83,19 @@ def query_intent(query: str, word_bounded: bool = False) -> str | None:
     return None if good == bad else "positive" if good else "negative"
 
 
-def intent_clash(intent: str | None, sentiment: Column) -> Column:
-    """1.0 where a cluster's sentiment goes against the query's intent."""
+def intent_clash(intent: str | Column | None, sentiment: Column) -> Column:
+    """1.0 where a cluster's sentiment goes against the query's intent, which may be a column."""
     own = F.coalesce(sentiment, F.lit("neutral"))
+    if isinstance(intent, Column):
+        return F.when(((intent == "positive") & own.isin("negative", "mixed")) | ((intent == "negative") & (own == "positive")), 1.0).otherwise(0.0)
     if intent is None:
         return F.lit(0.0)
     return F.when(own.isin("negative", "mixed") if intent == "positive" else own == "positive", 1.0).otherwise(0.0)
 
 
-def anchor_match(query: str, anchors: Column, poi: Column) -> Column:
+def anchor_match(query: str | Column, anchors: Column, poi: Column) -> Column:
     """1.0 where an anchor other than the place's own name stands in the query as whole words."""
-    low = F.lit(query.lower())
+    low = F.lower(query) if isinstance(query, Column) else F.lit(query.lower())
     own = F.filter(F.coalesce(anchors, F.array().cast("array<string>")), lambda a: (a != "") & (F.lower(a) != F.lower(F.coalesce(poi, F.lit("")))))
     hit = F.exists(own, lambda a: F.rlike(low, F.concat(F.lit(r"(?U)\b\Q"), F.lower(a), F.lit(r"\E\b"))))
     return F.when(hit, 1.0).otherwise(0.0)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import scores
 from gleaner.functions.taxonomy import VALID_L1
-from gleaner.operators import cleaning, joins, rollups, vectors
+from gleaner.operators import cleaning, joins, rollups, search, vectors
+from gleaner.operators.sampling import top_per_group
 
 TOP_K = 50
 #: How many candidates of a search diversity chooses from: twice the limit, ten at least.
@@ -134,15 +135,33 @@ class Engine:
     def health(self) -> DataFrame:
         return rollups.health(self.store.clusters, self.store.insights, self.places)
 
+    def ranked_many(self, queries: list[dict]) -> DataFrame:
+        """``ranked_clusters`` of many queries (poi, query, vector; l1 and min_tier if there are) in one scan of the clusters, with
+        their place in the list as ``query_no``."""
+        asked = []
+        for k, q in enumerate(queries):
+            tier = q.get("min_tier", "B")
+            self._check(q["poi"], q.get("l1"), tier)
+            asked.append(search.Query(k, q["poi"], q["vector"], scores.TIER_RANK[tier], q.get("l1")))
+        tier = scores.tier_rank(F.coalesce("quality_tier", F.lit("C")))
+        near = search.nearest(self.store.clusters, asked, TOP_K, "cluster_id", "embedding", "poi_name", tier, (F.col("l1"), F.col("secondary_l1")))
+        said = self._asked([(k, q["query"], scores.query_intent(q["query"])) for k, q in enumerate(queries)], "query_no int, query string, intent string")
+        both = near.join(self.store.clusters, "cluster_id").join(said, "query_no")
+        anchored, clash = scores.anchor_match(F.col("query"), F.col("anchor_entities"), F.col("poi_name")), scores.intent_clash(F.col("intent"), F.col("sentiment"))
+        score = scores.hybrid(F.col("cosine"), F.coalesce("quality_tier", F.lit("C")), F.coalesce("n_sources", F.lit(1)), F.coalesce("size", F.lit(0)), anchored, clash)
+        return both.withColumn("score", F.round(score, 9)).drop("query", "intent")
+
+    def _asked(self, rows: list[tuple], schema: str) -> DataFrame:
+        """The caller's list of queries as a table, which goes to every executor."""
+        return F.broadcast(self.store.clusters.sparkSession.createDataFrame(rows, schema))
+
     def sweep(self, poi: str, queries: list[tuple[str, list[float]]], limit: int = 5) -> DataFrame:
-        """Several searches as one plan; the first hit of a cluster counts."""
-        out = None
-        for k, (q, v) in enumerate(queries):
-            one = self.ranked_clusters(poi, q, v).orderBy(F.desc("score"), "cluster_id").limit(limit).select("cluster_id", "name", "score", F.lit(k).alias("query_no"))
-            out = one if out is None else out.unionByName(one)
+        """Several searches in one scan; the first hit of a cluster counts."""
         from gleaner.operators.dedupe import first_wins
 
-        return first_wins(out, ["cluster_id"], ["query_no"])
+        ranked = self.ranked_many([{"poi": poi, "query": q, "vector": v} for q, v in queries])
+        hits = top_per_group(ranked, ["query_no"], [F.desc("score"), F.asc("cluster_id")], limit)
+        return first_wins(hits.select("cluster_id", "name", "score", "query_no"), ["cluster_id"], ["query_no"])
 
     def answer(self, poi: str, query: str, vector: list[float], limit: int = 3) -> DataFrame:
         """A deterministic answer: the best clusters with their quotes."""
@@ -152,23 +171,20 @@ class Engine:
 
     def evaluate(self, golden: list[dict]) -> DataFrame:
         """Golden queries (poi, query, vector, expected_l1, must_mention): whether the label is among the first three and a
-        term in the names or quotes."""
-        from functools import reduce
-
+        term in the names or quotes.  All queries are one plan, with one scan of the clusters."""
         from gleaner.functions.text import contained
 
-        rows = []
-        for g in golden:
-            hits = self.search_clusters(g["poi"], g["query"], g["vector"])
-            quotes = joins.evidence(self.store.clusters.join(hits.filter("rank <= 3").select("cluster_id"), "cluster_id", "left_semi"), self.store.insights, self.store.raw, 3)
-            names = hits.agg(F.concat_ws(" ", F.collect_list("name")).alias("names"), F.max(((F.col("rank") <= 3) & (F.col("l1") == g["expected_l1"])).cast("int")).alias("l1_hit"), F.count(F.lit(1)).alias("n_hits"))
-            texts = quotes.agg(F.concat_ws(" ", F.collect_list("raw_text")).alias("quotes"))
-            terms = F.array(*[F.lit(t) for t in g["must_mention"]]).cast("array<string>")
-            one = names.join(texts).withColumn("matched_terms", contained(F.concat_ws(" ", "names", "quotes"), terms))
-            l1_hit = F.coalesce(F.col("l1_hit") == 1, F.lit(False)) if g["expected_l1"] else F.lit(True)
-            text_hit = (F.size("matched_terms") > 0) if g["must_mention"] else F.lit(True)
-            rows.append(one.select(F.lit(g["query"]).alias("query"), (l1_hit & text_hit).alias("passed"), "matched_terms", "n_hits"))
-        return reduce(DataFrame.unionByName, rows)
+        want = self._asked([(k, g["query"], g["expected_l1"] or None, list(g["must_mention"])) for k, g in enumerate(golden)], "query_no int, query string, expected_l1 string, terms array<string>")
+        pool = top_per_group(self.ranked_many(golden), ["query_no"], [F.desc("score"), F.asc("cluster_id")], POOL, "_place").drop("_place")
+        hits = vectors.rerank_diverse(pool.select("query_no", "cluster_id", "name", "l1", "score", "embedding"), "query_no", "score", "embedding", "cluster_id", POOL // 2)
+        first = hits.filter("rank <= 3").select("query_no", "cluster_id")
+        names = hits.join(want, "query_no").groupBy("query_no").agg(F.concat_ws(" ", F.collect_list("name")).alias("names"), F.max((F.col("rank") <= 3) & (F.col("l1") == F.col("expected_l1"))).alias("l1_hit"), F.count(F.lit(1)).alias("n_hits"))
+        quotes = joins.evidence(self.store.clusters.join(first, "cluster_id", "left_semi"), self.store.insights, self.store.raw, 3)
+        texts = first.join(quotes.select("cluster_id", "raw_text"), "cluster_id").groupBy("query_no").agg(F.concat_ws(" ", F.collect_list("raw_text")).alias("quotes"))
+        out = want.join(names, "query_no", "left").join(texts, "query_no", "left").withColumn("matched_terms", contained(F.concat_ws(" ", "names", "quotes"), F.col("terms")))
+        l1_hit = F.col("expected_l1").isNull() | F.coalesce("l1_hit", F.lit(False))
+        text_hit = (F.size("terms") == 0) | (F.size("matched_terms") > 0)
+        return out.select("query_no", "query", (l1_hit & text_hit).alias("passed"), "matched_terms", F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
 
     def tool(self, name: str, **arguments) -> DataFrame:
         """The dispatch table of an agent's tools."""

@@ -9,7 +9,7 @@ from gleaner import models
 from gleaner.functions import taxonomy, text
 from gleaner.operators import cleaning, joins, model_batches, rollups
 from gleaner.plans.bindings import tables, view
-from gleaner.plans.catalog import _clusters, _engine, _insights, _probe, query
+from gleaner.plans.catalog import _COS, _HYBRID, _PROBE, _clusters, _engine, _insights, _probe, query
 from gleaner.sources import parsers, readers
 from gleaner.storage import shared_folder
 from gleaner.streaming import ingest
@@ -293,7 +293,15 @@ def schedulable_places(spark, sf):
     return cleaning.schedulable(rows, 60, ["Customer#000000001"]).select("id", "name")
 
 
-@query()
+@query(
+    f"""WITH n AS (SELECT *, {_COS} AS cosine FROM clusters, {_PROBE} WHERE poi_name = 'place1' AND quality_tier IN ('A', 'B') ORDER BY cosine DESC, cluster_id LIMIT 50),
+k AS (SELECT * FROM (VALUES (0, 'positive', ''), (1, 'negative', ''), (2, '', 'anchor3'), (3, 'positive', '')) v(query_no, intent, said)),
+s AS (SELECT query_no, cluster_id, name, round(0.55 * cosine + {_HYBRID} + CASE WHEN anchor = said THEN 0.1 ELSE 0 END
+  - CASE WHEN (intent = 'positive' AND sentiment IN ('negative', 'mixed')) OR (intent = 'negative' AND sentiment = 'positive') THEN 0.04 ELSE 0 END, 9) AS score FROM n, k),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, cluster_id) AS place FROM s)
+SELECT cluster_id, name, min(query_no) AS query_no FROM r WHERE place <= 5 GROUP BY cluster_id, name""",
+    "clusters",
+)
 def evidence_sweep(spark, sf):
     v = _probe(spark, sf)
     return _engine(spark, sf).sweep("place1", [(q, v) for q in ("best", "avoid", "anchor3", "hidden")]).select("cluster_id", "name", "query_no")
