@@ -78,12 +78,12 @@ def _merges(x: np.ndarray) -> list[tuple[float, int, int]]:
     return merges
 
 
-def _merges_by_mean(mean: np.ndarray, size: np.ndarray, threshold: float) -> list[tuple[float, int, int]]:
+def _merges_by_mean(x: np.ndarray, threshold: float, size: np.ndarray | None = None) -> list[tuple[float, int, int]]:
     """The merges below the threshold without the matrix: the mean cosine distance of two clusters is 1 less the product of
     their mean unit vectors, so memory is that of the vectors.
 
-    A cluster whose nearest is not below the threshold is final, as no merge brings others nearer than their parts were."""
-    mean, size = mean.copy(), size.copy()
+    With ``size`` the rows are mean unit vectors of so many.  A cluster whose nearest is not below the threshold is final, as no merge brings others nearer than their parts were."""
+    mean, size = (x / (np.linalg.norm(x, axis=1, keepdims=True) + EPSILON), np.ones(len(x))) if size is None else (x.copy(), size.copy())
     ids, alive = np.arange(len(mean)), np.ones(len(mean), bool)
     merges, chain, left = [], [], len(mean)
     while left > 1:
@@ -117,8 +117,7 @@ def average_linkage(x: np.ndarray, threshold: float) -> list[list[int]]:
     Nearest-neighbour chains: merge heights of this linkage never fall along the chain, so cutting afterwards gives the
     clusters of the greedy order.  Above ``MOST_A_PLACE`` rows distances are computed where they are needed."""
     n = len(x)
-    unit = x / (np.linalg.norm(x, axis=1, keepdims=True) + EPSILON)
-    root = _roots(n, _merges(x) if n <= MOST_A_PLACE else _merges_by_mean(unit, np.ones(n), threshold), threshold)
+    root = _roots(n, _merges(x) if n <= MOST_A_PLACE else _merges_by_mean(x, threshold), threshold)
     groups: dict[int, list[int]] = {}
     for i in range(n):
         groups.setdefault(root[i], []).append(i)
@@ -127,7 +126,7 @@ def average_linkage(x: np.ndarray, threshold: float) -> list[list[int]]:
 
 def linked_means(mean: np.ndarray, size: np.ndarray, threshold: float) -> list[int]:
     """The least row of its cluster for each row, which stands for ``size`` unit vectors of that mean."""
-    return _roots(len(mean), _merges_by_mean(mean, size, threshold), threshold)
+    return _roots(len(mean), _merges_by_mean(mean, threshold, size), threshold)
 
 
 def _roots(n: int, merges: list[tuple[float, int, int]], threshold: float) -> list[int]:
