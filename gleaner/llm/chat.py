@@ -89,6 +89,7 @@ class _Turn:
     text: str
     at: int
     tokens: int
+    rank: int
 
 
 class _Segment:
@@ -104,7 +105,8 @@ class _Segment:
         """The system turn and the history for the next span."""
         own, left = [], self.p.history_budget
         for t in reversed(self.past[-self.p.history_turns :] if self.p.history_turns else []):
-            if t is self.system or t.tokens > left:
+            # The next segment gets the system turn by itself; among the last turns of this one it is the same turn.
+            if (self.system and t.rank == self.system.rank) or t.tokens > left:
                 break
             own.insert(0, t)
             left -= t.tokens
@@ -160,12 +162,12 @@ def _format(p: Params):
                 if row:
                     out.append({"conv": key[0], "segment": key[1]} | row)
 
-            for conv, seg, kind, role, (text, at), n in zip(pdf["conv"], pdf["segment"], pdf["kind"], pdf["role"], made, tokens, strict=True):
+            for conv, seg, kind, rank, role, (text, at), n in zip(pdf["conv"], pdf["segment"], pdf["kind"], pdf["rank"], pdf["role"], made, tokens, strict=True):
                 if key != (conv, seg):
                     if segment and segment.new:
                         put(segment.close())
                     key, segment = (conv, seg), _Segment(p)
-                turn = _Turn(role, text, at, int(n))
+                turn = _Turn(role, text, at, int(n), int(rank))
                 if kind < 2:
                     segment.remember(turn)
                 else:

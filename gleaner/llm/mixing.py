@@ -4,7 +4,8 @@
     own words and the excess is shared anew by weight (solved at once from the sorted caps, no iteration).
 2.  A source's documents are dealt into at most ``BLOCKS`` blocks by hash.  Whole passes take every block; the rest of
     the target is filled along a random order of the blocks, each taken that still fits, and at last by the block that
-    comes nearest to what is missing, if that is nearer than nothing.  A block taken twice is two draws, so a source has an exact quota of draws, and no document is cut.
+    comes nearest to what is missing, if that is nearer than nothing.  Then one taken block is exchanged for one that isn't, if
+    some exchange comes nearer still.  A block taken twice is two draws, so a source has an exact quota of draws, and no document is cut.
 3.  ``split_quotas``: the vector of quotas is split over the output shards by a binary tree.  A node gives its left half
     the draws that its shards hold; how many of them each source supplies is a multivariate-hypergeometric draw, made
     source by source by inversion of the exact distribution.  The right half gets the rest, so all quotas add up.
@@ -189,16 +190,37 @@ def _draws(filled: DataFrame) -> DataFrame:
 
     def filled_up(acc: Column) -> Column:
         fits = F.filter("bs", lambda x: (x["n"] > 0) & (x["n"] < 2 * acc["rest"]) & ~F.array_contains(acc["out"], x["block"]))
-        nearest = F.array_min(F.transform(fits, lambda x: F.struct(F.abs(acc["rest"] - x["n"]).alias("off"), x["block"].alias("block"))))
-        return F.concat(acc["out"], F.when(nearest.isNotNull(), F.array(nearest["block"])).otherwise(F.array().cast("array<bigint>")))
+        nearest = F.array_min(F.transform(fits, lambda x: F.struct(F.abs(acc["rest"] - x["n"]).alias("off"), x["block"].alias("block"), x["n"].alias("n"))))
+        out = F.concat(acc["out"], F.when(nearest.isNotNull(), F.array(nearest["block"])).otherwise(F.array().cast("array<bigint>")))
+        return F.struct((acc["rest"] - F.coalesce(nearest["n"], F.lit(0))).alias("rest"), out.alias("out"))
 
     extra = F.aggregate("bs", F.struct(F.col("rest").alias("rest"), F.array().cast("array<bigint>").alias("out")), take, filled_up)
-    passes = F.flatten(F.transform("bs", lambda x: F.when(F.col("whole") > 0, F.array_repeat(x["block"], F.col("whole"))).otherwise(F.array().cast("array<bigint>"))))
-    rows = per.select("source", F.posexplode(F.concat(passes, extra)).alias("k", "block"))
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(SEED + 2), "block", "k"), "k")
+    items = per.select("source", "whole", "bs", F.explode(F.array(extra)).alias("extra"))
+    items = items.select("source", "whole", F.col("extra.rest").alias("rest"), F.explode(F.transform("bs", lambda x: F.struct(x["block"].alias("block"), x["n"].alias("n"), F.array_contains(F.col("extra.out"), x["block"]).alias("used")))).alias("x"))
+    rows = _exchanged(items.select("source", "whole", "rest", "x.*"))
+    rows = rows.filter("copies > 0").select("source", "block", F.explode(F.sequence(F.lit(1), "copies")).alias("k"))
+    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(SEED + 2), "block", "k"), "block", "k")
     return rows.select("source", "block", (F.row_number().over(order) - 1).alias("place"))
 
 
+def _exchanged(items: DataFrame) -> DataFrame:
+    """Adds ``copies``, how often each block is taken, after the one exchange in its source that comes nearest to the target.
+
+    Taken block x for untaken y changes what is missing by n_x - n_y, so in the order of sizes the best y stands beside n_x plus
+    what is missing."""
+    items = items.withColumn("key", F.col("n") + F.when(F.col("used"), F.col("rest")).otherwise(0.0))
+    free = F.when(~F.col("used") & (F.col("n") > 0), F.struct("n", "block"))
+    order = Window.partitionBy("source").orderBy("key", "block")
+    below = F.last(free, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    above = F.first(free, ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    items = items.withColumn("near", F.filter(F.array(below, above), lambda y: y.isNotNull()))
+    offers = F.transform("near", lambda y: F.struct(F.abs(F.col("key") - y["n"]).alias("off"), F.col("block").alias("gives"), y["block"].alias("takes")))
+    best = F.min(F.when(F.col("used"), F.array_min(offers))).over(Window.partitionBy("source"))
+    better = F.coalesce(F.col("best.off") < F.abs("rest"), F.lit(False))
+    extra = F.when(better, (F.col("used") & (F.col("block") != F.col("best.gives"))) | (F.col("block") == F.col("best.takes"))).otherwise(F.col("used"))
+    return items.withColumn("best", best).withColumn("copies", F.col("whole") + extra.cast("int"))
+
+
 def mix(docs: DataFrame, planned: DataFrame | None = None, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, once for each draw, with ``shard`` and ``copy``; shards are shuffled by hash.
 
