@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, mixing
+from gleaner.llm import chat
 from gleaner.llm.queries import ORACLE_SQL, QUERIES
 from tests.test_entry import canon
 
@@ -140,11 +140,3 @@ def test_system_turn_at_the_end_of_a_segment(spark):
         turns = chat.parse(w.text)
         assert [r for r, _ in turns].count("system") <= 1
         assert w.segment == 0 or turns[0] == ("system", "turn 7")
-
-
-def test_few_large_documents_meet_their_target(spark):
-    """A taken block is exchanged where that comes nearer, sources of large documents end near their targets."""
-    rng = random.Random(9)
-    rows = [(k, "w " * rng.randrange(300, 900), rng.choice("aabc")) for k in range(160)]
-    got = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.sum(F.col("size") * F.size("shards")).alias("taken"), F.first("target").alias("target")).collect()
-    assert len(got) == 3 and all(abs(r.taken - r.target) <= 0.005 * r.target for r in got)
