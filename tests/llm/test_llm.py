@@ -451,7 +451,11 @@ def test_line_dedup(spark, resident):
     pool = [f"A shared line of number {k} É " for k in range(12)] + ["short", "", "  \tpadded shared line number one \r", "PADDED shared line number ONE"]
     rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for k in range(60)]
     rows += [(100, None), (101, ""), (None, pool[0]), (59, pool[0] + "\n" + pool[0]), (102, "y" * 100_000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"shard": F.lit("a"), "h1": F.lit("b"), "tie": F.lit("c")})
+    # The least of all ids isn't the null one, which is below it; 0 isn't either.
+    least, nobody, both = -(1 << 63), "a line that only null ids hold", "a line of the least id and of null ids"
+    rows += [(None, nobody + "\n" + both)] * 3 + [(least, both), (least, pool[1]), (None, "held by null and nought, often\n" + both), (0, "held by null and nought, often")]
+    rows += [(None, "held by null and nought, often")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"shard": F.lit("a"), "h1": F.lit("b"), "tie": F.lit("c"), "no_id": F.lit("d")})
     got = sorted((tuple(r) for r in line_dedup.dedup(df, resident_bytes=resident).collect()), key=repr)
     assert got == lines_by_force(rows)
     assert line_dedup.dedup(df.limit(0), resident_bytes=resident).count() == 0
@@ -476,7 +480,7 @@ def test_line_index_with_shared_bits(spark):
     counted = spark.createDataFrame([(int(a), int(b), 3 + k, 10 + k) for k, (a, b) in enumerate(zip(h1, h2, strict=True))], "h1 long, h2 long, n_docs long, keeper long")
     table, shards = line_dedup.build_index(counted)
     index = line_dedup.LineIndex(bytes(table.head().data))
-    assert shards == 1 and [x.tolist() for x in index.probe(h1, h2)] == [[3, 4, 5, 6], [10, 11, 12, 13]]
+    assert shards == 1 and [x.tolist() for x in index.probe(h1, h2)] == [[3, 4, 5, 6], [10, 11, 12, 13], [False] * 4]
     assert index.probe(np.array([5, 9], np.uint64), np.array([4, 2], np.uint64))[0].tolist() == [0, 0]
 
 
