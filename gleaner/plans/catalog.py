@@ -13,8 +13,9 @@ from gleaner.functions import dates, scores, taxonomy, text
 from gleaner.operators import chunks, cleaning, dedupe, joins, rollups, sampling, vectors
 from gleaner.plans.bindings import tables, view, with_views
 from gleaner.plans.engine import Engine, Store
-from gleaner.sources import parsers, readers
-from gleaner.streaming import ingest
+from gleaner.sources import parsers, place_pages, readers
+from gleaner.storage import Steps
+from gleaner.streaming import ingest, progress
 
 FLAGSHIP = "poi_stats"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -680,23 +681,75 @@ def golden_eval(spark, sf):
 
 @query("SELECT page_id AS item, (row_number() OVER (ORDER BY page_id) - 1)::INT AS \"offset\" FROM pages")
 def paged_feed(spark, sf):
-    import json
-
-    rows = [r.page_id for r in tables(spark, sf, "pages")["pages"].select("page_id").orderBy("page_id").toLocalIterator()]
-    readers.register(spark)
-    feed = spark.read.format("paged_feed").option("pages", json.dumps([rows[k : k + 10] for k in range(0, len(rows), 10)])).option("pageSize", "10").load()
+    steps = Steps(spark, "paged-feed")
+    # Numbers in order: rows in ranges, then in their range behind the rows of those before.
+    ranges = steps.written(tables(spark, sf, "pages")["pages"].select("page_id").repartitionByRange("page_id").withColumn("part", F.spark_partition_id()))
+    sizes = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("page_id")) - 1 + F.col("before")
+    numbered = ranges.join(before, "part").select(F.lit("all").alias("poi_id"), "page_id", rank.alias("rank"))
+    place_pages.record(_recorded_calls(numbered), f"{steps.path}/feed")
+    feed = place_pages.read(spark, f"{steps.path}/feed")
     return feed.select(F.col("item").cast("bigint").alias("item"), "offset")
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT user_id AS poi_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE event_id % 4 WHEN 0 THEN 'error' ELSE 'page' END AS kind, CASE WHEN event_id % 3 = 0 THEN 0 ELSE (event_id % 11)::INT END AS n FROM events),
+def _recorded_calls(numbered, size=10):
+    """Calls of ``size`` items each, in the order of the places' ranks; a call's token is its number, the last has no next one."""
+    call = F.floor(F.col("rank") / size).cast("int")
+    pages = numbered.groupBy("poi_id", call.alias("call")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "page_id"))), lambda x: x["page_id"].cast("string")).alias("items"))
+    last = numbered.groupBy("poi_id").agg(F.max(call).alias("last"))
+    following = F.when(F.col("call") < F.col("last"), (F.col("call") + 1).cast("string"))
+    return pages.join(last, "poi_id").select("poi_id", "call", F.when(F.col("call") > 0, F.col("call").cast("string")).alias("token"), following.alias("next_token"), "items", F.lit(False).alias("failed"))
+
+
+@query("SELECT (page_id % 40)::VARCHAR AS poi_id, page_id AS item, (row_number() OVER (PARTITION BY page_id % 40 ORDER BY page_id) - 1)::INT AS \"offset\" FROM pages")
+def place_stream(spark, sf):
+    """Feeds of 40 places in two runs of a stream: each place goes on at its own call."""
+    steps = Steps(spark, "place-stream")
+    own = (F.col("page_id") % 40).cast("string")
+    p = tables(spark, sf, "pages")["pages"].select(own.alias("poi_id"), "page_id", (F.row_number().over(Window.partitionBy(own).orderBy("page_id")) - 1).alias("rank"))
+    calls = steps.written(_recorded_calls(p))
+    early = F.col("call") <= F.col("poi_id").cast("int") % 3
+    for part in (calls.filter(early), calls.filter(~early)):
+        place_pages.record(part, f"{steps.path}/feed")
+        rows = place_pages.stream(spark, f"{steps.path}/feed").select("poi_id", F.col("item").cast("bigint").alias("item"), "offset")
+        out = rows.writeStream.format("parquet").option("path", f"{steps.path}/out").option("checkpointLocation", f"{steps.path}/checkpoint")
+        out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("poi_id string, item bigint, offset int").parquet(f"{steps.path}/out")
+
+
+_PROGRESS = """WITH RECURSIVE e AS (SELECT user_id AS poi_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE event_id % 4 WHEN 0 THEN 'error' ELSE 'page' END AS kind, CASE WHEN event_id % 3 = 0 THEN 0 ELSE (event_id % 11)::INT END AS n FROM events),
 r AS (SELECT poi_id, 0::BIGINT AS i, 0 AS next_offset, 0 AS error_streak, 0 AS pages, 0 AS reviews FROM (SELECT DISTINCT poi_id FROM e) d UNION ALL
 SELECT r.poi_id, e.i, CASE WHEN kind = 'page' THEN next_offset + 10 ELSE next_offset END, CASE WHEN kind = 'error' OR n = 0 THEN error_streak + 1 ELSE 0 END, CASE WHEN kind = 'page' THEN pages + 1 ELSE pages END, CASE WHEN kind = 'page' THEN reviews + n ELSE reviews END
 FROM r JOIN e ON e.poi_id = r.poi_id AND e.i = r.i + 1 WHERE r.error_streak < 3)
 SELECT poi_id::VARCHAR AS poi_id, next_offset, error_streak, pages, reviews, error_streak >= 3 AS exhausted FROM (SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY i DESC) AS k FROM r) x WHERE k = 1"""
-)
+
+
+@query(_PROGRESS)
 def feed_progress(spark, sf):
+    return ingest.fold_progress(_fetches(spark, sf))
+
+
+def _fetches(spark, sf):
     e = tables(spark, sf, "events")["events"]
     kind = F.when(F.col("event_id") % 4 == 0, "error").otherwise("page")
-    rows = e.select(F.col("user_id").cast("string").alias("poi_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("event_id") % 11).cast("int").alias("n_reviews"))
-    return ingest.fold_progress(rows)
+    return e.select(F.col("user_id").cast("string").alias("poi_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("event_id") % 11).cast("int").alias("n_reviews"))
+
+
+@query(_PROGRESS)
+def tracked_progress(spark, sf):
+    """The same by keyed state, in two runs of a stream over growing files, read from the state."""
+    steps = Steps(spark, "tracked-progress")
+    fetches = _fetches(spark, sf)
+    half = fetches.agg(F.percentile_approx("seq", 0.5)).head()[0] or 0
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, progress.PROVIDER)
+    try:
+        for part in (F.col("seq") <= half, F.col("seq") > half):
+            fetches.filter(part).write.mode("append").parquet(f"{steps.path}/events")
+            seen = progress.track(spark.readStream.schema(progress.EVENTS).parquet(f"{steps.path}/events"), wait_ms=86_400_000, most_wait_ms=86_400_000)
+            progress.catch_up(spark, seen.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{steps.path}/checkpoint"))
+    finally:
+        spark.conf.set(name, before)
+    return progress.progress_table(spark, f"{steps.path}/checkpoint")
