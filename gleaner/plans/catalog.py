@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from gleaner import models
 from gleaner.functions import dates, scores, taxonomy, text
-from gleaner.operators import chunks, cleaning, dedupe, joins, rollups, sampling, vectors
+from gleaner.operators import chunks, cleaning, dedupe, joins, mentions, rollups, sampling, vectors
 from gleaner.plans.bindings import tables, view, with_views
 from gleaner.plans.engine import Engine, Store
 from gleaner.sources import parsers, place_pages, readers
@@ -676,6 +676,19 @@ def golden_eval(spark, sf):
     return rollups.accuracy(_engine(spark, sf).evaluate(golden))
 
 
+@query(
+    """WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents), w AS (SELECT doc_id, string_split(t, ' ') AS w FROM d),
+p AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS name FROM w WHERE len(w) > 1), n AS (SELECT DISTINCT w[1] || ' ' || w[2] AS name FROM w WHERE len(w) > 1)
+SELECT doc_id, name, count(*) AS n FROM p JOIN n USING (name) GROUP BY ALL"""
+)
+def name_mentions(spark, sf):
+    """The first two words of every document are names, looked for in all documents."""
+    plain = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
+    d = tables(spark, sf, "documents")["documents"].select("doc_id", plain.alias("plain"))
+    names = d.filter(F.col("plain").contains(" ")).select(F.substring_index("plain", " ", 2).alias("name"))
+    return mentions.count_mentions(d, "doc_id", "plain", names)
+
+
 # ---- streams ----
 
 
