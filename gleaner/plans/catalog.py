@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from gleaner import models
 from gleaner.functions import dates, scores, taxonomy, text
-from gleaner.operators import chunks, cleaning, dedupe, joins, mentions, rollups, sampling, vectors
+from gleaner.operators import chunks, cleaning, dedupe, joins, language, mentions, rollups, sampling, vectors
 from gleaner.plans.bindings import tables, view, with_views
 from gleaner.plans.engine import Engine, Store
 from gleaner.sources import parsers, place_pages, readers
@@ -689,6 +689,15 @@ def name_mentions(spark, sf):
     return mentions.count_mentions(d, "doc_id", "plain", names)
 
 
+@query()
+def detected_language(spark, sf):
+    """Every document's language as detected, by profiles of four fifths of those whose language is known."""
+    d = tables(spark, sf, "documents")["documents"]
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = language.Detector(language.learn(d.filter(~held_out), "text", "lang"))
+    return d.select("doc_id", "lang", held_out.alias("held_out"), language.detect(F.col("text"), found).alias("detected"))
+
+
 # ---- streams ----
 
 
