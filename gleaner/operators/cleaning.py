@@ -64,12 +64,12 @@ def thread_drop(poi: Column, text: Column) -> Column:
     return F.when(strip(own) == "", "empty_text").when(F.length(own) < 100, "too_short_<100").when(~mentions_place(poi, own), "no_poi_term")
 
 
-def is_navigation(chunk: Column) -> Column:
-    """Short, made of short lines, or short with a word of navigation."""
+def is_navigation(chunk: Column, words: list[str] | None = None) -> Column:
+    """Short, made of short lines, or short with a word of navigation (``NAVIGATION`` unless others are given)."""
     low = F.lower(strip(chunk))
     lines = F.filter(F.split(chunk, "\n", -1), lambda x: strip(x) != "")
     mean = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x)) / F.nullif(F.size(lines), F.lit(0))
-    word = reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in NAVIGATION])
+    word = reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in words or NAVIGATION])
     return (F.length(low) < 50) | F.coalesce(mean < 25, F.lit(False)) | (word & (F.length(low) < 200))
 
 
