@@ -156,21 +156,33 @@ def _extract(p: Params):
     return run
 
 
+def _fitted(p: Params):
+    """The model, as one row, of all rows of features."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = sorted(((ids, share, label) for pdf in batches for ids, share, label in zip(pdf["ids"], pdf["share"], pdf["label"], strict=True)), key=lambda r: r)
+        # Arrays over the bytes that came: no second copy of them.
+        rows = [(np.frombuffer(ids, np.uint16), np.frombuffer(share, np.float32), label) for ids, share, label in got]
+        logits, bias = fit(rows, p)
+        yield pd.DataFrame({"logits": [logits.tobytes()], "bias": [bias]})
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.ndarray, float]:
     """Fits on at most ``p.max_train_docs`` of the labelled documents, the first by a hash of their ids.
 
+    A task fits, as its rows are bounded (some 20 kB of features a document); the driver gets the model alone.
+
     ``labels`` has doc_id and quality; the caller leaves out what must not be learnt from.
     """
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64(F.lit(p.seed), "doc_id"), "doc_id").limit(p.max_train_docs)
-    # The sample is bounded by max_train_docs; so is what the driver gets: some 20 kB of features a document.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
-    got = texts.select("label", "text").mapInPandas(_extract(p), "label int, ids binary, share binary").collect()
-    got.sort(key=lambda r: (r.ids, r.share, r.label))
-    # Arrays over the bytes that came: no second copy of them.
-    rows = [(np.frombuffer(r.ids, np.uint16), np.frombuffer(r.share, np.float32), r.label) for r in got]
-    del got
-    return fit(rows, p)
+    learnt = texts.select("label", "text").mapInPandas(_extract(p), "label int, ids binary, share binary")
+    model = learnt.repartition(1).mapInPandas(_fitted(p), "logits binary, bias double").head()
+    # A plan that Spark finds to be empty runs no task.
+    return (np.frombuffer(model.logits, np.float32), model.bias) if model else fit([], p)
 
 
 def scores(model: tuple[np.ndarray, float], texts: list[str | None], p: Params = Params()) -> np.ndarray:

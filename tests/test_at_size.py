@@ -16,3 +16,19 @@ def test_navigation_chunks_takes_the_words_of_its_sql(spark, tmp_path):
     want = sorted(con.execute(catalog.ORACLE_SQL["navigation_chunks"]).fetchall())
     assert sorted(tuple(r) for r in catalog.QUERIES["navigation_chunks"](spark, str(tmp_path)).collect()) == want
     assert [n for _, n in want] == [False, True, False, True, False]
+
+
+def test_the_driver_gets_the_fitted_model_and_no_features(spark, monkeypatch):
+    from gleaner.llm import quality
+
+    words = ["good stone garden", "bad junk spam"]
+    docs = spark.createDataFrame([(i, f"{words[i % 2]} number {i}") for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(1 - doc_id % 2 as int) AS quality")
+    got, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: got.append(self.columns) or collect(self))
+    p = quality.Params(buckets=1024, epochs=20)
+    model = quality.train(docs, labels, p)
+    assert got == [["logits", "bias"]]
+    good, bad = quality.scores(model, words, p)
+    assert good > 0.5 > bad
+
