@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from gleaner.functions.text import filled_template, first_filled
 from gleaner.operators.dedupe import first_wins, last_wins
 
+#: Clusters of one part of a place and anchor, about, of which pairs are made.
+PART = 2_000
 #: Fixed search templates: intent, template, whether aliases are used too.
 TEMPLATES = [
     ("planning", "{poi} tips", True),
@@ -109,13 +111,26 @@ def default_left(rows: DataFrame, results: DataFrame, key: str, defaults: dict[s
     return out.withColumns({c: F.coalesce(F.col(c), v) for c, v in defaults.items()})
 
 
-def anchor_pairs(clusters: DataFrame, distance: Column, least: float) -> DataFrame:
-    """Pairs of one place's clusters that share an anchor and are near: candidates come from an equi-join on anchors."""
-    rows = clusters.withColumn("anchor", F.explode("anchors"))
-    x, y = rows.alias("x"), rows.alias("y")
-    same = (F.col("x.poi_name") == F.col("y.poi_name")) & (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.cluster_id") < F.col("y.cluster_id"))
-    pairs = x.join(y, same).filter(distance < least)
-    return pairs.select(F.col("x.cluster_id").alias("a"), F.col("y.cluster_id").alias("b")).distinct()
+def anchor_pairs(clusters: DataFrame, distance: Column, least: float, part: int = PART) -> DataFrame:
+    """Pairs of one place's clusters that share an anchor and are near: candidates come from an equi-join on anchors.
+
+    The clusters of a place and anchor are cut into parts of about ``part`` by hash, and each part meets each in a cell of its
+    own, so no task holds more than two parts at once.  A pair is taken at the first anchor that it shares, so pairs aren't
+    collected to be told apart; only those of ids that several rows have are."""
+    several = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("cluster_id", F.lit(True).alias("_again"))
+    own = clusters.withColumn("anchors", F.array_distinct("anchors")).join(several, "cluster_id", "left")
+    rows = own.withColumn("anchor", F.explode("anchors"))
+    sizes = rows.groupBy("poi_name", "anchor").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("_parts"))
+    rows = rows.join(sizes, ["poi_name", "anchor"]).withColumns({"_own": F.pmod(F.xxhash64("cluster_id"), F.col("_parts")).cast("int"), "_other": F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))})
+    same = (F.col("x.poi_name") == F.col("y.poi_name")) & (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x._own") == F.col("y._other")) & (F.col("x._other") == F.col("y._own"))
+    first = (F.size("x.anchors") == 1) | (F.col("x.anchor") == F.array_min(F.array_intersect("x.anchors", "y.anchors")))
+
+    def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+        near = same & (F.col("x.cluster_id") < F.col("y.cluster_id")) & (distance < least) & first
+        return x.alias("x").join(y.alias("y"), near).select(F.col("x.cluster_id").alias("a"), F.col("y.cluster_id").alias("b"))
+
+    once, again = rows.filter("_again IS NULL"), rows.filter("_again")
+    return pairs(once, once).unionByName(pairs(again, rows).unionByName(pairs(once, again)).distinct())
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
+from pyspark.sql import functions as F
+
 from gleaner.plans import catalog, feeds  # noqa: F401
 
 
@@ -32,3 +36,20 @@ def test_the_driver_gets_the_fitted_model_and_no_features(spark, monkeypatch):
     good, bad = quality.scores(model, words, p)
     assert good > 0.5 > bad
 
+
+def test_anchor_pairs_in_cells_lose_and_repeat_none(spark):
+    """Several anchors a cluster, repeated ids, groups of many parts; no step tells all pairs apart."""
+    from gleaner.operators import joins
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(150), rng.choice(["p", "q", None]), rng.randrange(12), [rng.choice("abcd") for _ in range(rng.randrange(4))] + [None] * (k % 3 == 0)) for k in range(200)]
+    rows += [(i, p, n, None) for i, p, n, _ in rows[:5]]
+    c = spark.createDataFrame(rows, "cluster_id long, poi_name string, size int, anchors array<string>")
+    want = {(a, b) for a, p, n, s in rows for b, q, m, t in rows if p and p == q and a < b and abs(n - m) < 3 and set(s or []) & set(t or []) - {None}}
+    for part in (7, 2000):
+        got = [tuple(r) for r in joins.anchor_pairs(c, F.abs(F.col("x.size") - F.col("y.size")), 3, part).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    alone = spark.createDataFrame([(k, "p", 1, ["a"]) for k in range(300)], c.schema)
+    found = joins.anchor_pairs(alone, F.lit(0), 1, 10)
+    found.collect()
+    assert "keys=[a" not in found._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1].split("Initial Plan")[0]
