@@ -38,13 +38,15 @@ class HashingEmbedder:
 
 
 def embed_column(embedder: Embedder, batch: int = 1024):
-    """A pandas function from texts to vectors, in batches."""
+    """A pandas function from texts to vectors, in batches; ``storage.bound_batches`` bounds what a task holds at once."""
 
     @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
-        own = texts.fillna("").tolist()
-        vectors = [embedder.embed(own[k : k + batch]) for k in range(0, len(own), batch)]
-        return pd.Series([v for m in vectors for v in m.astype(np.float32)])
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            vectors: list[np.ndarray] = []
+            for k in range(0, len(texts), batch):
+                vectors.extend(embedder.embed(texts.iloc[k : k + batch].fillna("").tolist()).astype(np.float32))
+            yield pd.Series(vectors, dtype=object)
 
     return run
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.storage import bound_batches
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "conversations", "benchmark")
 
 
@@ -51,6 +53,7 @@ FROM orders""",
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    bound_batches(spark)
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 

@@ -18,6 +18,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Rows and bytes of a batch that goes to Python: texts can be long, and a worker holds a batch several times over.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": (("10000",), "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (("268435456", "268435456b", "256MB", "256m"), str(4 << 20))}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller batches, where the session still has Spark's own sizes."""
+    for key, (defaults, own) in BATCH.items():
+        if spark.conf.get(key, defaults[0]) in defaults:
+            spark.conf.set(key, own)
+
+
 class Steps:
     """Written tables of one computation: each cuts lineage and survives lost executors."""
 

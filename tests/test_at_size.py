@@ -53,3 +53,21 @@ def test_anchor_pairs_in_cells_lose_and_repeat_none(spark):
     found = joins.anchor_pairs(alone, F.lit(0), 1, 10)
     found.collect()
     assert "keys=[a" not in found._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1].split("Initial Plan")[0]
+
+
+def test_embedded_documents_holds_bounded_batches(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from gleaner import models
+
+    class Sizes:
+        def embed(self, texts):
+            return np.full((len(texts), 1), len(texts))
+
+    embed = models.embed_column
+    monkeypatch.setattr(models, "embed_column", lambda embedder: embed(Sizes(), 10**9))
+    spark.range(5000).selectExpr("id AS doc_id", "cast(id AS string) AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.unset(key)
+    got = catalog.QUERIES["embedded_documents"](spark, str(tmp_path)).collect()
+    assert len(got) == 5000 and max(r.embedding[0] for r in got) <= 1000
