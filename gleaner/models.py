@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.storage import bound_batches
+
 
 class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
@@ -97,12 +99,12 @@ def map_batches(df: DataFrame, rows: Callable[[list[dict]], list[dict]], schema:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            own = pdf.to_dict("records")
-            for k in range(0, len(own), batch):
-                out = rows(own[k : k + batch])
+            for k in range(0, len(pdf), batch):
+                out = rows(pdf.iloc[k : k + batch].to_dict("records"))
                 if out:
                     yield pd.DataFrame(out)
 
+    bound_batches(df.sparkSession)
     return df.mapInPandas(run, schema)
 
 

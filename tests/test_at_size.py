@@ -71,3 +71,12 @@ def test_embedded_documents_holds_bounded_batches(spark, tmp_path, monkeypatch):
         spark.conf.unset(key)
     got = catalog.QUERIES["embedded_documents"](spark, str(tmp_path)).collect()
     assert len(got) == 5000 and max(r.embedding[0] for r in got) <= 1000
+
+
+def test_extracted_insights_holds_bounded_batches(spark):
+    from gleaner import models
+
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.unset(key)
+    got = models.map_batches(spark.range(5000).coalesce(1), lambda rows: [{"n": len(rows)}], "n long", 10**9).collect()
+    assert sum(r.n for r in got) == 5000 and max(r.n for r in got) <= 1000
