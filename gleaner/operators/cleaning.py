@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -66,11 +67,19 @@ def thread_drop(poi: Column, text: Column) -> Column:
 
 def is_navigation(chunk: Column, words: list[str] | None = None) -> Column:
     """Short, made of short lines, or short with a word of navigation (``NAVIGATION`` unless others are given)."""
-    low = F.lower(strip(chunk))
-    lines = F.filter(F.split(chunk, "\n", -1), lambda x: strip(x) != "")
-    mean = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x)) / F.nullif(F.size(lines), F.lit(0))
-    word = reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in words or NAVIGATION])
-    return (F.length(low) < 50) | F.coalesce(mean < 25, F.lit(False)) | (word & (F.length(low) < 200))
+    lines = F.filter(F.split(chunk, "\n", -1), lambda x: x.rlike(r"(?U)[^\s\x1c-\x1f]"))
+    mean = _let(lines, lambda own: F.aggregate(own, F.lit(0), lambda a, x: a + F.length(x)) / F.nullif(F.size(own), F.lit(0)))
+
+    def rule(low: Column) -> Column:
+        word = reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in words or NAVIGATION])
+        return (F.length(low) < 50) | ((F.length(low) < 200) & word) | F.coalesce(mean < 25, F.lit(False))
+
+    return _let(F.lower(strip(chunk)), rule)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also inside lambdas, where Spark shares no common parts."""
+    return F.transform(F.array(value), use)[0]
 
 
 def long_enough(text: Column, n: int) -> Column:

@@ -80,3 +80,11 @@ def test_extracted_insights_holds_bounded_batches(spark):
         spark.conf.unset(key)
     got = models.map_batches(spark.range(5000).coalesce(1), lambda rows: [{"n": len(rows)}], "n long", 10**9).collect()
     assert sum(r.n for r in got) == 5000 and max(r.n for r in got) <= 1000
+
+
+def test_navigation_cleans_a_chunk_once(spark):
+    """Inside lambdas every mention of a chunk's cleaned text cleaned it again: 24 times."""
+    from gleaner.operators import cleaning
+
+    df = spark.createDataFrame([("x",)], "t string").select(cleaning.is_navigation(F.col("t")).alias("n"))
+    assert df._jdf.queryExecution().analyzed().toString().lower().count("regexp_replace(") == 1
