@@ -22,14 +22,17 @@ from pyspark.sql.window import Window
 from gleaner.operators.vectors import MERGE_CAP, linked_means, merge_by_anchor, normalize, usable_anchor
 from gleaner.storage import Steps
 
-#: Clusters of a block, and rounds at most.
-BLOCK, ROUNDS = 1024, 400
+#: Clusters of a block at least and at most, blocks of a place while they hold no more, and rounds at most.  Each block meets
+#: each, so what a round shuffles is the place times the number of blocks, whatever the place's size.
+BLOCK, MOST_BLOCK, BLOCKS, ROUNDS = 1024, 32_768, 16, 400
+#: Distances that a task holds at once.
+CELL = 1 << 21
 _DIGITS = 12
 
 
 def _blocks(clusters: DataFrame, sizes: DataFrame, block: int, side: str) -> DataFrame:
     """A row for each block of a place's clusters: their ids and mean vectors."""
-    n = F.ceil(F.col("n_alive") / block).cast("int")
+    n = F.least(F.ceil(F.col("n_alive") / block), F.greatest(F.lit(BLOCKS), F.ceil(F.col("n_alive") / MOST_BLOCK))).cast("int")
     rows = clusters.join(F.broadcast(sizes), "place").withColumns({"n_blocks": n, "block": F.pmod(F.xxhash64("cluster"), n).cast("int")})
     return rows.groupBy("place", "block", "n_blocks").agg(F.collect_list(F.struct("cluster", "mean")).alias("x")).select("place", "block", "n_blocks", F.col("x.cluster").alias(f"{side}_ids"), F.col("x.mean").alias(f"{side}_means"))
 
@@ -47,16 +50,20 @@ def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for r in pdf.itertuples(index=False):
-            own, other = np.asarray(r.q_ids, np.int64), np.asarray(r.c_ids, np.int64)
-            d = np.round(1.0 - np.stack(r.q_means) @ np.stack(r.c_means).T, _DIGITS)
-            d[own[:, None] == other[None, :]] = np.inf
-            least = d.min(axis=1)
-            at = d.argmin(axis=1)
-            for k in np.flatnonzero((d == least[:, None]).sum(axis=1) > 1):
-                tied = np.flatnonzero(d[k] == least[k])
-                at[k] = tied[np.argmin(_pair_key(np.full(len(tied), own[k]), other[tied]))]
-            found = np.isfinite(least)
-            yield pd.DataFrame({"place": r.place, "cluster": own[found], "dist": least[found], "tie": _pair_key(own, other[at])[found], "near": other[at][found]})
+            ids, other = np.asarray(r.q_ids, np.int64), np.asarray(r.c_ids, np.int64)
+            means, others = np.stack(r.q_means), np.stack(r.c_means).T
+            step = max(1, CELL // len(other))
+            for start in range(0, len(ids), step):
+                own = ids[start : start + step]
+                d = np.round(1.0 - means[start : start + step] @ others, _DIGITS)
+                d[own[:, None] == other[None, :]] = np.inf
+                least = d.min(axis=1)
+                at = d.argmin(axis=1)
+                for k in np.flatnonzero((d == least[:, None]).sum(axis=1) > 1):
+                    tied = np.flatnonzero(d[k] == least[k])
+                    at[k] = tied[np.argmin(_pair_key(np.full(len(tied), own[k]), other[tied]))]
+                found = np.isfinite(least)
+                yield pd.DataFrame({"place": r.place, "cluster": own[found], "dist": least[found], "tie": _pair_key(own, other[at])[found], "near": other[at][found]})
 
 
 def _finish(threshold: float):

@@ -88,3 +88,21 @@ def test_navigation_cleans_a_chunk_once(spark):
 
     df = spark.createDataFrame([("x",)], "t string").select(cleaning.is_navigation(F.col("t")).alias("n"))
     assert df._jdf.queryExecution().analyzed().toString().lower().count("regexp_replace(") == 1
+
+
+def test_linkage_meets_a_bounded_number_of_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from gleaner.operators import linkage, vectors
+
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(30, 6)), 8, axis=0) + rng.normal(size=(240, 6)) * 0.25
+    df = spark.createDataFrame([("p", k, [float(v) for v in row]) for k, row in enumerate(x)], "place string, idx long, v array<double>")
+    sizes = spark.createDataFrame([("p", 240)], "place string, n_alive long")
+    alive = df.select("place", F.col("idx").alias("cluster"), F.col("v").alias("mean"))
+    assert {r.n_blocks for r in linkage._blocks(alive, sizes, 4, "q").collect()} == {16}
+    monkeypatch.setattr(linkage, "CELL", 50)
+    got: dict = {}
+    for r in linkage.link(df, "place", "idx", "v", 0.28, 150, 4).collect():
+        got.setdefault(r.cluster, []).append(r.idx)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, vectors.average_linkage(x, 0.28)))
