@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.storage import Steps
+from gleaner.storage import Steps, bound_batches
 
 BLOCK_CHARS = 4_000_000
 
@@ -60,6 +60,7 @@ def count_mentions(df: DataFrame, key: str, text: str, names: DataFrame, name: s
     """``key`` (not null), name (lower case) and n, the occurrences of each name that a row's text holds."""
     spark = df.sparkSession
     kind = df.schema[key].dataType
+    bound_batches(spark)
     steps = Steps(spark, "mentions")
     low = F.lower(F.col(f"`{name}`").cast("string"))
     own = steps.written(names.select(low.alias("name")).filter("name <> ''").distinct())

@@ -106,3 +106,13 @@ def test_linkage_meets_a_bounded_number_of_blocks(spark, monkeypatch):
     for r in linkage.link(df, "place", "idx", "v", 0.28, 150, 4).collect():
         got.setdefault(r.cluster, []).append(r.idx)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, vectors.average_linkage(x, 0.28)))
+
+
+def test_name_mentions_asks_for_bounded_batches(spark):
+    from gleaner.operators import mentions
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    df = spark.createDataFrame([(1, "old bridge")], "id long, text string")
+    assert [tuple(r) for r in mentions.count_mentions(df, "id", "text", df.select(F.col("text").alias("name"))).collect()] == [(1, "old bridge", 1)]
+    assert spark.conf.get(key) == "1000"
